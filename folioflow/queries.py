@@ -1,0 +1,7 @@
+"""Registered queries of the library's own operators, with equivalent SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = ""
