@@ -124,8 +124,11 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return ids, (n / max(1, n.sum())).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
-    """Vectors and layer by stochastic gradient descent on the softmax loss, the rate falling to zero."""
+def train(texts: list[str], labels: list[int], epochs: int = 8, least_steps: int = 800, rate: float = 1.0, batch: int = 16, seed: int = 7) -> Model:
+    """Vectors and layer by stochastic gradient descent on the softmax loss, the rate falling to zero.
+
+    A small sample is gone over more often than ``epochs`` times, until ``least_steps`` batches.
+    """
     y = np.array(labels, np.int64)
     prior = float(y.mean()) if len(y) else 0.5
     if len(set(labels)) < 2:
@@ -134,7 +137,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 1.
     bags = [bag(t) for t in texts]
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.log(np.array([1 - prior, prior], np.float32))
-    steps, done = epochs * -(-len(y) // batch), 0
+    batches = -(-len(y) // batch)
+    epochs = max(epochs, -(-least_steps // batches))
+    steps, done = epochs * batches, 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for k in range(0, len(order), batch):

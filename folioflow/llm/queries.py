@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, linerules, packing, quality, revisits, simhash, surrogates
+from . import chat, decontam, langid, licenses, linerules, oracles, packing, quality, revisits, simhash, surrogates
 from .common import table
 
 #: Key of the example queries.  A real run passes its own secret.
@@ -72,4 +72,9 @@ QUERIES = {
     "op10_chat_windows": chat_windows,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": oracles.license_scan(),
+    "op2_warc_revisits": oracles.warc_revisits(),
+    "op8_line_cleaning": oracles.line_cleaning(),
+    "op10_chat_windows": oracles.chat_windows(),
+}

@@ -1,0 +1,365 @@
+"""The operators that use Arrow batches, each against brute force, round trips or held-out labels."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from folioflow.llm import components, decontam, langid, packing, quality, simhash, surrogates
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, lang=None):
+    return spark.createDataFrame([(i, t, lang, None, None) for i, t in enumerate(texts)], DOCS)
+
+
+# ---------------------------------------------------------------- SimHash
+
+
+def slow_fingerprint(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def find(parent, x):
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def test_fingerprints():
+    for t in [None, "", " \n", "One", "one TWO", "a b c", "a b c d", "É é\x0bx  y\tz", "word " * 70000]:
+        assert simhash.fingerprint(t) == slow_fingerprint(t)
+
+
+def test_xxhash_of_spark_is_the_same(spark):
+    assert spark.sql("select xxhash64('a b c') h").first().h & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_links_are_complete_and_right(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    prints = set(base)
+    for b in base:
+        for _ in range(20):
+            x = b
+            for _ in range(rng.randrange(1, 6)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    prints = sorted(prints)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    got = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()]
+    assert all(0 < (a ^ b).bit_count() <= 3 for a, b in got)
+
+    def classes(pairs):
+        parent = {x: x for x in prints}
+        for a, b in pairs:
+            parent[find(parent, a)] = find(parent, b)
+        out = defaultdict(set)
+        for x in prints:
+            out[find(parent, x)].add(x)
+        return sorted(map(sorted, out.values()))
+
+    every = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 3]
+    assert classes(got) == classes(every)
+
+
+def test_near_duplicates(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    data = [(5, text, "x"), (3, text, "y"), (9, text + " tail", "z"), (7, None, "n"), (8, "  ", "n"), (None, text, "q"), (1, "something else entirely here now", "r"), (1, "something else entirely here now", "r")]
+    df = spark.createDataFrame(data, "doc_id long, text string, fp string")
+    got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()]
+    assert len(got) == 8
+    by = {d: c for d, _, c in got}
+    assert by[5] == by[3] == by[None] == 3 and by[7] == by[8] == 7 and by[1] == 1
+    assert all(f == "0" * 16 for d, f, _ in got if d in (7, 8))
+    near = (slow_fingerprint(text) ^ slow_fingerprint(text + " tail")).bit_count() <= 3
+    assert by[9] == (3 if near else 9)
+    assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3), (5, 2), (2, 5), (9, 5)] + [(1000, k) for k in range(1001, 1100)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {2: 2, 5: 2, 9: 2} | {k: 1000 for k in range(1000, 1100)}
+
+
+# ---------------------------------------------------------------- language
+
+
+def slow_bits(texts, text, order):
+    """PPM, method C, straight from its definition."""
+    tree = defaultdict(Counter)
+    for t in texts:
+        b = t.lower().encode()
+        for i in range(len(b)):
+            for n in range(order + 1):
+                if i >= n:
+                    tree[b[i - n : i]][b[i]] += 1
+    bits, b = 0.0, text.lower().encode()
+    for i in range(len(b)):
+        for n in range(min(order, i), -2, -1):
+            if n < 0:
+                bits += 8
+                break
+            seen = tree.get(b[i - n : i])
+            if not seen:
+                continue
+            total, kinds = sum(seen.values()), len(seen)
+            if b[i] in seen:
+                bits -= np.log2(seen[b[i]] / (total + kinds))
+                break
+            bits -= np.log2(kinds / (total + kinds))
+    return bits
+
+
+def test_code_lengths_are_exact():
+    texts = {"aa": ["the cat sat on the mat", "a hat", "x"], "bb": ["le chat est là", "un été chaud"], "cc": ["q"]}
+    model = langid.train(texts)
+    probes = ["the hat", "chat là", "zzz", "q", "t", "", "été the mat 😀"]
+    got = langid.total_bits(model, probes)
+    for i, p in enumerate(probes):
+        for j, lang in enumerate(sorted(texts)):
+            assert got[i, j] == pytest.approx(slow_bits(texts[lang], p, langid.ORDER), rel=1e-4, abs=1e-3), (p, lang)
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    model = langid.train({"a": ["abc abd abe " * 5], "b": ["xyz xyw " * 5]})
+    text = "abc xyz abd " * 60
+    whole = langid.total_bits(model, [text, "abc"])
+    monkeypatch.setattr(langid, "PIECE", 50)
+    assert langid.total_bits(model, [text, "abc"]) == pytest.approx(whole, rel=1e-5)
+
+
+def test_language_accuracy_and_edges(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = spark.createDataFrame([(900001, None, "en"), (900002, "12 $$ --", "en"), (900003, "", None), (None, "the and of that this with", None)], "doc_id long, text string, lang string")
+    both = table.select("doc_id", "text", "lang").unionByName(odd).withColumn("lang_pred", F.lit("clash"))
+    got = {r.doc_id: r for r in langid.language_id(both).collect()}
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900001, 900002, 900003))
+    truth = {r.doc_id: r.lang for r in table.collect()}
+    held = [i for i in truth if got[i].held_out]
+    assert held and sum(got[i].lang_pred == truth[i] for i in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert langid.language_id(spark.createDataFrame([], DOCS)).count() == 0
+    assert [r.lang_pred for r in langid.language_id(docs(spark, ["hello there"])).collect()] == ["und"]
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_scores_are_those_of_the_averaged_vectors():
+    texts = ["good plain text of words"] * 5 + ["bad$$$ b%%% x### y&&&"] * 5
+    model = quality.train(texts, [1] * 5 + [0] * 5)
+    for t in [*texts, "other words", "", "x x x x", "é" * 50]:
+        ids, share = quality.bag(t)
+        expected = 1 / (1 + np.exp(-(float(share @ model.weight[ids]) + model.bias)))
+        assert quality.predict(model, [t])[0] == pytest.approx(expected, abs=1e-5)
+    assert quality.predict(model, texts).tolist() == pytest.approx([quality.predict(model, [t])[0] for t in texts], abs=1e-9)
+
+
+def test_words_and_pairs():
+    data = quality.text_bytes("ab cd ab ab")
+    codes, starts = quality.word_codes(data)
+    assert starts.tolist() == [0, 3, 6, 9] and codes[0] == codes[2] == codes[3] != codes[1]
+    _, pairs = quality.word_buckets(codes)
+    other = quality.word_buckets(quality.word_codes(quality.text_bytes("zz zz"))[0])[1]
+    assert pairs[2] == other[0]
+
+
+def test_quality_held_out_accuracy_and_edges(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest table has too few labels to learn from
+    table, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    odd = spark.createDataFrame([(900001, None), (900002, ""), (None, "some words here")], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(table.select("doc_id", "text").unionByName(odd).withColumn("score", F.lit("x")), labels).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [i for i in truth if got[i].held_out]
+    assert held and sum(got[i].predicted == truth[i] for i in held) / len(held) > 0.9
+    assert got[900001].score == got[900002].score and 0 <= got[900001].score <= 1
+    none = labels.limit(0)
+    assert {r.score for r in quality.quality(table.limit(5), none).collect()} == {0.5}
+    assert quality.quality(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_best_match_is_the_least_edit_distance():
+    rng = random.Random(5)
+    for _ in range(200):
+        item = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 9))]
+        text = [rng.randrange(0, 6) for _ in range(rng.randrange(0, 14))]
+        best = min([edit(item, text[i:j]) for i in range(len(text) + 1) for j in range(i, len(text) + 1)])
+        assert decontam.best_match(item, text)[0] == best
+
+
+def test_recall_against_brute_force():
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(8, 60)))) for i in range(60)]
+    index, found, wanted = decontam.build(items), 0, 0
+    for i, text in items:
+        words = text.split()
+        for edits in (0, int(0.1 * len(words)), int(0.2 * len(words))):
+            v = list(words)
+            for _ in range(edits):
+                at = rng.randrange(len(v))
+                kind = rng.randrange(3)
+                v[at : at + (kind != 2)] = [] if kind == 1 else [rng.choice(vocabulary)]
+            body = [rng.choice(vocabulary) for _ in range(30)] + v + [rng.choice(vocabulary) for _ in range(30)]
+            hits = {m[0]: m for m in decontam.match(index, " ".join(body))}
+            wanted += 1
+            found += i in hits
+            for m in hits.values():
+                assert m[1] <= int(0.2 * m[3] + 1e-9)
+    assert found / wanted >= 0.97
+    clean = [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(30)]
+    assert not any(decontam.match(index, t) for t in clean)
+
+
+def test_decontamination_edges(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    bench = spark.createDataFrame([(1, item), (2, item.upper()), (3, None), (4, ""), (5, "too short"), (None, item)], "item_id long, text string")
+    data = [(1, "Intro. " + item + " Outro."), (2, item), (3, None), (4, ""), (5, "nothing of the kind here"), (None, item), (2, item), (6, "x " * 50000 + item + " y" * 50000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("matches", F.lit(1))
+    got = Counter((r.doc_id, r.item_id, r.distance) for r in decontam.contaminated(df, bench).collect())
+    assert got == Counter({(d, i, 0): n for d, n in ((1, 1), (2, 2), (None, 1), (6, 1)) for i in (1, 2)})
+    blocks = decontam.with_matches(df.drop("matches"), bench, block=1).select("doc_id", F.explode("matches").alias("m"))
+    assert Counter((r.doc_id, r.m.item_id, r.m.distance) for r in blocks.collect()) == got
+    assert decontam.contaminated(df, bench.limit(0)).count() == 0
+    assert decontam.contaminated(df.limit(0), bench).count() == 0
+
+
+# ---------------------------------------------------------------- surrogates
+
+KEY = b"test key"
+
+
+@pytest.mark.parametrize("sizes", [[10] * 3, [2, 5, 3], [26], [5, 21, 5], [256] * 2])
+def test_permutations_are_bijective(sizes):
+    total = int(np.prod(sizes))
+    seen = set()
+    for x in range(min(total, 70000)):
+        digits, rest = [], x
+        for s in reversed(sizes):
+            rest, d = divmod(rest, s)
+            digits.append(d)
+        seen.add(tuple(surrogates.permute(KEY, "t", sizes, digits[::-1])))
+    assert len(seen) == total
+
+
+def test_surrogates_keep_type_script_and_format():
+    card = surrogates.surrogate(KEY, "card", "4111 1111 1111 1111")
+    plain = card.replace(" ", "")
+    assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", card) and int(plain[-1]) == surrogates.luhn_digit(plain[:-1])
+    bad = surrogates.surrogate(KEY, "card", "4111111111111112")
+    assert (int(bad[-1]) - surrogates.luhn_digit(bad[:-1])) % 10 == 1
+    assert all(0 <= int(x) < 256 for x in surrogates.surrogate(KEY, "ip", "10.0.0.255").split("."))
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", surrogates.surrogate(KEY, "phone", "+1 (988) 555-2485"))
+    assert re.fullmatch(r"[a-z]{4}\.\d{2}@[a-z]{4}\d\.[a-z]{7}\.com", surrogates.surrogate(KEY, "email", "abcd.42@mail8.example.com"))
+    assert re.fullmatch(r"[0-9a-f]{40}", surrogates.surrogate(KEY, "secret", "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"))
+    assert surrogates.surrogate(KEY, "given:latin:f", "Mary") in surrogates.GIVEN["latin", "f"]
+    assert re.fullmatch(r"[А-Я][а-я]{5}", surrogates.surrogate(KEY, "surname", "Иванов"))
+    for (script, gender), names in surrogates.GIVEN.items():
+        new = [surrogates.surrogate(KEY, f"given:{script}:{gender}", n) for n in names]
+        assert sorted(new) == sorted(names) and all(a != b for a, b in zip(new, names, strict=True))
+
+
+def test_pseudonymize_is_coherent(spark):
+    text = "Mrs Mary Smith (mary.smith@corp.com, +1 (212) 555-0101) wrote. Later Mrs Smith used 10.1.2.3 and 4111111111111111; password=hunter2hunter2 ok."
+    df = docs(spark, [text, "Mary Smith again, from 10.1.2.3", None, "", "nothing personal here", text]).withColumn("pii", F.lit(1))
+    got = {r.doc_id: r for r in surrogates.pseudonymize(df, KEY).collect()}
+    for _, _, _, value in surrogates.find(text):
+        assert value not in got[0].text
+    assert got[0].text == got[5].text and got[2].text is None and got[3].text == "" and got[4].text == "nothing personal here"
+    first, second = surrogates.find(got[0].text), surrogates.find(got[1].text)
+    assert [k for _, _, k, _ in first] == [k for _, _, k, _ in surrogates.find(text)]
+    surname = re.match(r"Mrs \w+ (\w+)", got[0].text)[1]
+    assert f"Later Mrs {surname} " in got[0].text and got[1].text.split()[1].strip(",") == surname
+    assert second[-1][3] in got[0].text
+    assert got[0].pii_kinds.count("surname") == 2
+    assert surrogates.pseudonymize(spark.createDataFrame([], DOCS), KEY).count() == 0
+
+
+def test_taken_surrogates_are_drawn_again(spark, monkeypatch):
+    """On a tiny format every surrogate is an original, so overrides must find other ones or give way."""
+    values = [(f"{a}{b}.{a}@x.io",) for a in "12" for b in "34567"]
+    known = spark.createDataFrame([("email", v) for (v,) in values] + [("email", surrogates.surrogate(KEY, "email", values[0][0]))], "kind string, value string")
+    changed = {(r.kind, r.value): r.tries for r in surrogates.overrides(known, KEY).collect()}
+    assert ("email", values[0][0]) in changed
+    originals = {r.value for r in known.collect()}
+    new = [surrogates.surrogate(KEY, "email", v, changed.get(("email", v), 0)) for v in originals]
+    assert len(set(new)) == len(new) and not originals & set(new)
+    text = f"write to {values[0][0]} please"
+    broadcasted = surrogates.pseudonymize(docs(spark, [text, new[0] + " " + surrogates.surrogate(KEY, "email", values[0][0])]), KEY).orderBy("doc_id").collect()
+    monkeypatch.setattr(surrogates, "OVERRIDES", -1)
+    joined = surrogates.pseudonymize(docs(spark, [text, new[0] + " " + surrogates.surrogate(KEY, "email", values[0][0])]), KEY).orderBy("doc_id").collect()
+    assert broadcasted == joined
+
+
+# ---------------------------------------------------------------- packing
+
+
+def padding(lengths, ends):
+    return sum(min(e for e in ends if e >= n) - n for n in lengths)
+
+
+def test_boundaries_are_optimal():
+    from itertools import combinations
+
+    rng = random.Random(2)
+    for _ in range(60):
+        lengths = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 40))]
+        cells = Counter(lengths)
+        distinct, k = sorted(cells), rng.randrange(1, 5)
+        picked = [distinct[i] for i in packing.boundaries(distinct, [cells[x] for x in distinct], k)]
+        assert len(picked) <= k and picked[-1] == distinct[-1]
+        best = min(padding(lengths, (*c, distinct[-1])) for r in range(k) for c in combinations(distinct[:-1], r))
+        assert padding(lengths, picked) == best
+
+
+def test_cells_are_fine(spark):
+    values = [0, 1, 4095, 4096, 4097, 5000, 8191, 8192, 8193, 10**6, 10**9 + 7]
+    got = [r.c for r in spark.createDataFrame([(v,) for v in values], "n long").select(packing.cell(F.col("n")).alias("c")).collect()]
+    assert got[:4] == values[:4] and all(v <= c <= v * (1 + 1 / 256) for v, c in zip(values, got, strict=True))
+
+
+def test_packing(spark):
+    texts = ["word " * n for n in list(range(60)) * 4] + [None, "", "a-b 12 c!", "long " * 3000]
+    got = packing.pack(docs(spark, texts).withColumn("bucket", F.lit("x")), buckets=5, budget=500).collect()
+    assert len(got) == len(texts)
+    batches = defaultdict(list)
+    for r in got:
+        batches[r.batch_id].append(r)
+        assert r.padding == r.bucket_len - r.n_tokens >= 0
+    for b in batches.values():
+        assert len({r.bucket_len for r in b}) == 1 and sorted(r.place for r in b) == list(range(len(b)))
+        assert len(b) == 1 or sum(r.bucket_len for r in b) <= 500
+    by = {r.doc_id: r.n_tokens for r in got}
+    assert by[240] == by[241] == 0 and by[242] == 6 and by[243] == 3000
+    lengths = [r.n_tokens for r in got]
+    cells = Counter(lengths)
+    ends = [sorted(cells)[i] for i in packing.boundaries(sorted(cells), [cells[x] for x in sorted(cells)], 5)]
+    assert sum(r.padding for r in got) == padding(lengths, ends)
+    assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
+    again = docs(spark, ["a b"] * 50).withColumn("doc_id", F.lit(1))
+    assert sorted(r.place for r in packing.pack(again, budget=10**6).collect()) == list(range(50))
