@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregation, conditional, documents, lookups, scalars, stateful, textual
+from . import aggregation, conditional, documents, lookups, packages, scalars, stateful, textual
 
-MODULES = (aggregation, scalars, lookups, conditional, textual, stateful, documents)
+MODULES = (aggregation, scalars, lookups, conditional, textual, stateful, documents, packages)
 QUERIES = {name: f for m in MODULES for name, f in m.REGISTER.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.REGISTER.oracles.items()}
 FLAGSHIP = "xl_sumifs_lineitem"
