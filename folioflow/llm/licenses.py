@@ -30,6 +30,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
+#: Parts that the files of one line are dealt to.
+SALTS = 16
+
 #: Licence name and the wording that marks it.  Several templates may name one licence.
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
@@ -100,15 +105,20 @@ def score_lines(lines: DataFrame) -> DataFrame:
 
 def scan_licenses(files: DataFrame, threshold: float = 0.6, id_col: str = "file_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """``id_col``, ``path``, ``license`` (null: none), ``via`` (``header``, ``directory`` or ``none``), ``similarity`` and ``from_dir``."""
-    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
     cues = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    # The text is read once for a cheap test; only what passes it is split.
-    held = rows.where(F.col("text").rlike(CUE) | F.col("path").rlike(LICENSE_FILE))
-    held = held.select("id", "path", F.explode(F.array_distinct(F.concat(cues, whole))).alias("line")).where("line != ''")
+    is_file = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
+    whole = F.when(is_file & (F.col("text") != ""), F.array("text")).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.col("text").rlike(CUE) | is_file, F.filter(F.array_distinct(F.concat(cues, whole)), lambda x: x != ""))
+    # Texts are read once: what the scan leaves of a file is its path and its few lines with a cue.
+    rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    rows = checkpointed(rows.select("id", "path", found.alias("lines")))
+    held = rows.select("id", "path", F.explode("lines").alias("line"))
     lines = held.groupBy("line").agg(F.count("*").alias("n"))
     scored = score_lines(lines).where(F.col("similarity") >= threshold)
-    own = held.join(scored, "line").groupBy("id", "path").agg(F.max(F.struct("similarity", "license")).alias("own"))
+    # One line may stand in a great share of the files: both sides carry a salt, so its files meet it in many tasks.
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
+    copies = scored.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    own = salted.join(copies, ["line", "salt"]).groupBy("id", "path").agg(F.max(F.struct("similarity", "license")).alias("own"))
     named = rows.select("id", "path").withColumn("dir", directory(F.col("path")))
     given = own.where(F.col("path").rlike(LICENSE_FILE)).groupBy(directory(F.col("path")).alias("up")).agg(F.max("own").alias("gift"))
     folders = named.where("dir is not null").select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("depth", "up"))
