@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Seconds in a time bucket.
 BUCKET = 6 * 3600
 
@@ -76,7 +78,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET) -> DataFr
     ``resolved`` means the validator agrees: equal entity tags by weak comparison, else, where
     either side has none, a Last-Modified equal to that of the base.  Disagreement is ``mismatch``.
     """
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", lower_keys(F.col("headers")).alias("headers"))
+    # Records are read once; without their bodies they are small.
+    rows = checkpointed(records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", lower_keys(F.col("headers")).alias("headers")))
     full = (F.col("kind") == "response") & F.col("at").isNotNull() & F.col("canonical").isNotNull() & ~F.map_contains_key("headers", F.lit("content-range"))
     seen = rows.withColumns({"base": F.when(full, F.struct("at", "record_id", "headers")), "bucket": F.floor(F.unix_seconds("at") / bucket_seconds)})
     live = seen.where(F.col("canonical").isNotNull() & F.col("at").isNotNull() & (full | (F.col("kind") == "revisit")))
