@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Lengths told apart one by one.
 EXACT = 4096
 #: Groups that number a bucket's rows side by side.
@@ -76,7 +78,8 @@ def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
 def pack(docs: DataFrame, buckets: int = 12, budget: int = 65536, id_col: str = "doc_id", text_col: str = "text", n_tokens: Column | None = None) -> DataFrame:
     """``id_col, n_tokens, bucket, bucket_len, batch_id, place, padding`` of every row."""
     count = piece_count(F.col(text_col)) if n_tokens is None else F.coalesce(n_tokens, F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), count.alias("n"))
+    # Texts are counted once; ids and counts are all that is used from here on.
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), count.alias("n")))
     cells = rows.groupBy(cell(F.col("n")).alias("cell")).agg(F.count("*").alias("rows"), F.max("n").alias("longest")).orderBy("cell").collect()
     if not cells:
         ends = [0]
