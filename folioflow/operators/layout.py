@@ -95,6 +95,21 @@ def confident(words: DataFrame) -> DataFrame:
     return words.where((F.col("conf") >= 15) & ((F.col("conf") >= 30) | (letters > 2)))
 
 
+def glued(words: DataFrame, keep: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Lone punctuation joined to the word before it on its line."""
+    lone = F.col("text").rlike(r"^\p{P}+$")
+    w = Window.partitionBy(*keep, "line").orderBy("pos")
+    rows = words.withColumn("__start", (~lone | F.lag("pos").over(w).isNull()).cast("int")).withColumn("__g", F.sum("__start").over(w))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "text")))
+    text = F.array_join(F.transform(parts, lambda p: p.text), "")
+    return rows.groupBy(*keep, "line", "__g").agg(F.min("pos").alias("pos"), text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("conf").alias("conf")).drop("__g")
+
+
+def relative_boxes(words: DataFrame, width: str, height: str) -> DataFrame:
+    """Boxes as shares of the page."""
+    return words.select("*", (F.col("x0") / F.col(width)).alias("l"), (F.col("y0") / F.col(height)).alias("t"), (F.col("x1") / F.col(width)).alias("r"), (F.col("y1") / F.col(height)).alias("b"))
+
+
 def better_pass(words: DataFrame) -> DataFrame:
     """The recognition pass of each page whose confident words add up to more."""
     scores = words.groupBy("page", "pass").agg(F.sum(F.when(F.col("conf") >= 50, F.col("conf")).otherwise(0)).alias("score"))

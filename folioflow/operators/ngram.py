@@ -38,3 +38,34 @@ def top_classes(counts: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` commonest next characters of every context."""
     w = Window.partitionBy("level", "context").orderBy(F.col("n").desc(), "next")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def beam(prefix: str, table: dict[str, list[tuple[str, float]]], steps: int, longest: int = 5, width: int = 6, least: float = 0.04) -> list[tuple[str, float]]:
+    """Likeliest continuations of a prefix: at each step the ``width`` best paths go on, unlikely letters left out.
+
+    ``table`` maps a context to its next characters and their shares.
+    """
+    paths = [(("^" * longest + prefix.lower()), 1.0)]
+    for _ in range(steps):
+        grown = []
+        for text, p in paths:
+            options = next((table[text[len(text) - k :]] for k in range(longest, -1, -1) if text[len(text) - k :] in table), [])
+            grown += [(text + c, p * share) for c, share in options if share >= least]
+        if not grown:
+            break
+        paths = sorted(grown, key=lambda x: (-x[1], x[0]))[:width]
+    return [(t[longest:], p) for t, p in paths]
+
+
+def context_table(counts: DataFrame, most: int = 200_000) -> dict[str, list[tuple[str, float]]]:
+    """Supported contexts with their next characters, for ``beam``; refused above ``most`` rows, as it lives on one machine."""
+    totals = counts.groupBy("level", "context").agg(F.sum("n").alias("total"))
+    need = F.element_at(F.create_map(*(x for k, v in SUPPORT.items() for x in (F.lit(k), F.lit(v)))), F.col("level"))
+    rows = counts.join(totals.where(F.col("total") >= need), ["level", "context"]).select("context", "next", (F.col("n") / F.col("total")).alias("share"))
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} contexts: raise the support or the bound")
+    out: dict[str, list[tuple[str, float]]] = {}
+    for r in sorted(found, key=lambda r: (r.context, -r.share, r.next)):
+        out.setdefault(r.context, []).append((r.next, r.share))
+    return out

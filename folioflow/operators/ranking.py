@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sum
+
 
 def kth(df: DataFrame, column: str, k: int, largest: bool = True) -> DataFrame:
     """LARGE or SMALL over a whole table: a bounded top-k, no full sort.  One row, null if there are fewer than ``k`` values."""
@@ -14,10 +16,10 @@ def kth(df: DataFrame, column: str, k: int, largest: bool = True) -> DataFrame:
 
 
 def rank_by_value(df: DataFrame, column: str, ascending: bool = False, out: str = "rank") -> DataFrame:
-    """RANK: ties share the best rank.  Counted by distinct value, so equal values meet once and only values are sorted."""
+    """RANK: ties share the best rank.  Counted by distinct value, so equal values meet once, and summed by ranges of values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    order = F.col(column).asc() if ascending else F.col(column).desc()
-    ranked = counts.withColumn(out, (F.sum("__n").over(Window.orderBy(order)) - F.col("__n") + 1).cast("long")).drop("__n")
+    ranked = running_sum(counts, column, "__n", "__upto", descending=not ascending)
+    ranked = ranked.select(column, (F.col("__upto") - F.col("__n") + 1).cast("long").alias(out))
     return df.join(ranked, column, "left")
 
 
@@ -27,6 +29,13 @@ def recent(df: DataFrame, key: str, at: str, keep: int = 30) -> DataFrame:
     return newest.select(key, "__r.*").orderBy(F.col(at).desc(), key).limit(keep)
 
 
+def recents_json(entries: DataFrame) -> DataFrame:
+    """The list of recent entries as one JSON text, the newest first; ``recent`` bounds it."""
+    fields = [c for c in entries.columns if c != "lastOpened"]
+    items = F.sort_array(F.collect_list(F.struct("lastOpened", *fields)), asc=False)
+    return entries.agg(F.to_json(items).alias("json"))
+
+
 def toggled(marks: DataFrame, key: str, page: str) -> DataFrame:
     """Bookmarks after every toggle: those met an odd number of times."""
     return marks.groupBy(key, page).count().where("count % 2 = 1").select(key, page)

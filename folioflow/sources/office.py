@@ -74,6 +74,30 @@ def merges(spark: SparkSession, path: str, glob: str = "*.xls[xm]") -> DataFrame
     return parsed(files(spark, path, glob), "path string, sheet string, r1 int, r2 int, c1 int, c2 int", read_merges)
 
 
+def links(spark: SparkSession, path: str, glob: str = "*.xls[xm]") -> DataFrame:
+    from .xlsx import read_links
+
+    return parsed(files(spark, path, glob), "path string, sheet string, r1 int, r2 int, c1 int, c2 int, target string", read_links)
+
+
+def comments(spark: SparkSession, path: str, glob: str = "*.xls[xm]") -> DataFrame:
+    from .xlsx import read_comments
+
+    return parsed(files(spark, path, glob), "path string, sheet string, r int, c int, author string, text string", read_comments)
+
+
+def tables(spark: SparkSession, path: str, glob: str = "*.xls[xm]") -> DataFrame:
+    from .xlsx import read_tables
+
+    return parsed(files(spark, path, glob), "path string, sheet string, name string, r1 int, r2 int, c1 int, c2 int, header_rows int, columns array<string>", read_tables)
+
+
+def geometry(spark: SparkSession, path: str, glob: str = "*.xls[xm]") -> DataFrame:
+    from .xlsx import read_geometry
+
+    return parsed(files(spark, path, glob), "path string, sheet string, rtl boolean, frozen_rows int, frozen_cols int, hidden_rows array<int>, hidden_cols array<int>", read_geometry)
+
+
 def blocks(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
     from .docx import read_blocks
 

@@ -69,3 +69,11 @@ def speech_marks(spark: SparkSession, path: str) -> DataFrame:
     schema = "Metadata array<struct<Type:string,Data:struct<Offset:long,Duration:long,text:struct<Text:string>>>>"
     rows = spark.read.text(path).select(F.from_json("value", schema).alias("j")).select(F.explode("j.Metadata").alias("m"))
     return rows.where("m.Type = 'WordBoundary'").select(F.col("m.Data.text.Text").alias("text"), (F.col("m.Data.Offset") / 10000).alias("at_ms"), (F.col("m.Data.Duration") / 10000).alias("ms"))
+
+
+def recognised_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Words of a cache of recognised pages: a head line, then six fields parted by tabs; the boxes are shares of the page."""
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(parts) == 6))
+    names = ("line", "l", "t", "r", "b")
+    return rows.select(*(parts[i].try_cast("int" if i == 0 else "double").alias(n) for i, n in enumerate(names)), parts[5].alias("text"))

@@ -115,3 +115,65 @@ def read_merges(content: bytes) -> Iterator[tuple[str, int, int, int, int]]:
             if all(ends):
                 a, b = ends[0], ends[-1]
                 yield sheet["name"], int(a[2]), int(b[2]), column_number(a[1]), column_number(b[1])
+
+
+def _area(ref: str) -> tuple[int, int, int, int] | None:
+    """``r1, r2, c1, c2`` of a reference to a cell or range."""
+    ends = [_CELL.fullmatch(x.replace("$", "")) for x in ref.split(":")]
+    if not all(ends):
+        return None
+    a, b = ends[0], ends[-1]
+    return int(a[2]), int(b[2]), column_number(a[1]), column_number(b[1])
+
+
+def read_links(content: bytes) -> Iterator[tuple]:
+    """``sheet, r1, r2, c1, c2, target`` of hyperlinks, inner places written ``#place``."""
+    package = Package(content)
+    for sheet in sheets(package)[0]:
+        relations = package.relations(sheet["path"])
+        for link in children(child(package.xml(sheet["path"]), "hyperlinks"), "hyperlink"):
+            area = _area(attribute(link, "ref") or "")
+            relation = relations.get(link.attrib.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id", ""))
+            place = attribute(link, "location")
+            target = (relation.target if relation else "") + (f"#{place}" if place else "")
+            if area and target:
+                yield sheet["name"], *area, target
+
+
+def read_comments(content: bytes) -> Iterator[tuple]:
+    """``sheet, r, c, author, text`` of comments."""
+    package = Package(content)
+    for sheet in sheets(package)[0]:
+        for relation in package.relations(sheet["path"]).values():
+            root = package.xml(relation.target) if relation.kind == "comments" else None
+            authors = [a.text or "" for a in children(child(root, "authors"), "author")]
+            for comment in children(child(root, "commentList"), "comment"):
+                area, who = _area(attribute(comment, "ref") or ""), int(attribute(comment, "authorId") or 0)
+                if area:
+                    text = "".join(t.text or "" for t in comment.iter() if local(t.tag) == "t")
+                    yield sheet["name"], area[0], area[2], authors[who] if who < len(authors) else None, text
+
+
+def read_tables(content: bytes) -> Iterator[tuple]:
+    """``sheet, name, r1, r2, c1, c2, header_rows, columns`` of tables."""
+    package = Package(content)
+    for sheet in sheets(package)[0]:
+        for relation in package.relations(sheet["path"]).values():
+            root = package.xml(relation.target) if relation.kind == "table" else None
+            area = _area(attribute(root, "ref") or "") if root is not None else None
+            if area:
+                columns = [attribute(c, "name") or "" for c in children(child(root, "tableColumns"), "tableColumn")]
+                yield sheet["name"], attribute(root, "displayName") or attribute(root, "name"), *area, int(attribute(root, "headerRowCount") or 1), columns
+
+
+def read_geometry(content: bytes) -> Iterator[tuple]:
+    """``sheet, rtl, frozen_rows, frozen_cols, hidden_rows, hidden_cols``; of a span of columns at most 300 count."""
+    package = Package(content)
+    for sheet in sheets(package)[0]:
+        root = package.xml(sheet["path"])
+        view = child(child(root, "sheetViews"), "sheetView")
+        pane = child(view, "pane")
+        frozen = [int(float(attribute(pane, k) or 0)) if pane is not None and (attribute(pane, "state") or "").startswith("frozen") else 0 for k in ("ySplit", "xSplit")]
+        rows = [int(attribute(r, "r")) for r in children(child(root, "sheetData"), "row") if (attribute(r, "hidden") or "0") in ("1", "true") and attribute(r, "r")]
+        cols = [c for x in children(child(root, "cols"), "col") if (attribute(x, "hidden") or "0") in ("1", "true") for c in range(int(attribute(x, "min")), min(int(attribute(x, "max")), int(attribute(x, "min")) + 299) + 1)]
+        yield sheet["name"], view is not None and (attribute(view, "rightToLeft") or "0") in ("1", "true"), *frozen, rows, cols

@@ -155,3 +155,54 @@ def test_chunks_and_reading_order():
     assert " ".join(chunks).split() == " ".join(parts).split() and all(len(c) <= 420 for c in chunks)
     boxes = [(0, 0, 250, 8), (0, 20, 100, 30), (150, 20, 250, 30), (0, 40, 100, 50), (150, 40, 250, 50), (0, 60, 100, 70), (150, 60, 250, 70), (0, 80, 100, 90), (150, 80, 250, 90)]
     assert layout.xy_order(boxes, 10.0) == [0, 1, 3, 5, 7, 2, 4, 6, 8]
+
+
+def test_workbook_side_tables(spark, tmp_path):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    parts = {
+        "_rels/.rels": rels(("a", "officeDocument", "xl/workbook.xml", "")),
+        "xl/workbook.xml": f"<workbook xmlns='{main}' xmlns:r='{R}'><sheets><sheet name='A' r:id='r1'/></sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": rels(("r1", "worksheet", "worksheets/a.xml", "")),
+        "xl/worksheets/a.xml": f"<worksheet xmlns='{main}' xmlns:r='{R}'><sheetViews><sheetView rightToLeft='1'><pane ySplit='2' state='frozen'/></sheetView></sheetViews><cols><col min='3' max='4' hidden='1'/></cols><sheetData><row r='7' hidden='1'/></sheetData><hyperlinks><hyperlink ref='A1:B2' r:id='h'/><hyperlink ref='C3' location='A!A1'/></hyperlinks></worksheet>",
+        "xl/worksheets/_rels/a.xml.rels": rels(("h", "hyperlink", "http://x.org/", "TargetMode='External'"), ("c", "comments", "../comments1.xml", ""), ("t", "table", "../tables/t.xml", "")),
+        "xl/comments1.xml": f"<comments xmlns='{main}'><authors><author>me</author></authors><commentList><comment ref='B2' authorId='0'><text><r><t>a </t></r><r><t>note</t></r></text></comment></commentList></comments>",
+        "xl/tables/t.xml": f"<table xmlns='{main}' displayName='T1' ref='A1:B9' headerRowCount='1'><tableColumns><tableColumn name='x'/><tableColumn name='y'/></tableColumns></table>",
+    }
+    (tmp_path / "a.xlsx").write_bytes(package(parts))
+    p = str(tmp_path)
+    assert sorted(tuple(r)[1:] for r in sources.links(spark, p).collect()) == [("A", 1, 2, 1, 2, "http://x.org/"), ("A", 3, 3, 3, 3, "#A!A1")]
+    assert [tuple(r)[1:] for r in sources.comments(spark, p).collect()] == [("A", 2, 2, "me", "a note")]
+    assert [tuple(r)[1:] for r in sources.tables(spark, p).collect()] == [("A", "T1", 1, 9, 1, 2, 1, ["x", "y"])]
+    assert [tuple(r)[1:] for r in sources.geometry(spark, p).collect()] == [("A", True, 2, 0, [7], [3, 4])]
+
+
+def test_recognition_helpers(spark, tmp_path):
+    import numpy as np
+
+    from folioflow.operators import imageprep, ngram, ranking
+    from folioflow.sources.plain import recognised_cache
+
+    words = spark.createDataFrame([(1, 1, 0, "Hello", 0, 0, 5, 5, 90), (1, 1, 1, ",", 5, 0, 6, 5, 70), (1, 2, 2, ".", 0, 9, 1, 9, 50)], "page int, line int, pos int, text string, x0 int, y0 int, x1 int, y1 int, conf int")
+    assert sorted((r.line, r.text, r.x1) for r in layout.glued(words).collect()) == [(1, "Hello,", 6), (2, ".", 1)]
+    grey = np.tile(np.array([[100, 110, 120, 130]], np.uint8), (4, 1))
+    assert imageprep.stretched(grey).min() == 0 and imageprep.stretched(grey).max() == 255
+    page = np.full((20, 20), 200, np.uint8)
+    page[8:12, 8:12] = 20
+    black = imageprep.thresholded(page, 9) == 0
+    assert black[8:12, 8:12].all() and black.sum() == 16
+    (tmp_path / "cache").write_text("#ocr1\n3\t0.1\t0.2\t0.3\t0.4\thi\nbad\n")
+    assert [tuple(r) for r in recognised_cache(spark, str(tmp_path / "cache")).collect()] == [(3, 0.1, 0.2, 0.3, 0.4, "hi")]
+    text = spark.createDataFrame([("banana",)] * 50, "t string")
+    table = ngram.context_table(ngram.contexts(text, "t"))
+    assert ngram.beam("ban", table, 3)[0] == ("banana", 1.0)
+    recents = spark.createDataFrame([("a", "A", 5), ("b", "B", 9)], "uri string, displayName string, lastOpened long")
+    assert ranking.recents_json(recents).first().json == '[{"lastOpened":9,"uri":"b","displayName":"B"},{"lastOpened":5,"uri":"a","displayName":"A"}]'
+
+
+def test_running_sum(spark):
+    from pyspark.sql import functions as F
+
+    from folioflow.operators.running import running_sum
+
+    got = running_sum(spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.lit(2).alias("v")), "k", "v", "s").collect()
+    assert all(r.s == 2 * (r.k + 1) for r in got) and len(got) == 1000
