@@ -131,8 +131,11 @@ class Index:
     items: dict[tuple[int, ...], list[int]]
     rare: np.ndarray
     rare_owner: np.ndarray
-    shapes: list[tuple[int, ...]]
-    pairs: list[np.ndarray]
+    all_pairs: np.ndarray
+    item_pairs: np.ndarray
+    sizes: np.ndarray
+    widths: np.ndarray
+    needs: np.ndarray
     tables: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]]
     max_rate: float
 
@@ -148,13 +151,17 @@ def build(rows: list[tuple[int, str | None]], max_rate: float = MAX_RATE) -> Ind
         if len(found) >= MIN_WORDS:
             items.setdefault(found, []).append(item_id)
     width, shapes = np.int64(len(vocabulary) + 1), sorted(items)
-    index = Index(vocabulary, items, np.zeros(0, np.int64), np.zeros(0, np.int64), shapes, [], {}, max_rate)
+    edits = [int(max_rate * len(x) + 1e-9) for x in shapes]
     runs = [np.array([a * width + b for a, b in zip(x, x[1:], strict=False)], np.int64) for x in shapes]
-    index.pairs = [np.unique(r) for r in runs]
-    held = Counter(c for p in index.pairs for c in p.tolist())
-    rare = [(c, i) for i, r in enumerate(runs) for c in set(sorted(r.tolist(), key=lambda c: (held[c], c))[: 2 * index.edits(len(shapes[i])) + 1])]
-    rare.sort()
-    index.rare, index.rare_owner = np.array([c for c, _ in rare], np.int64), np.array([i for _, i in rare], np.int64)
+    every = np.unique(np.concatenate([*runs, np.zeros(0, np.int64)]))
+    held = Counter(c for r in runs for c in set(r.tolist()))
+    rare = sorted((c, i) for i, r in enumerate(runs) for c in set(sorted(r.tolist(), key=lambda c: (held[c], c))[: 2 * edits[i] + 1]))
+    own = [np.unique(np.searchsorted(every, r)) + np.int64(i) * len(every) for i, r in enumerate(runs)]
+    sizes = np.array([len(x) for x in shapes], np.int64)
+    index = Index(
+        vocabulary, items, np.array([c for c, _ in rare], np.int64), np.array([i for _, i in rare], np.int64), every, np.concatenate([*own, np.zeros(0, np.int64)]), sizes,
+        sizes + np.array(edits, np.int64) - 1, sizes - 1 - 2 * np.array(edits, np.int64), {}, max_rate,
+    )
     for n in sorted({len(x) for x in items}):
         own = [x for x in items if len(x) == n]
         code = keys(np.array(own))
@@ -168,26 +175,32 @@ def _starts(index: Index, code: np.ndarray) -> dict[int, np.ndarray]:
     """By window size, the places at which a window passes the filter."""
     left, right = np.searchsorted(index.rare, code, "left"), np.searchsorted(index.rare, code, "right")
     hits = np.flatnonzero(right > left)
-    found: dict[int, set[int]] = {}
-    done: dict[int, int] = {}
-    for pos, a, b in zip(hits.tolist(), left[hits].tolist(), right[hits].tolist(), strict=True):
-        for i in index.rare_owner[a:b].tolist():
-            n = len(index.shapes[i])
-            e = index.edits(n)
-            width = n + e - 1  # pairs in the longest run that can match
-            first = max(0, pos - width + 1, done.get(i, 0))
-            if first > pos:
-                continue
-            done[i] = pos + 1
-            own = index.pairs[i]
-            part = code[first : pos + width]
-            slot = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            sums = np.concatenate(([0], np.cumsum(own[slot] == part)))
-            at = np.arange(pos + 1 - first)
-            good = at[sums[np.minimum(at + width, len(part))] - sums[at] >= n - 1 - 2 * e]
-            if len(good):
-                found.setdefault(n, set()).update((good + first).tolist())
-    return {n: np.array(sorted(x), np.int64) for n, x in found.items()}
+    if not len(hits):
+        return {}
+    # Every rare pair met, with each item that has it.
+    many = (right - left)[hits]
+    pos = np.repeat(hits, many)
+    item = index.rare_owner[np.repeat(left[hits] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    width, need, size = index.widths[item], index.needs[item], index.sizes[item]
+    # Around each, the pairs that a match could span: width before the pair and width after.
+    span = 2 * width - 1
+    first = np.cumsum(span) - span
+    inner = np.arange(span.sum()) - np.repeat(first, span)
+    at = np.repeat(pos - width + 1, span) + inner
+    known = np.minimum(np.searchsorted(index.all_pairs, code), len(index.all_pairs) - 1)
+    known = np.where(index.all_pairs[known] == code, known, -1)
+    near = np.where((at >= 0) & (at < len(code)), known[np.clip(at, 0, len(code) - 1)], -1)
+    wanted = np.repeat(item, span) * np.int64(len(index.all_pairs)) + near
+    slot = np.minimum(np.searchsorted(index.item_pairs, wanted), len(index.item_pairs) - 1)
+    sums = np.concatenate(([0], np.cumsum((near >= 0) & (index.item_pairs[slot] == wanted))))
+    # A window may start at any of the first width places.
+    lead = inner < np.repeat(width, span)
+    start, whose = np.flatnonzero(lead), np.repeat(np.arange(len(item)), span)[lead]
+    good = (sums[start + width[whose]] - sums[start] >= need[whose]) & (at[start] >= 0)
+    found = {}
+    for n in np.unique(size[whose[good]]).tolist():
+        found[n] = np.unique(at[start[good & (size[whose] == n)]])
+    return found
 
 
 def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
@@ -239,7 +252,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
         shared = spark.sparkContext.broadcast(build(rows, max_rate))
 
-        found = F.pandas_udf(_finder(shared), _MATCH)(F.col(text_col))
+        # Marked so that a filter on the result, such as explode brings, does not run it a second time.
+        found = F.pandas_udf(_finder(shared), _MATCH).asNondeterministic()(F.col(text_col))
         result = result.withColumn(out, found if blocks == 1 else F.concat(F.col(out), found))
     return result
 
