@@ -27,6 +27,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by a key over the session's full number of shuffle partitions.
+
+    For few small rows that are about to become many: adaptive execution would merge
+    them into one task by what they weigh before.  The key is hashed once more, else
+    the deal would be dropped as one the rows already have.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import checkpointed
+from .common import checkpointed, spread
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -113,10 +113,10 @@ def _points(fp: Column) -> Column:
 
 def links(prints: DataFrame) -> DataFrame:
     """Verified links ``a``, ``b`` that connect whatever distinct fingerprints ``fp`` lie within the radius of each other."""
-    sent = prints.select("fp", F.inline(_halves(F.col("fp"))))
+    sent = spread(prints.select("fp"), "fp").select("fp", F.inline(_halves(F.col("fp"))))
     # A half word in two fingerprints, or in one and within a bit of another.
     live = sent.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own = 1").select("key")
-    near = sent.join(live, "key", "left_semi").select("fp").distinct()
+    near = spread(sent.join(live, "key", "left_semi").select("fp").distinct(), "fp")
     points = near.select("fp", F.inline(_points(F.col("fp"))))
     met = points.groupBy("point").agg(F.collect_list(F.struct("steps", "fp")).alias("met")).where(F.size("met") > 1)  # at most 2081
     hub = F.array_min("met")
