@@ -61,17 +61,21 @@ _NAME = r"[^\W\d_a-zа-яα-ωß-öø-ÿ][^\W\d_A-ZА-ЯΑ-Ω]+"
 #: Words that never belong to a name even where one could stand.
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b\"?\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_\-]{8,}))"
+    r"|(?P<secret>(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b\"?\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_\-]{6,}))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\d-]))"
     r"|(?P<phone>(?<![\w.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<access>\b(?:AKIA|ASIA|AROA)[0-9A-Z]{16}\b|\b(?:gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-)[A-Za-z0-9_-]{16,})"
     r"|(?P<hex>\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}\b)"
 )
 _TITLED = re.compile(rf"\b(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\.?[ ](?P<first>{_NAME})(?:[ ](?P<last>{_NAME}))?")
 _GIVEN_NAME = re.compile(rf"\b(?P<first>{'|'.join(_GIVEN)})[ ](?P<last>{_NAME})")
-_MAY_HOLD = re.compile(r"[0-9@]|(?i:passw|secret|token|api[_-]?key)")
+_MARK = re.compile("[0-9@]")
+#: What every entity without a digit or an at sign holds: one of these in lower case, or in the text as it is.
+_SECRET_WORDS = ("passw", "secret", "token", "api_key", "api-key", "apikey")
+_KEY_HEADS = ("AKIA", "ASIA", "AROA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "xox")
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME_WORDS = frozenset(_GIVEN) | frozenset(_TITLE)
 
@@ -162,6 +166,9 @@ def surrogate(key: bytes, kind: str, value: str, tries: int = 0) -> str:
         local, _, domain = value.partition("@")
         host, dot, top = domain.rpartition(".")
         return _by_class(key, f"{tweak}|{len(local)}|{top.lower()}", f"{local}@{host}", _CLASS) + dot + top
+    if kind == "access":
+        head = re.match(r"[A-Z]{4}|[a-z_]+[-_]|\w+-", value)[0]
+        return head + _by_class(key, f"{tweak}|{head}", value[len(head) :], _CLASS)
     if kind == "iban":
         return value[:2] + _by_class(key, f"{tweak}|{value[:2]}", value[2:], _CLASS)
     if kind == "phone" and value[0] == "+":
@@ -177,7 +184,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     out: list[tuple[int, int, str, str]] = []
     if not text:
         return out
-    if _MAY_HOLD.search(text):
+    low = text.lower()
+    if _MARK.search(text) or any(w in low for w in _SECRET_WORDS) or any(w in text for w in _KEY_HEADS):
         for m in _PATTERN.finditer(text):
             kind = m.lastgroup if m.lastgroup != "secret_value" else "secret"
             kind = "secret" if m["secret"] else kind
