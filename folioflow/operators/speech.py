@@ -154,20 +154,13 @@ def foreign_letters(s: Column) -> Column:
     return F.translate(s, "".join(FOREIGN), "".join(FOREIGN.values()))
 
 
+_TOKEN = re.compile("[^\\s\u00a0\u202f\u2007]+")
+
+
 def with_offsets(s: Column) -> Column:
     """Tokens and where each starts in the text, blanks of all kinds between them."""
-    blank = r"[\s   ]"
-    pieces = F.regexp_extract_all(s, F.lit(f"{blank}*[^\\s   ]+"), F.lit(0))
-    step = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int>>").alias("out")),
-        lambda a, p: F.struct(
-            (a.at + F.length(p)).alias("at"),
-            F.concat(a.out, F.array(F.struct(F.regexp_replace(p, f"^{blank}+", "").alias("token"), (a.at + F.length(p) - F.length(F.regexp_replace(p, f"^{blank}+", ""))).alias("start")))).alias("out"),
-        ),
-        lambda a: a.out,
-    )
-    return F.when(F.size(pieces) > 0, step).otherwise(F.array().cast("array<struct<token:string,start:int>>"))
+    kind = ArrayType(StructType([StructField("token", StringType()), StructField("start", IntegerType())]))
+    return F.coalesce(_udf(lambda x: [(m[0], m.start()) for m in _TOKEN.finditer(x)], kind)(s), F.array().cast(kind))
 
 
 def language_runs(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", token: str = "word") -> DataFrame:

@@ -66,11 +66,11 @@ def block_html(spark, d):
     return read(spark, d, "nation").select("n_nationkey", html.block_html(kind, F.lit(2), F.col("n_name")).alias("h"))
 
 
-@REGISTER("wb_formats", "SELECT o_orderkey, printf('%,.2f', o_totalprice::DECIMAL(18,2)) AS money, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey <= 2000")
+@REGISTER("wb_formats", "SELECT o_orderkey, printf('%,.2f', o_totalprice::DECIMAL(18,2)) AS money, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def shown(spark, d):
     from ..functions.dates import date_serial
 
-    t = read(spark, d, "orders").where("o_orderkey <= 2000").select("o_orderkey", "o_totalprice", date_serial(F.col("o_orderdate")).alias("serial"), F.lit("#,##0.00").alias("k1"), F.lit("yyyy-mm-dd").alias("k2"))
+    t = read(spark, d, "orders").select("o_orderkey", "o_totalprice", date_serial(F.col("o_orderdate")).alias("serial"), F.lit("#,##0.00").alias("k1"), F.lit("yyyy-mm-dd").alias("k2"))
     t = workbook.shown_values(workbook.shown_values(t, "o_totalprice", "k1", "money"), "serial", "k2", "day")
     return t.select("o_orderkey", "money", "day")
 
@@ -90,9 +90,9 @@ def forms(spark, d):
     return t.select("w", speech.applied("speech", F.col("w")).alias("said"))
 
 
-@REGISTER("sp_offsets", r"SELECT doc_id, count(*)::BIGINT AS n, sum(length(w))::BIGINT AS chars FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[\s   ]+'), lambda x: x <> '')) AS w FROM documents WHERE doc_id < 50) GROUP BY 1")
+@REGISTER("sp_offsets", r"SELECT doc_id, count(*)::BIGINT AS n, sum(length(w))::BIGINT AS chars FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[\s   ]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY 1")
 def offsets(spark, d):
-    t = read(spark, d, "documents").where("doc_id < 50").select("doc_id", "text", F.inline(speech.with_offsets(F.col("text"))))
+    t = read(spark, d, "documents").select("doc_id", "text", F.inline(speech.with_offsets(F.col("text"))))
     t = t.where(F.expr("substring(text, start + 1, length(token)) = token"))
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("chars"))
 
@@ -115,9 +115,9 @@ def pieces(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(speech.speech_pieces(F.col("text"), 3300)).alias("part", "t")).select("doc_id", "part", F.octet_length("t").alias("bytes"))
 
 
-@REGISTER("sp_timeline", "SELECT user_id, event_id, (v + coalesce((SELECT sum(d) FROM (SELECT user_id AS u, max(v + 1) AS d FROM (SELECT user_id, event_id % 60 AS v FROM events WHERE user_id < 12) GROUP BY 1) WHERE u < user_id), 0))::BIGINT AS at_ms FROM (SELECT user_id, event_id, event_id % 60 AS v FROM events WHERE user_id < 12)")
+@REGISTER("sp_timeline", "SELECT user_id, event_id, (v + coalesce((SELECT sum(d) FROM (SELECT user_id AS u, max(v + 1) AS d FROM (SELECT user_id, event_id % 60 AS v FROM events) GROUP BY 1) WHERE u < user_id), 0))::BIGINT AS at_ms FROM (SELECT user_id, event_id, event_id % 60 AS v FROM events)")
 def timeline(spark, d):
-    t = read(spark, d, "events").where("user_id < 12").select("user_id", "event_id", (F.col("event_id") % 60).alias("at_ms"), F.lit(1).alias("ms"), F.lit(1).alias("chars"))
+    t = read(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 60).alias("at_ms"), F.lit(1).alias("ms"), F.lit(1).alias("chars"))
     return speech.joined_timeline(t, "user_id").select("user_id", "event_id", F.col("at_ms").cast("long").alias("at_ms"))
 
 
