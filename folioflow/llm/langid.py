@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -42,6 +42,8 @@ from .common import crc_of_id
 ORDER = 3
 #: Bound of the training sample: whole texts a language.
 SAMPLE_ROWS = 400
+#: Longer texts are not learned from, so the sample has a bound in characters too.  They are predicted like others.
+SAMPLE_CHARS = 1 << 17
 #: Bytes scored at once.
 PIECE = 1 << 19
 
@@ -195,7 +197,7 @@ def predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
 
 def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, learnable: Column, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
     """At most ``rows`` whole texts a language, of smallest id hash."""
-    able = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    able = docs.where(learnable & F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
     sizes = able.groupBy(lang_col).count().collect()  # one row a language
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
     # The hash is uniform: a threshold with room to spare leaves few rows, and the exact cut is made on those.
@@ -204,10 +206,12 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, learnable
         share = min(1.0, 1.5 * rows / r["count"] + 20 / r["count"])
         cut = cut | ((F.col(lang_col) == r[lang_col]) & (order <= F.lit(int(min((1 << 63) - 1, -(1 << 63) + share * (1 << 64))))))
     picked = able.where(cut).select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
+    # The hash says nothing of rows that repeat an id: the bound is kept by rank, among the few rows the threshold left.
+    first = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
     out: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.toLocalIterator():
+    for r in first.collect():
         out.setdefault(r.lang, []).append((r.h, r.text))
-    return {lang: [t for _, t in sorted(found)[:rows]] for lang, found in out.items()}
+    return {lang: [t for _, t in sorted(found)] for lang, found in out.items()}
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -37,6 +37,8 @@ from .common import crc_of_id
 
 #: Bound of the training sample, in labelled rows.
 SAMPLE_ROWS = 3000
+#: Longer texts are not learned from, so the sample has a bound in characters too.  They are scored like others.
+SAMPLE_CHARS = 1 << 17
 BUCKETS = 1 << 17
 DIM = 8
 #: Bytes in a character n-gram.
@@ -221,8 +223,10 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable, rows:
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))
     able = labels.where(learnable & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
     picked = able.select("doc_id", F.col(label_col).cast("int").alias("label"), order.alias("h")).orderBy("h", "label").limit(rows)  # the bound of the broadcast
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = sorted(((r.h, r.label, r.text) for r in found.toLocalIterator()), key=lambda x: x[:2])[:rows]
+    found = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # Ids that repeat in ``docs`` could pass the bound again: the first rows in order of hash are taken.
+    found = found.orderBy("h", "label", "text").limit(rows)
+    got = [(r.h, r.label, r.text) for r in found.collect()]
     return [t for _, _, t in got], [y for _, y, _ in got]
 
 
