@@ -52,27 +52,44 @@ class LineRules:
     max_loss: float = 0.5
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def word_chars(text: Column) -> Column:
+    return F.length(F.array_join(words(text), ""))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(_without(text, _BLANKS))
+def symbols_in(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
+
+
+_SEPARATORS = "[|»•·]"
+_LAST = list(".!?…:;\"')]»”")
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a line that has a word breaks the punctuation, navigation or boilerplate rules."""
+def suspicions(text: Column, low: Column | None = None) -> dict[str, Column]:
+    """What a text must hold for any of its lines to break a rule; cheap beside asking every line.  ``low`` is the text in lower case."""
+    low = F.lower(text) if low is None else low
+    phrase = F.lit(False)
+    for p in BOILERPLATE:
+        phrase = phrase | low.contains(p)
+    return {"symbols": symbols_in(text) > 0, "separators": text.rlike(_SEPARATORS), "shouts": text.contains("!!"), "boilerplate": phrase}
+
+
+def line_fails(line: Column, rules: LineRules, may: dict[str, Column] | None = None) -> Column:
+    """Whether a line that has a word breaks the punctuation, navigation or boilerplate rules.
+
+    ``may`` has the suspicions of the whole text; a rule without one is not asked.
+    """
+    may = may or suspicions(line)
     n_words = F.size(words(line))
-    n_symbols = F.length(line) - F.length(_without(line, SYMBOLS))
-    n_separators = F.length(line) - F.length(_without(line, "|»•·"))
+    n_symbols = symbols_in(line)
+    n_separators = F.regexp_count(line, F.lit(_SEPARATORS))
     n_shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
-    ends = F.rtrim(F.translate(line, _BLANKS, "      ")).rlike("[.!?…:;\"')\\]»”]$")
+    ends = F.right(F.rtrim(line, F.lit(_BLANKS)), F.lit(1)).isin(_LAST)
     return (
-        (n_symbols >= rules.symbols_per_word * n_words)
-        | (n_separators >= rules.separators)
-        | (n_shouts >= rules.shouts)
-        | ((n_words < rules.short_line) & ~ends)
-        | F.lower(line).rlike("|".join(BOILERPLATE))
+        (may["symbols"] & (n_symbols > 0) & (n_symbols >= rules.symbols_per_word * n_words))
+        | (may["separators"] & (n_separators >= rules.separators))
+        | (may["shouts"] & (n_shouts >= rules.shouts))
+        | (~ends & (n_words < rules.short_line))
+        | (may["boilerplate"] & F.lower(line).rlike("|".join(BOILERPLATE)))
     )
 
 
@@ -117,22 +134,24 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rules = rules or LineRules()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumns({"w": words(F.col("text")), "lines": F.split("text", "\n")})
-    full = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumns({"full": full, "good": F.filter(F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: ~line_fails(x, rules))})
-    chars = word_chars(F.col("text"))
-    left = word_chars(F.array_join("good", ""))
+    rows = rows.withColumn("low", F.lower("text"))
+    rows = rows.withColumns({"w": words(F.col("text")), "lines": F.split("text", "\n"), "n_symbols": symbols_in(F.col("text")), **{f"may_{k}": v for k, v in suspicions(F.col("text"), F.col("low")).items()}})
+    may = {k: F.col(f"may_{k}") for k in ("symbols", "separators", "shouts", "boilerplate")}
+    rows = rows.withColumn("full", F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    rows = rows.withColumn("good", F.filter("full", lambda x: ~line_fails(x, rules, may)))
+    chars = F.length(F.array_join("w", ""))
+    left = word_chars(F.array_join("good", " "))
     n, repeats = F.size("w"), F.col("n_repeat_words")
     out = rows.select(
         F.col("id").alias(id_col),
         n.cast("long").alias("n_words"),
         chars.cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("w")).cast("long").alias("n_repeat_words"),
         F.size("full").cast("long").alias("n_lines"),
         (F.size("full") - F.size("good")).cast("long").alias("n_lines_removed"),
-        F.when(chars > 0, 1 - left / chars).otherwise(0.0).alias("lost_share"),
+        F.when(F.size("good") < F.size("full"), 1 - left / chars).otherwise(0.0).alias("lost_share"),
         F.array_join("good", "\n").alias("clean_text"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * repeats > 20 * F.col("n_words")))
