@@ -9,7 +9,8 @@ Template.  A turn is ``<s>role\\ntext</s>``.  Control strings inside a text
 more if they have some already; taking one away again restores the text exactly.
 
 Native expressions only.  A conversation is handled in blocks of ``BLOCK`` turn
-numbers, so a very long conversation is many small groups, not one.
+numbers, so a very long conversation is many small groups, not one; later blocks are
+sent its system turn.  Texts are shuffled once.
 
 Defined results
     null text or role    empty
@@ -77,12 +78,13 @@ def format_windows(
     role_col: str = "role",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per window: ``conv_id, block, span, text, n_repeated, n_turns, n_tokens, loss``.
+    """One row per window: ``conv_id, block, span, text, n_repeated, n_turns, n_tokens, fresh_at, loss``.
 
     ``n_repeated`` counts the turns at the head of the window that earlier windows
-    hold too; ``loss`` holds ``start`` and ``end`` code points of the targets in
-    ``text``.  A span takes turns while system turn, full history and span fit in
-    ``budget``.  ``tokens`` maps a marked-up turn to its token count.
+    hold too, and ``fresh_at`` the code points they take; ``loss`` holds ``start`` and
+    ``end`` code points of the targets in ``text``.  A span takes turns while system
+    turn, full history and span fit in ``budget``.  ``tokens`` maps a marked-up turn to
+    its token count.
     """
     empty = F.lit("")
     rows = turns.select(
@@ -91,25 +93,31 @@ def format_windows(
         F.coalesce(F.col(role_col), empty).alias("role"),
         F.coalesce(F.col(text_col), empty).alias("text"),
     )
-    rows = rows.withColumn("fmt", marked(F.col("role"), F.col("text"))).withColumn("t", tokens(F.col("fmt")))
     at = F.coalesce("turn", F.lit(0))
     home = F.floor(at / BLOCK).cast("long")
     late = F.pmod(at, F.lit(BLOCK)) >= BLOCK - CARRY
     dealt = rows.select("*", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))).alias("block")).withColumn("own", F.col("block") == home)
-    item = F.struct("turn", "role", "text", "fmt", "t", "own", F.octet_length("fmt").alias("n"))
-    groups = dealt.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(item)).alias("all"), F.max("own").alias("live")).where("live")
-    # The system turn is the conversation's first turn, whichever block that is in.
-    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text", "fmt", "t")).alias("first"))
-    groups = groups.join(first.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    is_system = F.col("first.role") == "system"
-    head_here = F.col("all")[0].own & is_system & (F.struct(*(F.col("all")[0][k] for k in ("role", "text"))) == F.struct("first.role", "first.text")) & F.col("all")[0].turn.eqNullSafe(F.col("first.turn"))
+    # Conversations of several blocks that start with a system turn: few rows, and no texts but those turns.
+    system = F.when(F.col("role") == "system", F.struct("turn", "role", "text"))
+    heads = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("f"), F.min(system).alias("s"), F.min(home).alias("first"), F.max(home).alias("last"))
+    heads = heads.where((F.col("last") > F.col("first")) & (F.col("f.role") == "system") & F.col("f.turn").eqNullSafe(F.col("s.turn")))
+    later = dealt.where("own").select(F.col("conv_id").alias("c"), "block").distinct()
+    sent = heads.join(later, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") > F.col("first"))).select("conv_id", "s.turn", "s.role", "s.text", "block", F.lit(False).alias("own"), F.lit(0).alias("rank"))
+    every = dealt.withColumn("rank", F.lit(1)).unionByName(sent)
+    groups = every.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("rank", "turn", "role", "text", "own"))).alias("all"), F.max("own").alias("live")).where("live")
+    made = F.transform("all", lambda x: F.struct(x["rank"].alias("rank"), x["role"].alias("role"), x["text"].alias("text"), x["own"].alias("own"), marked(x["role"], x["text"]).alias("fmt")))
+    groups = groups.withColumn("all", made)
+    groups = groups.withColumn("all", F.transform("all", lambda x: F.struct(x["rank"].alias("rank"), x["role"].alias("role"), x["text"].alias("text"), x["own"].alias("own"), x["fmt"].alias("fmt"), tokens(x["fmt"]).alias("t"))))
+    top = F.col("all")[0]
+    head_here = top["own"] & (top["role"] == "system")
+    has_system = head_here | (top["rank"] == 0)
     groups = groups.select(
         "conv_id",
         "block",
-        F.when(is_system, F.col("first")).alias("system"),
+        F.when(has_system, top).alias("system"),
         head_here.alias("head"),
-        F.when(head_here, F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")).alias("turns"),
-        F.greatest(F.lit(1), F.lit(budget - history) - F.when(is_system, F.col("first.t")).otherwise(0)).cast("long").alias("room"),
+        F.when(has_system, F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")).alias("turns"),
+        F.greatest(F.lit(1), F.lit(budget - history) - F.when(has_system, top["t"]).otherwise(0)).cast("long").alias("room"),
     )
     # cum[i]: tokens of the turns before turn i.
     groups = groups.withColumn(
@@ -159,6 +167,7 @@ def format_windows(
         F.concat("before", F.array_join(F.transform("new", lambda x: x.fmt), "")).alias("text"),
         (system_repeated + F.size("past")).cast("long").alias("n_repeated"),
         (F.col("system").isNotNull().cast("int") + F.size("past") + F.size("new")).cast("long").alias("n_turns"),
+        F.when(F.col("own_head"), 0).otherwise(F.length("before")).alias("fresh_at"),
         (F.coalesce(F.col("system.t"), F.lit(0)) + F.aggregate(F.concat("past", "new"), F.lit(0).cast("long"), lambda a, x: a + x.t)).cast("long").alias("n_tokens"),
         loss.alias("loss"),
     )
@@ -170,14 +179,21 @@ def read_back(windows: DataFrame) -> DataFrame:
     The digest of a conversation covers all its turns in order, so this gathers one
     conversation's text in one row, as the digest itself demands.
     """
-    pieces = F.filter(F.split("text", "</s>"), lambda p: p != "")
-    turns = F.transform(pieces, lambda p: F.concat(unescape_role(F.regexp_extract(p, r"^<s>([^\n]*)\n", 1)), F.lit("\n"), unescape(F.regexp_replace(p, r"^<s>[^\n]*\n", "")), F.lit("\n")))
-    fresh = F.slice(turns, F.col("n_repeated").cast("int") + 1, F.greatest(F.size(turns) - F.col("n_repeated").cast("int"), F.lit(0)))
-    targets = F.transform("loss", lambda x: unescape(F.substring(F.col("text"), x.start + 1, x.end - x.start)))
-    rows = windows.select("conv_id", F.struct("block", "span", fresh.alias("turns"), F.array_join(targets, "").alias("loss")).alias("w"), F.length("text").alias("n"))
+    # What a window repeats is left behind; the rest of its text, with the mask, is all that moves.
+    tail = F.substring(F.col("text"), F.col("fresh_at") + 1, F.length("text"))
+    spans = F.transform("loss", lambda x: F.struct((x.start - F.col("fresh_at")).alias("start"), (x.end - F.col("fresh_at")).alias("end")))
+    rows = windows.select("conv_id", F.struct("block", "span", tail.alias("text"), spans.alias("loss")).alias("w"), F.length("text").alias("n"))
     rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"), F.sum("n").alias("n"))
-    turns = F.flatten(F.transform("w", lambda x: x.turns))
-    loss = F.array_join(F.transform("w", lambda x: x.loss), "")
+
+    def turns_of(w: Column) -> Column:
+        pieces = F.filter(F.split(w["text"], "</s>"), lambda p: p != "")
+        return F.transform(pieces, lambda p: F.concat(unescape_role(F.regexp_extract(p, r"^<s>([^\n]*)\n", 1)), F.lit("\n"), unescape(F.regexp_replace(p, r"^<s>[^\n]*\n", "")), F.lit("\n")))
+
+    def targets_of(w: Column) -> Column:
+        return F.array_join(F.transform(w["loss"], lambda x: unescape(F.substring(w["text"], x.start + 1, x.end - x.start))), "")
+
+    turns = F.flatten(F.transform("w", turns_of))
+    loss = F.array_join(F.transform("w", targets_of), "")
     rows = rows.select("conv_id", "n", turns.alias("turns"), loss.alias("loss"))
     return rows.select(
         "conv_id",

@@ -90,6 +90,7 @@ def conversations():
     out[5] = [("user", None), (None, "who"), ("odd\\role\nname", "x"), ("assistant", "done")]
     out[6] = [("user" if i % 2 == 0 else "assistant", f"turn {i} " + "t" * (i % 50)) for i in range(400)]
     out[7] = [("assistant", "v" * 9000)]
+    out[8] = [("system", "rules")] + [("user" if i % 2 == 0 else "assistant", f"say {i}") for i in range(300)]
     return out
 
 
@@ -110,6 +111,9 @@ def test_chat_round_trip_and_budget(spark):
     heads = [w for w in rows(windows) if w["conv_id"] == 2]
     assert len(heads) > 1 and all(w["text"].startswith("<s>system\nbe brief</s>") for w in heads)
     assert any(w["n_repeated"] > 1 for w in rows(windows) if w["conv_id"] == 6)
+    long = [w for w in rows(windows) if w["conv_id"] == 8]
+    assert len({w["block"] for w in long}) == 5 and all(w["text"].startswith("<s>system\nrules</s>") for w in long)
+    assert sum(w["n_turns"] - w["n_repeated"] for w in long) == 301
 
 
 def test_chat_edge_tables(spark):
