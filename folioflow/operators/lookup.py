@@ -8,7 +8,20 @@ from pyspark.sql import functions as F
 #: A key table of at most so many rows is broadcast.
 SMALL = 50_000
 #: Cuts of the key range when a nearest-key lookup has two large sides.
-CUTS = 256
+CUTS = 64
+
+
+def _below(value: Column, ends: list) -> Column:
+    """How many of the ascending ``ends`` are not above ``value``: a tree of comparisons, its depth the logarithm of their number."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value < F.lit(ends[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    return F.when(value.isNull(), F.lit(0)).otherwise(tree(0, len(ends)))
+
 
 
 def _bounded(table: DataFrame) -> bool:
@@ -57,12 +70,12 @@ def nearest(left: DataFrame, table: DataFrame, look: str, key: str, take: dict[s
     rows = left.withColumn("__x", F.col(look) * sign)
     if keyed.limit(CUTS + 1).count() <= CUTS:
         holder = [r["__k"] for r in keyed.select("__k").orderBy("__k").collect()]
-        n = F.size(F.filter(F.array(*map(F.lit, holder)) if holder else F.array().cast("array<double>"), lambda k: k <= F.col("__x")))
+        n = _below(F.col("__x"), holder)
         numbered = keyed.withColumn("__i", F.row_number().over(Window.orderBy("__k")))
         joined = rows.withColumn("__n", n).join(F.broadcast(numbered), F.col("__n") == F.col("__i"), "left")
         return joined.withColumns({n: F.col("__row")[s] for n, s in take.items()}).drop("__x", "__n", "__i", "__k", "__row")
     cuts = keyed.agg(F.percentile_approx("__k", [i / CUTS for i in range(1, CUTS)], 10000).alias("c")).first().c or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda k: k <= F.col("__v")))
+    at = _below(F.col("__v"), sorted(set(cuts)))
     keys = keyed.withColumn("__v", F.col("__k")).withColumn("__cut", at).drop("__v")
     rows = rows.withColumn("__v", F.col("__x")).withColumn("__cut", at).drop("__v").withColumn("__left", F.struct(*left.columns))
     both = rows.select("__cut", F.col("__x").alias("__o"), F.lit(1).alias("__side"), "__left", F.lit(None).cast(keyed.schema["__row"].dataType).alias("__row"))

@@ -14,7 +14,8 @@ def plan_text(df: DataFrame) -> str:
 
 def operators(df: DataFrame) -> Counter:
     """How often each operator occurs in the plan."""
-    return Counter(re.findall(r"(?:\+-|:-)?\s*(?:\*\(\d+\) )?([A-Z]\w+)", "\n".join(line.lstrip(" :+-") for line in plan_text(df).splitlines())))
+    found = (re.match(r"[\s:+-]*(?:\*\(\d+\) )?([A-Z]\w+)", line) for line in plan_text(df).splitlines())
+    return Counter(m[1] for m in found if m)
 
 
 def shuffles(df: DataFrame) -> int:
@@ -23,7 +24,7 @@ def shuffles(df: DataFrame) -> int:
 
 def read_columns(df: DataFrame) -> list[str]:
     """Columns that the scans read."""
-    return sorted({c.split(":")[0] for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan_text(df)) for c in s.split(",") if c})
+    return sorted({c.split("#")[0] for s in re.findall(r"FileScan \w+ \[([^\]]*)\]", plan_text(df)) for c in s.split(",") if c})
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
