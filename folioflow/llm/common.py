@@ -22,11 +22,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     unset (tests on one machine) does a temporary folder stand in.
     """
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+#: Rows of text that a Python worker gets at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Has Arrow batches of texts hold ``BATCH_ROWS`` rows, where the session has Spark's own default of 10,000.
+
+    Workers keep a batch of texts, its result and both their Arrow forms; the smaller batch bounds all four.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt by a key over the session's full number of shuffle partitions.
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_of_id
+from .common import bounded_batches, crc_of_id
 
 ORDER = 3
 #: Bound of the training sample: whole texts a language.
@@ -51,6 +51,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; the pattern also meets a few numerals such as superscripts."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def normal_bytes(text: str) -> np.ndarray:
     """The bytes that are coded: the text in lower case, as UTF-8."""
     return np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
@@ -184,7 +189,7 @@ def total_bits(model: Model, texts: list[str]) -> np.ndarray:
 def predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
     """``lang_pred`` and ``score``, the share of the best language among all when each byte's average code length is a likelihood of ten bytes."""
     lang, score = ["und"] * len(texts), np.zeros(len(texts))
-    live = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model and model.langs else []
+    live = [i for i, t in enumerate(texts) if t and has_letter(t)] if model and model.langs else []
     if live:
         bits = total_bits(model, [texts[i] for i in live])
         sizes = np.array([max(1, len(texts[i])) for i in live], float)
@@ -216,6 +221,7 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, learnable
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its score."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

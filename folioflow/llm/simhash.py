@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import checkpointed, spread
+from .common import bounded_batches, checkpointed, spread
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -126,6 +126,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (smallest id reachable) of every row."""
+    bounded_batches(docs)
     rows = checkpointed(docs.select(F.col(id_col).cast("long").alias("id"), F.pandas_udf(fingerprints, LongType())(text_col).alias("fp")))
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
     found = components(links(prints))

@@ -143,10 +143,10 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
 
 def test_language_accuracy_and_edges(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    odd = spark.createDataFrame([(900001, None, "en"), (900002, "12 $$ --", "en"), (900003, "", None), (None, "the and of that this with", None)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(900001, None, "en"), (900002, "12 $$ --", "en"), (900003, "", None), (900004, "x² 5 ½".replace("x", ""), None), (None, "the and of that this with", None)], "doc_id long, text string, lang string")
     both = table.select("doc_id", "text", "lang").unionByName(odd).withColumn("lang_pred", F.lit("clash"))
     got = {r.doc_id: r for r in langid.language_id(both).collect()}
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900001, 900002, 900003))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900001, 900002, 900003, 900004))
     truth = {r.doc_id: r.lang for r in table.collect()}
     held = [i for i in truth if got[i].held_out]
     assert held and sum(got[i].lang_pred == truth[i] for i in held) / len(held) > 0.95
