@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import checkpointed, spare
+from .common import bounded_batches, checkpointed, spare
 
 #: At most so many overrides are broadcast.
 OVERRIDES = 20_000
@@ -261,8 +261,9 @@ def overrides(found: DataFrame, key: bytes) -> DataFrame:
 
     Given names come from short lists whose permutation has no fixed point; they are not drawn again.
     """
-    found = checkpointed(found.where(~F.col("kind").startswith("given:")))
-    first = _drawn(key, found, 0)
+    # Drawn once and kept: the checks below read the draws several times.
+    first = checkpointed(_drawn(key, found.where(~F.col("kind").startswith("given:")), 0))
+    found = first.select("kind", "value")
     # Formats are permuted apart and kinds told apart by their text, so what is taken is a matter of the text alone.
     taken = found.select(F.col("value").alias("used"), F.lit(1).alias("n")).unionByName(first.select(F.col("drawn").alias("used"), F.lit(0).alias("n")))
     taken = checkpointed(taken.groupBy("used").agg(F.sum("n").alias("originals"), F.sum(1 - F.col("n")).alias("draws")))
@@ -285,6 +286,7 @@ def overrides(found: DataFrame, key: bytes) -> DataFrame:
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in the text, and the kinds replaced in a last column ``pii_kinds``."""
+    bounded_batches(docs)
     changed = overrides(entities(docs, text_col), key)
     names = ["__replaced"]
     if (n := changed.count()) <= OVERRIDES:
