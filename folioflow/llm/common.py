@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,18 @@ def bounded_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_ROWS))
 
 
+def shared(df: DataFrame, value: object):
+    """A function that gives ``value`` in any task: broadcast once, with its classes, so executors need no copy of this package."""
+    sent, held = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get():
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt by a key over the session's full number of shuffle partitions.
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded_batches
+from .common import bounded_batches, shared
 
 MAX_RATE = 0.2
 MIN_WORDS = 5
@@ -245,7 +245,6 @@ def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches", max_rate: float = MAX_RATE, block: int = BLOCK) -> DataFrame:
     """``docs`` with an array of the benchmark items found in each text."""
-    spark = docs.sparkSession
     bounded_batches(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
     n = items.count()
@@ -253,18 +252,18 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     result = docs.withColumn(out, F.array().cast(_MATCH))
     for k in range(blocks if n else 0):
         rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        shared = spark.sparkContext.broadcast(build(rows, max_rate))
+        index = shared(docs, build(rows, max_rate))
 
         # Marked so that a filter on the result, such as explode brings, does not run it a second time.
-        found = F.pandas_udf(_finder(shared), _MATCH).asNondeterministic()(F.col(text_col))
+        found = F.pandas_udf(_finder(index), _MATCH).asNondeterministic()(F.col(text_col))
         result = result.withColumn(out, found if blocks == 1 else F.concat(F.col(out), found))
     return result
 
 
-def _finder(shared):
+def _finder(index):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([match(shared.value, t if isinstance(t, str) else None) for t in batch])
+            yield pd.Series([match(index(), t if isinstance(t, str) else None) for t in batch])
 
     return find
 
