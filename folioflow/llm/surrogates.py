@@ -12,7 +12,8 @@ the state of their check digit.
 
 Collision checks: the distinct entities of the whole corpus are gathered, and a
 surrogate that equals itself, some original or another surrogate is drawn again with
-the next tweak until none does.  Such overrides are rare; they are broadcast if
+the next tweak until none does.  From try ``TRIES`` on a draw is one character longer each time, so
+crowded formats get room.  Such overrides are rare; they are broadcast if
 under ``OVERRIDES`` rows and joined by text otherwise.
 
 Defined results
@@ -31,6 +32,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,6 +91,39 @@ _ALPHABETS = [
 ]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 _HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
+#: Scripts written without spaces, in which a name has no word boundaries.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+
+
+def _alphabet(c: str) -> str:
+    """The alphabet of a letter or digit; '' for other characters.
+
+    Outside the fixed ones it is the letters of one script and case, or the ten digits, among the 256 code points
+    around.  Kinds of under eight there are one; a letter without others may also become a Latin one.
+    """
+    if c in _CLASS or c.isascii():
+        return _CLASS.get(c, "")
+
+    def family(x: str) -> tuple[str, str] | None:
+        kind = unicodedata.category(x)
+        if kind == "Nd":
+            return kind, chr(ord(x) - unicodedata.digit(x))
+        return (kind, unicodedata.name(x, "").split(" ")[0]) if kind[0] == "L" and x not in _CLASS else None
+
+    if family(c) is None:
+        return ""
+    first = ord(c) & ~255
+    found = [(x, k) for x in map(chr, range(first, first + 256)) if (k := family(x))]
+    sizes = Counter(k for _, k in found)
+    same = "".join(x for x, k in found if k == family(c) or (sizes[k] < 8 and sizes[family(c)] < 8))
+    return same if len(same) > 1 else same + _ALPHABETS[1]
+
+
+def _classes(text: str) -> dict[str, str]:
+    """The alphabets of a text's letters and digits."""
+    if text.isascii():
+        return _CLASS
+    return {c: a for c in set(text) if (a := _alphabet(c))}
 
 
 def _round(key: bytes, tweak: str, turn: int, value: int, size: int) -> int:
@@ -143,25 +179,28 @@ def luhn_digit(digits: str) -> int:
 
 
 def surrogate(key: bytes, kind: str, value: str, tries: int = 0) -> str:
-    """The replacement of a value of some kind; ``tries`` counts overrides."""
-    tweak = f"{kind}|{tries}"
+    """The replacement of a value of some kind; ``tries`` counts overrides.  From ``TRIES`` on each makes it one character longer."""
+    tweak, more = f"{kind}|{tries}", max(0, tries - TRIES + 1)
     if kind == "ip":
-        return ".".join(map(str, permute(key, tweak, [256] * 4, [int(x) for x in value.split(".")])))
+        return ".".join(map(str, permute(key, tweak, [256] * (4 + more), [int(x) for x in value.split(".")] + [0] * more)))
     if kind == "card":
         digits = [i for i, c in enumerate(value) if c.isdigit()]
         plain = "".join(value[i] for i in digits)
         offset = (int(plain[-1]) - luhn_digit(plain[:-1])) % 10
-        new = plain[0] + _by_class(key, f"{tweak}|{offset}", plain[1:-1], _CLASS)
+        body = plain[1:-1] + "0" * more
+        new = plain[0] + _by_class(key, f"{tweak}|{offset}", body, _classes(body))
         new += str((luhn_digit(new) + offset) % 10)
         out = list(value)
-        for i, c in zip(digits, new, strict=True):
+        for i, c in zip(digits, new, strict=False):
             out[i] = c
-        return "".join(out)
+        return "".join(out) + new[len(digits) :]
     if kind.startswith("given:"):
         _, script, gender = kind.split(":")
         names = GIVEN[script, gender]
         step = 1 + _round(key, tweak, 0, 0, len(names) - 1)  # never zero: no name stays
         return names[(names.index(value) + step) % len(names)]
+    if more:
+        value = _longer(kind, value, more)
     if kind == "email":
         local, _, domain = value.partition("@")
         host, dot, top = domain.rpartition(".")
@@ -170,13 +209,20 @@ def surrogate(key: bytes, kind: str, value: str, tries: int = 0) -> str:
         head = re.match(r"[A-Z]{4}|[a-z_]+[-_]|\w+-", value)[0]
         return head + _by_class(key, f"{tweak}|{head}", value[len(head) :], _CLASS)
     if kind == "iban":
-        return value[:2] + _by_class(key, f"{tweak}|{value[:2]}", value[2:], _CLASS)
+        return value[:2] + _by_class(key, f"{tweak}|{value[:2]}", value[2:], _classes(value))
     if kind == "phone" and value[0] == "+":
         head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value)[0]
-        return head + _by_class(key, f"{tweak}|{head}", value[len(head) :], _CLASS)
+        return head + _by_class(key, f"{tweak}|{head}", value[len(head) :], _classes(value))
     if kind in ("hex", "secret") and all(c in _HEX for c in value):
         return _by_class(key, tweak, value, _HEX)
-    return _by_class(key, tweak, value, _CLASS)
+    return _by_class(key, tweak, value, _classes(value))
+
+
+def _longer(kind: str, value: str, more: int) -> str:
+    """``value`` with its last letter or digit written ``more`` times more; of an address, that of the local part."""
+    part = value.partition("@")[0] if kind == "email" else value
+    at = max((i + 1 for i, c in enumerate(part) if c in _classes(c)), default=len(part))
+    return value[:at] + (value[at - 1] if at and value[at - 1] in _classes(value[at - 1]) else "a") * more + value[at:]
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -271,9 +317,10 @@ def overrides(found: DataFrame, key: bytes) -> DataFrame:
     left = checkpointed(first.join(clash, first.drawn == clash.used, "left_semi").select("kind", "value"))
     done = left.withColumn("tries", F.lit(0)).limit(0)
     used = taken.select("used")
-    for tries in range(1, TRIES):
-        if left.isEmpty():
-            break
+    tries = 0
+    # From TRIES on draws grow longer, so room never runs out: the end comes when none is left.
+    while not left.isEmpty():
+        tries += 1
         again = checkpointed(_drawn(key, left, tries))
         crowded = again.groupBy("drawn").count().where("count > 1").select("drawn")
         good = again.join(used, again.drawn == used.used, "left_anti").join(crowded, "drawn", "left_anti")

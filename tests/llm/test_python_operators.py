@@ -318,6 +318,25 @@ def test_taken_surrogates_are_drawn_again(spark, monkeypatch):
     assert broadcasted == joined
 
 
+def test_letters_of_any_script_are_replaced(spark):
+    texts = ["Dr 李明 came", "Mrs Łęcka came", "Dr محمد came", "Prof משה came", "Dr 山田 came"]
+    for row, text in zip(surrogates.pseudonymize(docs(spark, texts), KEY).orderBy("doc_id").collect(), texts, strict=True):
+        was, now = text.split()[1], row.text.split()[1]
+        assert row.pii_kinds == ["surname"] and len(now) == len(was) and not set(was) & set("李明Łęמ") & set(now) and now != was
+
+
+def test_crowded_formats_leave_no_clash(spark):
+    """Every name of a format is an original, so no draw of the same length is free."""
+    names = [("surname", a + b) for a in "AEIOU" for b in "aeiou"] + [("ip", "1.2.3.4"), ("card", "4111111111111111")]
+    known = spark.createDataFrame(names, "kind string, value string")
+    changed = {(r.kind, r.value): r.tries for r in surrogates.overrides(known, KEY).collect()}
+    new = [surrogates.surrogate(KEY, k, v, changed.get((k, v), 0)) for k, v in names]
+    assert len(set(new)) == len(new) and not {v for _, v in names} & set(new)
+    long = surrogates.surrogate(KEY, "card", "4111111111111111", surrogates.TRIES + 1)
+    assert len(long) == 18 and int(long[-1]) == surrogates.luhn_digit(long[:-1])
+    assert surrogates.surrogate(KEY, "email", "ab@x.io", surrogates.TRIES).endswith(".io")
+
+
 # ---------------------------------------------------------------- packing
 
 
