@@ -7,7 +7,8 @@ surrogate has the type, script, case and format of the original, different
 originals have different surrogates, and the same original has the same one in
 every document, without a table.  Given names with a known gender are permuted
 within the names of that gender and script; a name's parts are replaced one by one,
-so a person stays one person when later named by surname alone.  Card numbers keep
+so a person stays one person when later named by surname alone: every other whole word of
+a text that is a part of a name found in it is replaced too.  Card numbers keep
 the state of their check digit.
 
 Collision checks: the distinct entities of the whole corpus are gathered, and a
@@ -254,10 +255,35 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             if x[0] >= stop:
                 apart.append(x)
                 stop = x[1]
-        out = apart
+        out = _mentions(text, apart)
     return out
 
 
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` with every other whole word of the text that is a part of a name found, of the kind first found."""
+    kinds: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind == "surname" or kind.startswith(("name:", "given:")):
+            kinds.setdefault(value, kind)
+    known = Counter(value for _, _, _, value in found)
+    more = [v for v in kinds if text.count(v) > known[v]]
+    if not more:
+        return found
+
+    def whole(name: str) -> str:
+        before, after = ("" if _UNSPACED.match(c) else edge for c, edge in ((name[0], r"(?<!\w)"), (name[-1], r"(?!\w)")))
+        return before + name + after
+
+    words = re.compile("|".join(whole(v) for v in sorted(more, key=len, reverse=True)))
+    out, k = [], 0
+    for m in words.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or m.end() <= found[k][0]:
+            out.append((*m.span(), kinds[m[0]], m[0]))
+    return sorted(found + out)
+
+
 def _kind(name: str, group: str, gender: str) -> str:
     if group == "first" and name in _GIVEN:
         script, own = _GIVEN[name]

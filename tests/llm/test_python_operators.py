@@ -337,6 +337,16 @@ def test_crowded_formats_leave_no_clash(spark):
     assert surrogates.surrogate(KEY, "email", "ab@x.io", surrogates.TRIES).endswith(".io")
 
 
+def test_later_mentions_by_one_name_are_replaced(spark):
+    text = "Mary Smith wrote. Smith said no; Smithson agreed. Mary left Smith's house. Write to Smith@x.org. Dr 李明 came, 他说李明好."
+    (row,) = surrogates.pseudonymize(docs(spark, [text]), KEY).collect()
+    given, surname = row.text.split()[:2]
+    chinese = row.text.split("Dr ")[1].split()[0]
+    assert row.text.startswith(f"{given} {surname} wrote. {surname} said no; Smithson agreed. {given} left {surname}'s house. Write to ")
+    assert row.text.endswith(f"Dr {chinese} came, 他说{chinese}好.") and "李明" not in row.text
+    assert row.pii_kinds == ["given:latin:f", "surname", "surname", "given:latin:f", "surname", "email", "surname", "surname"]
+
+
 # ---------------------------------------------------------------- packing
 
 
