@@ -8,13 +8,15 @@ Template.  A turn is ``<s>role\\ntext</s>``.  Control strings inside a text
 (``<s> </s> [INST] [/INST]``) get a backslash after their first character, or one
 more if they have some already; taking one away again restores the text exactly.
 
-Native expressions only.  A conversation is handled in blocks of ``BLOCK`` turn
-numbers, so a very long conversation is many small groups, not one; later blocks are
-sent its system turn.  Texts are shuffled once.
+Native expressions only.  All turns are sorted and numbered over the whole table, so
+a very long conversation is many small groups, not one, whatever its turn numbers.
+Only the token counts of a conversation meet in one row, where one fold carries the
+running sums and open spans from group to group.  History goes back as far as its
+budget, found by cells of the running sums.
 
 Defined results
     null text or role    empty
-    null turn            comes first, as a turn of the first block
+    null turn            comes first
     null conv_id         a conversation of its own
     repeated rows, ties  all kept; order is by turn, then role, then text
     long turns           never split or dropped: one that exceeds the budget has a window alone
@@ -27,10 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turn numbers in a block.
+from .common import checkpointed
+
+#: Turns that a ``block`` of the result counts.
 BLOCK = 64
-#: At most so many turns of the block before are seen as history.
-CARRY = 16
+#: At most so many turns of a conversation are one group while spans are laid.
+GROUP = 128
+#: Parts that the windows of a system turn are dealt to.
+SALTS = 16
 
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
@@ -63,10 +69,6 @@ def estimated_tokens(formatted: Column) -> Column:
     return F.ceil(F.length(formatted) / 4).cast("long")
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def format_windows(
     turns: DataFrame,
     budget: int = 1024,
@@ -80,7 +82,8 @@ def format_windows(
 ) -> DataFrame:
     """One row per window: ``conv_id, block, span, text, n_repeated, n_turns, n_tokens, fresh_at, loss``.
 
-    ``n_repeated`` counts the turns at the head of the window that earlier windows
+    ``span`` counts the windows of a conversation and ``block`` is the place of the first
+    fresh turn in units of ``BLOCK``.  ``n_repeated`` counts the turns at the head of the window that earlier windows
     hold too, and ``fresh_at`` the code points they take; ``loss`` holds ``start`` and
     ``end`` code points of the targets in ``text``.  A span takes turns while system
     turn, full history and span fit in ``budget``.  ``tokens`` maps a marked-up turn to
@@ -93,57 +96,69 @@ def format_windows(
         F.coalesce(F.col(role_col), empty).alias("role"),
         F.coalesce(F.col(text_col), empty).alias("text"),
     )
-    at = F.coalesce("turn", F.lit(0))
-    home = F.floor(at / BLOCK).cast("long")
-    late = F.pmod(at, F.lit(BLOCK)) >= BLOCK - CARRY
-    dealt = rows.select("*", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))).alias("block")).withColumn("own", F.col("block") == home)
-    # Conversations of several blocks that start with a system turn: few rows, and no texts but those turns.
-    system = F.when(F.col("role") == "system", F.struct("turn", "role", "text"))
-    heads = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("f"), F.min(system).alias("s"), F.min(home).alias("first"), F.max(home).alias("last"))
-    heads = heads.where((F.col("last") > F.col("first")) & (F.col("f.role") == "system") & F.col("f.turn").eqNullSafe(F.col("s.turn")))
-    later = dealt.where("own").select(F.col("conv_id").alias("c"), "block").distinct()
-    sent = heads.join(later, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") > F.col("first"))).select("conv_id", "s.turn", "s.role", "s.text", "block", F.lit(False).alias("own"), F.lit(0).alias("rank"))
-    every = dealt.withColumn("rank", F.lit(1)).unionByName(sent)
-    groups = every.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("rank", "turn", "role", "text", "own"))).alias("all"), F.max("own").alias("live")).where("live")
-    made = F.transform("all", lambda x: F.struct(x["rank"].alias("rank"), x["role"].alias("role"), x["text"].alias("text"), x["own"].alias("own"), marked(x["role"], x["text"]).alias("fmt")))
-    groups = groups.withColumn("all", made)
-    groups = groups.withColumn("all", F.transform("all", lambda x: F.struct(x["rank"].alias("rank"), x["role"].alias("role"), x["text"].alias("text"), x["own"].alias("own"), x["fmt"].alias("fmt"), tokens(x["fmt"]).alias("t"))))
-    top = F.col("all")[0]
-    head_here = top["own"] & (top["role"] == "system")
-    has_system = head_here | (top["rank"] == 0)
-    groups = groups.select(
-        "conv_id",
-        "block",
-        F.when(has_system, top).alias("system"),
-        head_here.alias("head"),
-        F.when(has_system, F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0)))).otherwise(F.col("all")).alias("turns"),
-        F.greatest(F.lit(1), F.lit(budget - history) - F.when(has_system, top["t"]).otherwise(0)).cast("long").alias("room"),
+    rows = rows.withColumn("t", tokens(marked(F.col("role"), F.col("text"))).cast("long"))
+    order = ["conv_id", "turn", "role", "text"]
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ``at`` follows the order of all turns; written once, so that it is one number wherever it is read.
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = checkpointed(rows.select("conv_id", "role", "text", "t", F.monotonically_increasing_id().alias("at")))
+    zero, system = F.lit(0).cast("long"), F.col("role") == "system"
+    groups = rows.groupBy("conv_id", F.floor(F.col("at") / GROUP).alias("g")).agg(F.sort_array(F.collect_list(F.struct("at", "t", system.alias("system")))).alias("turns"))
+    groups = checkpointed(groups.select("conv_id", F.col("turns")[0]["at"].alias("g"), "turns"))
+    convs = groups.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("g", "turns"))).alias("groups")).withColumn("first", F.col("groups")[0]["turns"][0])
+    room = F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("first.system"), F.col("first.t")).otherwise(0)).cast("long")
+    convs = convs.select("conv_id", "groups", room.alias("room"), F.when(F.col("first.system"), F.col("first.at")).alias("head_at"), F.when(F.col("first.system"), F.col("first.t")).alias("head_t"))
+
+    def state(cum: Column, held: Column, n: Column, i: Column) -> Column:
+        """Tokens before the next turn, tokens of the open span, its number from 1, and turns before."""
+        return F.struct(cum.alias("cum"), held.alias("held"), n.alias("n"), i.alias("i"))
+
+    def step(a: Column, x: Column) -> Column:
+        """A span opens where its sum would pass the room; the leading system turn is in none."""
+        opens = (a.n == 0) | (a.held + x.t > F.col("room"))
+        after = state(a.cum + x.t, F.when(opens, x.t).otherwise(a.held + x.t), a.n + opens.cast("long"), a.i + 1)
+        return F.when(x["at"].eqNullSafe(F.col("head_at")), state(a.cum, a.held, a.n, a.i + 1)).otherwise(after)
+
+    start = state(zero, zero, zero, zero)
+    carried = F.aggregate(
+        "groups",
+        F.struct(start.alias("s"), F.array().cast("array<struct<g:bigint,s:struct<cum:bigint,held:bigint,n:bigint,i:bigint>>>").alias("out")),
+        lambda a, x: F.struct(F.aggregate(x.turns, a.s, step).alias("s"), F.concat(a.out, F.array(F.struct(x.g.alias("g"), a.s.alias("s")))).alias("out")),
     )
-    # cum[i]: tokens of the turns before turn i.
-    groups = groups.withColumn(
-        "cum",
-        F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x.t))),
+    convs = checkpointed(convs.select("conv_id", "room", "head_at", "head_t", carried.alias("c")))
+    opened = convs.select("room", "head_at", F.inline("c.out"))
+    laid = F.aggregate(
+        "turns",
+        F.struct(F.col("s").alias("s"), F.array().cast("array<struct<at:bigint,cum:bigint,n:bigint,i:bigint,opens:boolean>>").alias("out")),
+        lambda a, x: F.transform(
+            F.array(step(a.s, x)),
+            lambda b: F.struct(b.alias("s"), F.concat(a.out, F.array(F.struct(x["at"].alias("at"), a.s.cum.alias("cum"), b.n.alias("n"), a.s.i.alias("i"), (b.n > a.s.n).alias("opens")))).alias("out")),
+        )[0],
     )
-    groups = groups.withColumn("lead", F.size(F.filter("turns", lambda x: ~x.own)))
-    # A span opens where its prefix sum would pass that of the last opening by more than the room.
-    indexes = F.when(F.size("turns") > F.col("lead"), F.sequence(F.col("lead"), F.size("turns") - 1)).otherwise(F.array().cast("array<int>"))
-    groups = groups.withColumn(
-        "starts",
-        F.aggregate(
-            indexes,
-            F.array().cast("array<int>"),
-            lambda a, i: F.when((F.size(a) == 0) | (F.get(F.col("cum"), i + 1) - F.get(F.col("cum"), F.element_at(F.concat(F.array(F.lit(0)), a), -1)) > F.col("room")), F.concat(a, F.array(i))).otherwise(a),
-        ),
-    )
-    # A block that holds the system turn alone still has a window.
-    starts = F.when((F.size("starts") == 0) & F.col("head"), F.array(F.lit(0))).otherwise(F.col("starts"))
-    spans = groups.select("*", F.posexplode(starts).alias("span", "s"))
-    ends = F.coalesce(F.get(F.col("starts"), F.col("span") + 1), F.size("turns"))
-    back = F.filter(
-        F.transform("turns", lambda x, j: F.struct(j.alias("j"), x.alias("x"))),
-        lambda y: (y.j < F.col("s")) & (F.get(F.col("cum"), F.col("s")) - F.get(F.col("cum"), y.j) <= history),
+    placed = groups.join(opened, "g").select("conv_id", "head_at", F.inline(laid["out"])).where(~F.col("at").eqNullSafe(F.col("head_at"))).drop("head_at")
+    placed = checkpointed(placed)
+    # Tokens between a span and what it repeats are at most the history: their cells of that width are the same or neighbours.
+    cell = F.floor(F.col("cum") / max(1, history))
+    spans = placed.where("opens").select(F.col("conv_id").alias("c"), F.col("n").alias("span_n"), F.col("cum").alias("span_cum"), F.col("at").alias("span_at"), F.explode(F.array(cell, cell - 1)).alias("cell"))
+    near = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("p.cell") == F.col("s.cell")) & (F.col("at") < F.col("span_at")) & (F.col("span_cum") - F.col("cum") <= history)
+    past = placed.withColumn("cell", cell).alias("p").join(spans.alias("s"), near).select("conv_id", "at", F.col("span_n").alias("n"), "i", F.lit(False).alias("own"))
+    dealt = placed.select("conv_id", "at", "n", "i", F.lit(True).alias("own")).unionByName(past).join(rows.drop("conv_id"), "at").withColumn("rank", F.lit(1))
+    # The system turn goes to every window; a conversation of it alone has one.
+    sent = convs.where("head_at is not null").select("conv_id", F.col("head_at").alias("at"), F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.col("c.s.n")))).alias("n"))
+    sent = sent.withColumn("salt", F.pmod("n", F.lit(SALTS)).cast("int"))
+    heads = rows.where(system).select("at", "role", "text", "t", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    sent = sent.join(heads, ["at", "salt"]).drop("salt").withColumns({"rank": F.lit(0), "i": zero, "own": F.col("n") == 1})
+    windows = dealt.unionByName(sent).groupBy("conv_id", "n").agg(F.sort_array(F.collect_list(F.struct("rank", "at", "role", "text", "t", "own", "i"))).alias("all"))
+    made = F.transform("all", lambda x: F.struct(x["rank"].alias("rank"), x.role.alias("role"), x.text.alias("text"), x.own.alias("own"), x.t.alias("t"), x.i.alias("i"), marked(x.role, x.text).alias("fmt")))
+    windows = windows.select("conv_id", (F.col("n") - 1).alias("span"), made.alias("all"))
+    spans = windows.select(
+        "conv_id",
+        "span",
+        F.when(F.col("all")[0]["rank"] == 0, F.col("all")[0]).alias("system"),
+        F.filter("all", lambda x: (x["rank"] == 1) & ~x.own).alias("past"),
+        F.filter("all", lambda x: (x["rank"] == 1) & x.own).alias("new"),
     )
-    spans = spans.withColumns({"past": F.transform(back, lambda y: y.x), "new": F.slice("turns", F.col("s") + 1, ends - F.col("s")), "own_head": F.col("head") & (F.col("span") == 0)})
+    spans = spans.withColumns({"own_head": F.coalesce(F.col("system.own"), F.lit(False)), "block": F.floor(F.coalesce(F.get("new", F.lit(0))["i"], zero) / BLOCK).cast("long")})
     head_text = F.coalesce(F.col("system.fmt"), empty)
     before = F.concat(head_text, F.array_join(F.transform("past", lambda x: x.fmt), ""))
     spans = spans.withColumn("before", before)

@@ -116,6 +116,35 @@ def test_chat_round_trip_and_budget(spark):
     assert sum(w["n_turns"] - w["n_repeated"] for w in long) == 301
 
 
+def slow_windows(turns, budget, history):
+    """Repeated and fresh turns of every window, by hand."""
+    size = [-(-len(f"<s>{r}\n{t}</s>") // 4) for r, t in turns]
+    head = size[0] if turns[0][0] == "system" else 0
+    at, out = (1 if head else 0), []
+    while at < len(turns):
+        end, back = at + 1, at
+        while end < len(turns) and sum(size[at : end + 1]) <= budget - history - head:
+            end += 1
+        while back > (1 if head else 0) and sum(size[back - 1 : at]) <= history:
+            back -= 1
+        out.append((bool(head and out) + at - back, bool(head) + end - back))
+        at = end
+    return out
+
+
+def test_chat_windows_of_long_and_sparse_conversations(spark):
+    """Only budgets cut: neither turn numbers nor the count of turns do."""
+    turns = [("system", "rules")] + [("user" if i % 2 == 0 else "assistant", f"say {i} " + "t" * (i % 7)) for i in range(700)]
+    data = [(c, i * step, r, t) for c, step in ((1, 1), (2, 100), (3, 0)) for i, (r, t) in enumerate(turns if c < 3 else [("user", "same")] * 300)]
+    data += [(4, i, "user", "") for i in range(400)]
+    got = {}
+    for w in rows(chat.format_windows(spark.createDataFrame(data, TURNS))):
+        got.setdefault(w["conv_id"], []).append((w["span"], w["n_repeated"], w["n_turns"], w["text"]))
+    for c, expected in ((1, turns), (2, turns), (3, [("user", "same")] * 300), (4, [("user", "")] * 400)):
+        assert [w[1:3] for w in sorted(got[c])] == slow_windows(expected, 1024, 256), c
+    assert [w[3] for w in sorted(got[1])] == [w[3] for w in sorted(got[2])]
+
+
 def test_chat_edge_tables(spark):
     assert chat.read_back(chat.format_windows(spark.createDataFrame([], TURNS))).count() == 0
     data = [(None, None, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "b")]
