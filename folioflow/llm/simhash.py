@@ -36,12 +36,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from .common import bounded_batches, checkpointed, spread
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
+#: A pair of Jaccard similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 16, or 0.9998.
+BANDS, BAND_ROWS, BAND_PAIRS = 16, 4, 16
 _HALF = BITS // 2
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -124,13 +126,86 @@ def links(prints: DataFrame) -> DataFrame:
     return met.select(F.col("m.fp").alias("a"), "b").where((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= RADIUS)).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (smallest id reachable) of every row."""
+def shingles(text: str | None, words: int) -> set[bytes]:
+    """The runs of so many words of a text; all its words where there are fewer."""
+    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def _bands(words: int):
+    """``BANDS`` keys of each text, each of ``BAND_ROWS`` least hashes of its shingles."""
+    n = BANDS * BAND_ROWS
+    draw = np.random.default_rng(SEED)
+    mul, add = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
+
+    def keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xxhash
+
+        for batch in texts:
+            out = []
+            for text in batch:
+                hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text if isinstance(text, str) else None, words)], np.uint64)
+                least = np.full(n, (1 << 64) - 1, np.uint64)
+                for k in range(0, len(hashes), 4096):
+                    least = np.minimum(least, (hashes[k : k + 4096, None] * mul + add).min(axis=0))
+                rows = least.reshape(BANDS, BAND_ROWS)
+                out.append([_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(rows)] if len(hashes) else [])
+            yield pd.Series(out)
+
+    return keys
+
+
+def similar(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` of fingerprints whose texts have a Jaccard similarity of their shingles of at least ``similarity``.
+
+    Candidates share a band of least hashes.  In a band of up to ``BAND_PAIRS`` texts all pairs are verified, in a
+    larger one each text against the first and the last, so a band's work grows with its size and not its square.
+    """
+    held = checkpointed(rows.select("digest", "fp", F.posexplode("bands").alias("k", "band")).select("digest", "fp", "band").distinct())
+    sizes = held.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("digest", "fp")).alias("lo"), F.max(F.struct("digest", "fp")).alias("hi")).where("n > 1")
+    me = F.struct("digest", "fp")
+    small = held.join(sizes.where(F.col("n") <= BAND_PAIRS).select("band"), "band").groupBy("band").agg(F.collect_list(me).alias("all"))
+    small = small.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
+    large = held.join(sizes.where(F.col("n") > BAND_PAIRS), "band").select(me.alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+    pairs = small.unionByName(large).where("a.fp != b.fp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = checkpointed(pairs.select(F.col("a.digest").alias("x"), F.col("b.digest").alias("y"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
+    ends = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
+    texts = docs.select(F.xxhash64(text_col).alias("d"), F.col(text_col).alias("text")).join(ends, "d", "left_semi").dropDuplicates(["d"])
+    texts = checkpointed(texts)
+    both = pairs.join(texts.select(F.col("d").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("d").alias("y"), F.col("text").alias("t")), "y")
+
+    def close(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(lefts, rights, strict=True):
+            u, v = shingles(s, words), shingles(t, words)
+            out.append(bool(u) and len(u & v) >= similarity * len(u | v))
+        return pd.Series(out, dtype=bool)
+
+    return both.where(F.pandas_udf(close, BooleanType())("s", "t")).select("a", "b").distinct()
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
+    """``id``, ``digest`` (xxhash64 of the text), ``fp``, ``label`` (of the component) and ``component_id`` of every row; see ``near_duplicates``."""
     bounded_batches(docs)
-    rows = checkpointed(docs.select(F.col(id_col).cast("long").alias("id"), F.pandas_udf(fingerprints, LongType())(text_col).alias("fp")))
+    columns = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.pandas_udf(fingerprints, LongType())(text_col).alias("fp")]
+    if similarity is not None:
+        columns.append(F.pandas_udf(_bands(words), ArrayType(LongType()))(text_col).alias("bands"))
+    rows = checkpointed(docs.select(*columns))
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(prints))
+    linked = links(prints)
+    if similarity is not None:
+        linked = linked.unionByName(similar(docs, rows, text_col, words, similarity))
+    found = components(linked)
     labels = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     ids = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labels.join(ids, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    named = labels.join(ids, "label").select("fp", "label", "component_id")
+    return rows.join(named, "fp").select("id", "digest", "fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
+    """``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` (smallest id reachable) of every row.
+
+    With ``similarity`` texts whose Jaccard similarity of shingles of ``words`` words is at least that are linked as well.
+    """
+    rows = labelled(docs, id_col, text_col, similarity, words)
+    return rows.select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")

@@ -88,6 +88,20 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_copies_beyond_three_bits(spark):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(20):
+        own = draw.choices(words, k=200)
+        texts += [" ".join(own), " ".join([*own[:60], "x", *own[61:130], "y", *own[131:]])]
+    texts += [" ".join(draw.choices(words, k=60)), "", None]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts), similarity=0.8).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(20)) and got[40] == 40 and got[41] == got[42] == 41
+    plain = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert any(plain[2 * i + 1] != 2 * i for i in range(20))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3), (5, 2), (2, 5), (9, 5)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
