@@ -71,3 +71,23 @@ def test_stages_keep_their_word_on_odd_tables(spark, sf_dir):
         stage(spark, odd, sf_dir).count()
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.near_dedup(spark, odd, sf_dir).count() == 3
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, sf_dir):
+    schema = "doc_id long, text string"
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (3, b)], schema)
+    assert sorted(corpus_pipeline.near_dedup(spark, rows, sf_dir).collect()) == [(1, a), (1, b)]
+
+
+def test_stages_are_written_as_parquet(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", lambda s, d, f: d.limit(3)), ("b", lambda s, d, f: seen.append(d) or d)])
+    assert corpus_pipeline.run(spark, sf_dir).count() == 3
+    assert all(f.endswith(".parquet") and "/documents.parquet" not in f for f in seen[0].inputFiles()) and seen[0].inputFiles()
+
+
+def test_near_dedup_by_similarity(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    gone = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).join(corpus_pipeline.near_dedup(spark, docs, sf_dir, 0.8), "doc_id", "left_anti").collect()}
+    assert {145, 177} <= gone
