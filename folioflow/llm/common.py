@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine) does a temporary folder stand in."""
+    """The session's ``spark.checkpoint.dir``.  Only a local master may do without: there a temporary folder stands in."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -39,18 +42,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-#: Rows of text that a Python worker gets at once.
+#: Rows of text that a Python worker of the registered queries gets at once.
 BATCH_ROWS = 1000
 
 
-def bounded_batches(df: DataFrame) -> None:
-    """Has Arrow batches of texts hold ``BATCH_ROWS`` rows, where the session has Spark's own default of 10,000.
+def small_batches(spark: SparkSession) -> None:
+    """Has Arrow batches hold ``BATCH_ROWS`` rows, where the session has Spark's own default of 10,000.
 
+    For applications (the registered queries, the pipeline) to call once, as it sets the session; operators never do.
     Workers keep a batch of texts, its result and both their Arrow forms; the smaller batch bounds all four.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared(df: DataFrame, value: object):

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded_batches, shared
+from .common import shared
 
 MAX_RATE = 0.2
 MIN_WORDS = 5
@@ -245,7 +245,6 @@ def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches", max_rate: float = MAX_RATE, block: int = BLOCK) -> DataFrame:
     """``docs`` with an array of the benchmark items found in each text."""
-    bounded_batches(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
     n = items.count()
     blocks = max(1, -(-n // block))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bounded_batches, crc_of_id, shared
+from .common import crc_of_id, shared
 
 ORDER = 3
 #: Bound of the training sample: whole texts a language.
@@ -221,7 +221,6 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, learnable
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its score."""
-    bounded_batches(docs)
     fitted = shared(docs, model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import bounded_batches, crc_of_id, shared
+from .common import crc_of_id, shared
 
 #: Bound of the training sample, in labelled rows.
 SAMPLE_ROWS = 3000
@@ -232,7 +232,6 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable, rows:
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text."""
-    bounded_batches(docs)
     fitted = shared(docs, model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

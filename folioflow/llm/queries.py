@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, licenses, linerules, oracles, packing, quality, revisits, simhash, surrogates
-from .common import table
+from .common import small_batches, table
 
 #: Key of the example queries.  A real run passes its own secret.
 EXAMPLE_KEY = b"folioflow example key"
@@ -23,15 +23,18 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = surrogates.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
     return docs.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), F.array_sort(F.array_distinct("pii_kinds")).alias("kinds"))
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
@@ -40,6 +43,7 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -49,6 +53,7 @@ def line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
