@@ -1,27 +1,29 @@
 """SimHash near-duplicates by ball hashing that meets in the middle.
 
 Two fingerprints at distance 3 or less meet at a point at most 2 bits from one and
-1 bit from the other.  Every fingerprint emits the points within half the radius,
-rounded up; the points are shuffled and fingerprints that share one are verified.
-Two exact savings keep the rows few:
-
-* Of the 2016 points two flips away only the 992 whose flips lie in one half of
-  the word are emitted: of any three differing bits two lie in one half.  And of a
-  pair at odd distance one end has even weight, so only that end flips two bits,
-  onto points of even weight.
-* A fingerprint emits nothing unless it agrees with another in one half of the
-  word up to one bit, as any pair within 3 does.  That is found by counting half
-  words, each also sent with one of its set bits cleared.
-
-At most 2081 distinct fingerprints lie within 2 bits of a point, so the group of a
-point is bounded whatever the data.  Exact copies are folded first.  In a group
-every member is tied to one within 1 bit of the point, which is a real link; that
-keeps all connections without writing all pairs.
+1 bit from the other.  Every fingerprint emits all points within half the radius that a
+meeting can need: itself, all 64 points one flip away and, if its weight is even, the
+992 points two flips away whose flips lie in one half of the word.  That loses nothing:
+of any three differing bits two lie in one half, and of a pair at odd distance one end
+has even weight.  The points are shuffled and sorted; all that share one are tied to the
+one nearest to it, within 1 bit, so each tie is a real link, and verified.  At most 2081
+distinct fingerprints lie within 2 bits of a point, so a group is bounded whatever the
+data.  Exact copies are folded first.
+
+Three bits of 64 are a narrow rule: edited copies often differ by more.  With
+``similarity`` texts are linked as well whose sets of ``words``-word shingles have at
+least that Jaccard similarity.  No radius that balls can afford reaches such pairs (at 0.8
+some 10 of 64 bits differ), so their candidates are texts that share a band of least
+hashes; every candidate is verified on its whole texts.  Verification goes in two rounds:
+first each text against the first text of its bands, then whatever is not yet connected:
+all pairs in bands of up to ``BAND_PAIRS`` texts, and in larger ones each text against
+``HUBS`` others.
 
 Defined results
     null or empty text     no words: fingerprint zero, linked like any other
     null doc_id            has its fingerprint and its component's smallest id; never an id of a component unless no other exists (then null)
     repeated rows          one result row each
+    ties                   the smallest id names a component, whatever the order of rows
     very long texts        cost is linear in the text
     empty table            empty result
     clashing columns       ignored; only the two named columns are read
@@ -34,16 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType
 
-from .common import bounded_batches, checkpointed, spread
+from .common import checkpointed, spread
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: A pair of Jaccard similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 16, or 0.9998.
-BANDS, BAND_ROWS, BAND_PAIRS = 16, 4, 16
+#: A pair of Jaccard similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 6) ** 28, or 0.9998; one of 0.3 with 0.02.
+BANDS, BAND_ROWS, BAND_PAIRS, HUBS = 28, 6, 16, 4
 _HALF = BITS // 2
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -93,37 +95,22 @@ _ONE = [_signed(1 << i) for i in range(BITS)]
 _TWO = [_signed(1 << i | 1 << j) for h in (0, _HALF) for i in range(h, h + _HALF) for j in range(i + 1, h + _HALF)]
 
 
-def _halves(fp: Column) -> Column:
-    """Keys of the half words and of these with one set bit cleared; the side is bit 32 of a key, and ``own`` marks the half itself."""
-    def side(n: int) -> list[Column]:
-        half, tag = F.shiftrightunsigned(fp, _HALF * n).bitwiseAND(F.lit((1 << _HALF) - 1)), F.lit(n << _HALF)
-        bits = F.filter(F.array(*(F.lit(1 << i) for i in range(_HALF))), lambda m: half.bitwiseAND(m) != 0)
-        cleared = F.transform(bits, lambda m: F.struct(half.bitwiseXOR(m).bitwiseOR(tag).alias("key"), F.lit(0).alias("own")))
-        return [F.array(F.struct(half.bitwiseOR(tag).alias("key"), F.lit(1).alias("own"))), cleared]
-
-    return F.concat(*side(0), *side(1))
-
-
 def _points(fp: Column) -> Column:
-    """The points that a fingerprint emits, with their distance from it."""
-    def flipped(masks: list[int], steps: int) -> Column:
-        return F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(fp.bitwiseXOR(m).alias("point"), F.lit(steps).alias("steps")))
+    """The points that a fingerprint emits."""
+    def flipped(masks: list[int]) -> Column:
+        return F.transform(F.array(*map(F.lit, masks)), lambda m: fp.bitwiseXOR(m))
 
-    own, near = F.array(F.struct(fp.alias("point"), F.lit(0).alias("steps"))), flipped(_ONE, 1)
-    return F.when(F.bit_count(fp) % 2 == 0, F.concat(own, near, flipped(_TWO, 2))).otherwise(F.concat(own, near))
+    return F.when(F.bit_count(fp) % 2 == 0, flipped([0, *_ONE, *_TWO])).otherwise(flipped([0, *_ONE]))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Verified links ``a``, ``b`` that connect whatever distinct fingerprints ``fp`` lie within the radius of each other."""
-    sent = spread(prints.select("fp"), "fp").select("fp", F.inline(_halves(F.col("fp"))))
-    # A half word in two fingerprints, or in one and within a bit of another.
-    live = sent.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own = 1").select("key")
-    near = spread(sent.join(live, "key", "left_semi").select("fp").distinct(), "fp")
-    points = near.select("fp", F.inline(_points(F.col("fp"))))
-    met = points.groupBy("point").agg(F.collect_list(F.struct("steps", "fp")).alias("met")).where(F.size("met") > 1)  # at most 2081
-    hub = F.array_min("met")
-    met = met.where(hub.steps <= 1).select(hub.fp.alias("b"), F.explode("met").alias("m"))
-    return met.select(F.col("m.fp").alias("a"), "b").where((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= RADIUS)).distinct()
+    points = spread(prints.select("fp"), "fp").select("fp", F.explode(_points(F.col("fp"))).alias("point"))
+    # A window sorts what it gathers and spills; unlike an aggregation it does not hash every point before the shuffle in vain.
+    nearest = Window.partitionBy("point").orderBy(distance(F.col("point"), F.col("fp")), "fp")
+    met = points.select("point", F.col("fp").alias("a"), F.first("fp").over(nearest).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return met.where((a != b) & (distance(F.col("point"), b) <= 1) & (distance(a, b) <= RADIUS)).select("a", "b").distinct()
 
 
 def shingles(text: str | None, words: int) -> set[bytes]:
@@ -133,45 +120,47 @@ def shingles(text: str | None, words: int) -> set[bytes]:
 
 
 def _bands(words: int):
-    """``BANDS`` keys of each text, each of ``BAND_ROWS`` least hashes of its shingles."""
+    """``BANDS`` keys of each text, each of ``BAND_ROWS`` least hashes of its shingles; none without a word."""
     n = BANDS * BAND_ROWS
     draw = np.random.default_rng(SEED)
     mul, add = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
 
+    def codes(text: str) -> np.ndarray:
+        """A number for every distinct shingle."""
+        import xxhash
+
+        found = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+        known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
+        word = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        runs = max(1, len(word) - words + 1) if len(word) else 0
+        code = np.zeros(runs, np.uint64)
+        for k in range(min(words, len(word))):
+            code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[k : k + runs]
+        code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.unique(code ^ (code >> np.uint64(32)))
+
     def keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import xxhash
 
         for batch in texts:
             out = []
             for text in batch:
-                hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text if isinstance(text, str) else None, words)], np.uint64)
+                hashes = codes(text) if isinstance(text, str) else np.zeros(0, np.uint64)
                 least = np.full(n, (1 << 64) - 1, np.uint64)
-                for k in range(0, len(hashes), 4096):
-                    least = np.minimum(least, (hashes[k : k + 4096, None] * mul + add).min(axis=0))
-                rows = least.reshape(BANDS, BAND_ROWS)
-                out.append([_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(rows)] if len(hashes) else [])
+                for k in range(0, len(hashes), 1024):
+                    least = np.minimum(least, (hashes[k : k + 1024, None] * mul + add).min(axis=0))
+                out.append([_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(least.reshape(BANDS, BAND_ROWS))] if len(hashes) else [])
             yield pd.Series(out)
 
     return keys
 
 
-def similar(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links ``a``, ``b`` of fingerprints whose texts have a Jaccard similarity of their shingles of at least ``similarity``.
-
-    Candidates share a band of least hashes.  In a band of up to ``BAND_PAIRS`` texts all pairs are verified, in a
-    larger one each text against the first and the last, so a band's work grows with its size and not its square.
-    """
-    held = checkpointed(rows.select("digest", "fp", F.posexplode("bands").alias("k", "band")).select("digest", "fp", "band").distinct())
-    sizes = held.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("digest", "fp")).alias("lo"), F.max(F.struct("digest", "fp")).alias("hi")).where("n > 1")
-    me = F.struct("digest", "fp")
-    small = held.join(sizes.where(F.col("n") <= BAND_PAIRS).select("band"), "band").groupBy("band").agg(F.collect_list(me).alias("all"))
-    small = small.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b"))
-    large = held.join(sizes.where(F.col("n") > BAND_PAIRS), "band").select(me.alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-    pairs = small.unionByName(large).where("a.fp != b.fp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = checkpointed(pairs.select(F.col("a.digest").alias("x"), F.col("b.digest").alias("y"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")))
+def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` of the labels of those pairs of texts (``x``, ``y``: digests) that are similar."""
+    pairs = checkpointed(pairs)
     ends = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-    texts = docs.select(F.xxhash64(text_col).alias("d"), F.col(text_col).alias("text")).join(ends, "d", "left_semi").dropDuplicates(["d"])
-    texts = checkpointed(texts)
+    texts = docs.select(F.xxhash64(text_col).alias("d"), F.col(text_col).alias("text")).join(ends, "d", "left_semi")
+    texts = checkpointed(texts.dropDuplicates(["d"]))
     both = pairs.join(texts.select(F.col("d").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("d").alias("y"), F.col("text").alias("t")), "y")
 
     def close(lefts: pd.Series, rights: pd.Series) -> pd.Series:
@@ -184,19 +173,57 @@ def similar(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similar
     return both.where(F.pandas_udf(close, BooleanType())("s", "t")).select("a", "b").distinct()
 
 
+def _relabelled(held: DataFrame, found: DataFrame) -> DataFrame:
+    """``held`` with each ``label`` replaced by that of the component the links put it in."""
+    new = components(found).withColumnRenamed("label", "to")
+    return held.join(new, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("to", "label")).drop("node", "to")
+
+
+def similar(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` between the labels of ``rows`` (``digest``, ``label``, ``bands``) that connect similar texts."""
+    first = checkpointed(rows.groupBy("digest").agg(F.min("label").alias("label"), F.first("bands").alias("bands")))
+    texts, band = first.select("digest", "label"), F.explode("bands").alias("band")
+
+    def order(k: int) -> Column:
+        """The least text of a band in the k-th order: the same text in many bands, so that few pairs arise."""
+        return F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("o"), "digest", "label"))
+
+    def tied(me: Column, other: Column) -> DataFrame:
+        return F.struct(me.digest.alias("x"), me.label.alias("a"), other.digest.alias("y"), other.label.alias("b"))
+
+    # First round: every text and the first text of each band it is in.
+    held = first.select("digest", "label", band)
+    hubs = held.groupBy("band").agg(order(0).alias("h"))
+    pairs = held.join(hubs, "band").where("label != h.label").select(tied(F.struct("digest", "label"), F.col("h")).alias("p")).select("p.*").distinct()
+    near = checkpointed(_verified(docs, pairs, text_col, words, similarity))
+    texts = checkpointed(_relabelled(texts, near))
+    # Second round: what is still apart.
+    held = first.select("digest", band).join(texts, "digest")
+    bands = held.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), *(order(k).alias(f"h{k}") for k in range(1, HUBS + 1)))
+    bands = checkpointed(bands.where("lo != hi"))
+    me = F.struct("digest", "label")
+    small = held.join(bands.where(F.col("n") <= BAND_PAIRS).select("band"), "band").groupBy("band").agg(F.collect_list(me).alias("all"))  # at most BAND_PAIRS
+    small = small.select(F.explode("all").alias("m"), "all").select("m", F.explode(F.filter("all", lambda o: o.digest > F.col("m.digest"))).alias("o"))
+    others = F.filter(F.array(*(F.struct(F.col(f"h{k}.digest").alias("digest"), F.col(f"h{k}.label").alias("label")) for k in range(1, HUBS + 1))), lambda o: o.label != F.col("label"))
+    large = held.join(bands.where(F.col("n") > BAND_PAIRS), "band").select(me.alias("m"), F.explode(F.array_distinct(others)).alias("o"))
+    pairs = small.unionByName(large).where("m.label != o.label").select(tied(F.col("m"), F.col("o")).alias("p")).select("p.*").distinct()
+    # A label is the least of those it stands for, so links of both rounds are links of the labels as they came.
+    return near.unionByName(_verified(docs, pairs, text_col, words, similarity))
+
+
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
     """``id``, ``digest`` (xxhash64 of the text), ``fp``, ``label`` (of the component) and ``component_id`` of every row; see ``near_duplicates``."""
-    bounded_batches(docs)
     columns = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.pandas_udf(fingerprints, LongType())(text_col).alias("fp")]
     if similarity is not None:
         columns.append(F.pandas_udf(_bands(words), ArrayType(LongType()))(text_col).alias("bands"))
     rows = checkpointed(docs.select(*columns))
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = links(prints)
-    if similarity is not None:
-        linked = linked.unionByName(similar(docs, rows, text_col, words, similarity))
-    found = components(linked)
+    found = components(links(prints))
     labels = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    if similarity is not None:
+        labels = checkpointed(labels)
+        banded = rows.join(labels.select("fp", "label"), "fp").where(F.size("bands") > 0)
+        labels = _relabelled(labels, similar(docs, banded, text_col, words, similarity))
     ids = labels.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labels.join(ids, "label").select("fp", "label", "component_id")
     return rows.join(named, "fp").select("id", "digest", "fp", "label", "component_id")
