@@ -361,6 +361,128 @@ def test_later_mentions_by_one_name_are_replaced(spark):
     assert row.pii_kinds == ["given:latin:f", "surname", "surname", "given:latin:f", "surname", "email", "surname", "surname"]
 
 
+def replaced(spark, *texts):
+    return [r.text for r in surrogates.pseudonymize(docs(spark, list(texts)), KEY).orderBy("doc_id").collect()]
+
+
+def test_short_surnames_never_stay(spark):
+    names = [(a + b).capitalize() for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    out = [t.split()[1] for t in replaced(spark, *(f"Mr {n} wrote." for n in names))]
+    assert len(set(out)) == 105 and not set(out) & set(names)
+
+
+def test_one_person_one_surrogate(spark):
+    a, b, c, d = replaced(
+        spark,
+        "Mr Zorblax Smith and Dr Zorblax Smith met ZORBLAX SMITH. James Smith came; later Smith left and JAMES SMITH stayed.",
+        "Bob.Lee@acme.com wrote to bob.lee@acme.com and ann@acme.com.",
+        "Call +1 (212) 555-0101 or 212-555-0101 or +1 212 555 0101.",
+        "Mrs Smith-Jones met Mr Jones. Г-жа, госпожа Иванова и господин Иванов.",
+    )
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Dr (\w+) (\w+) met (\w+) (\w+)\. (\w+) (\w+) came; later (\w+) left and (\w+) (\w+) stayed\.", a).groups()
+    assert m[0] == m[2] == m[4].capitalize() != "Zorblax" and m[1] == m[3] == m[5].capitalize() == m[7] == m[8] == m[10].capitalize() != "Smith" and m[6].upper() == m[9] != "JAMES"
+    x, y, z = re.findall(r"\S+@\w+\.com", b)
+    assert x.lower() == y and x[0].isupper() and x != y and z.split("@")[1] == y.split("@")[1] != "acme.com"
+    numbers = re.findall(r"[+\d][-() \d]+\d", c)
+    assert len(numbers) == 3 and len({re.sub(r"\D", "", n)[-10:] for n in numbers}) == 1 and "5550101" not in re.sub(r"\D", "", c)
+    first, second, lone = re.match(r"Mrs (\w+)-(\w+) met Mr (\w+)\.", d).groups()
+    assert second == lone and first != "Smith" and second != "Jones"
+    she, he = re.search(r"госпожа (\w+) и господин (\w+)\.", d).groups()
+    assert she == he + "а" and he.endswith("ов") and he != "Иванов"
+
+
+@pytest.mark.parametrize(
+    ("text", "gone"),
+    [
+        ("Then Mr O'Neil spoke.", "Neil"),
+        ("Then JAMES SMITH spoke.", "SMITH"),
+        ("Smith, James A. The Art of It.", "Smith"),
+        ("from 2001:db8:85a3::8a2e:370:7334 today", "2001:db8:85a3::8a2e:370:7334"),
+        ("my password is hunter2now, really", "hunter2now"),
+        ("李明先生来了", "李明"),
+        ("田中さんが来た", "田中"),
+        ("Ludwig came; Mr van der Berg too.", "Berg"),
+        ("وصل السيد محمود أمس", "محمود"),
+        ("김민수 씨가 왔다", "김민수"),
+    ],
+)
+def test_entities_of_many_forms_are_found(text, gone):
+    new, kinds = surrogates.replace(KEY, text, {})
+    assert gone not in new and kinds, new
+
+
+def test_clean_text_is_left_alone():
+    for text in ["In Boston, James said no.", "std::vector and a::b at 12:30:45", "Version 1.2.3 of Smith", "The password is secret", "Call 911 on 2024-01-02", "Mr. and the doctor", "a token of love"]:
+        assert surrogates.replace(KEY, text, {}) == (text, []), text
+
+
+def test_account_numbers_keep_their_check():
+    def remainder(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    assert remainder("DE89370400440532013000") == 1
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"):
+        new = surrogates.surrogate(KEY, "iban", iban)
+        assert new != iban and remainder(new.replace(" ", "")) == 1 and [c == " " for c in new] == [c == " " for c in iban]
+    assert remainder(surrogates.surrogate(KEY, "iban", "DE88370400440532013000")) == 0
+    same = surrogates.surrogate(KEY, "iban", "DE89370400440532013000")
+    assert surrogates.surrogate(KEY, "iban", "DE89 3704 0044 0532 0130 00").replace(" ", "") == same
+
+
+def test_a_generated_corpus_with_its_truth(spark):
+    """Texts are made of known entities and known plain words: what must go, what must stay, and one surrogate an entity."""
+    rng = random.Random(4)
+    given, family = ["Mary", "James", "Carlos", "Anna"], ["Smith", "O'Neil", "Garcia", "Vogt", "Łęcka"]
+    people = [(g, f) for g in given for f in family]
+    mails = [f"{g.lower()}.{i}@firm{i % 3}.example.org" for i, g in enumerate(given * 3)]
+    phones = [f"+1 (212) 555-{n:04d}" for n in rng.sample(range(10000), 12)]
+    plain = ["the river rose again", "nobody saw it coming", "version 2.10 was out by 9:30", "In May they left", "see section 4.2", "a total of 1234 units"]
+    texts, truth = [], []
+    for _ in range(120):
+        parts, own = [], []
+        for _ in range(rng.randrange(1, 8)):
+            kind = rng.randrange(5)
+            if kind == 0:
+                (g, f) = rng.choice(people)
+                parts.append(f"Then {g} {f} spoke.")
+                own.append((f"{g} {f}", len(" ".join(parts)) - len(f"{g} {f} spoke.")))
+            elif kind == 1:
+                parts.append(f"Write to {(m := rng.choice(mails))} now.")
+                own.append((m, len(" ".join(parts)) - len(f"{m} now.")))
+            elif kind == 2:
+                parts.append(f"Call {(n := rng.choice(phones))} today.")
+                own.append((n, len(" ".join(parts)) - len(f"{n} today.")))
+            else:
+                parts.append(rng.choice(plain) + ".")
+        texts.append(" ".join(parts))
+        truth.append(own)
+    found = [{(a, b) for a, b, _, _ in surrogates.find(t)} for t in texts]
+    wanted = []
+    for t, own in zip(texts, truth, strict=True):
+        spans = set()
+        for value, at in own:
+            assert t[at : at + len(value)] == value
+            pieces = value.split(" ", 1) if value.split(" ")[0] in given else [value]
+            for piece in pieces:
+                spans.add((at, at + len(piece)))
+                at += len(piece) + 1
+        wanted.append(spans)
+    assert found == wanted  # precision and recall of 1 on what the lists and formats cover
+    names: dict = {}
+    for t, own, new in zip(texts, truth, replaced(spark, *texts), strict=True):
+        for value, _ in own:
+            assert value not in new
+        pieces, rest = [], 0
+        for a, b in sorted((a, b) for a, b in {s for s in found[texts.index(t)]}):
+            pieces += [re.escape(t[rest:a]), "(.+?)"]
+            rest = b
+        m = re.fullmatch("".join(pieces) + re.escape(t[rest:]), new)
+        assert m, (t, new)
+        for (a, b), now in zip(sorted(found[texts.index(t)]), m.groups(), strict=True):
+            assert names.setdefault(t[a:b], now) == now != t[a:b]
+    assert len(set(names.values())) == len(names)
+
+
 # ---------------------------------------------------------------- packing
 
 
