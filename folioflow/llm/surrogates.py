@@ -357,6 +357,12 @@ def _is_ip6(value: str) -> bool:
     return len(groups) >= 3 or len(groups[0]) == 4 if groups else False
 
 
+def _is_card(value: str) -> bool:
+    """Whether the check digit is right; other long numbers are no cards."""
+    digits = _bare(value)
+    return luhn_digit(digits[:-1]) == int(digits[-1])
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, value)`` of every entity, in order and apart."""
     out: list[tuple[int, int, str, str]] = []
@@ -367,7 +373,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in _PATTERN.finditer(text):
             kind = "secret" if m["secret"] else m.lastgroup
             start, end = m.span("secret_value") if kind == "secret" else m.span()
-            if kind != "ip6" or _is_ip6(m[0]):
+            if (kind != "ip6" or _is_ip6(m[0])) and (kind != "card" or _is_card(m[0])):
                 out.append((start, end, kind, text[start:end]))
     honoured = not text.isascii() and _HONORIFIC.search(text)
     if honoured or not _NAME_WORDS.isdisjoint(_WORD.findall(text)):
