@@ -58,7 +58,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared(df: DataFrame, value: object):
-    """A function that gives ``value`` in any task: broadcast once, with its classes, so executors need no copy of this package."""
+    """A function that gives ``value`` in any task: broadcast once, with its classes, so executors need no copy of this package.
+
+    A worker keeps what it has unpacked until it calls ``forget``.
+    """
     sent, held = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value)), []
 
     def get():
@@ -66,6 +69,7 @@ def shared(df: DataFrame, value: object):
             held.append(pickle.loads(sent.value))
         return held[0]
 
+    get.forget = held.clear
     return get
 
 

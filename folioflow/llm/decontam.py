@@ -1,7 +1,9 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact verification.
 
-Texts and items are sequences of lower-cased words.  An item of n words is found in
-a text if some run of words is within ``floor(max_rate * n)`` word edits of it.
+Texts and items are sequences of lower-cased words; in scripts written without spaces
+every character is a word.  An item of n words is found in a text if some run of words is
+within ``floor(max_rate * n)`` word edits of it; at the usual rate items under 5 words
+must stand there exactly.
 
 1. A window of n words is embedded by a CGK random walk of 3n steps: a step copies
    the word under the pointer, and a random function of step and word says whether
@@ -12,21 +14,24 @@ a text if some run of words is within ``floor(max_rate * n)`` word edits of it.
    places a pair is missed with chance (1 - 1/8)^(WALKS*SAMPLES) < 0.3 %.
 3. Candidates are verified by bit-parallel approximate matching of the whole item.
 
-Before the walk an exact filter leaves out windows that cannot match.  e edits spoil
-at most 2e of the n-1 neighbouring word pairs of an item, so a match holds one of
-the item's 2e+1 rarest pairs, and n-1-2e of all its pairs.  Items come in blocks of
-``BLOCK``, so what is broadcast has a fixed bound whatever the benchmark's size; every
-block is matched against all rows.
+To embed the windows of every size at every word would cost hundreds of times as much as
+all the rest, so an exact filter first leaves out windows that cannot match.  e edits
+spoil at most 2e of the n-1 neighbouring word pairs of an item, so a match holds n-1-2e of
+them, and one of the item's 2e+1 rarest.  Where n-1-2e is not positive nothing is left
+out.  What is held at once grows with the text, not with items times text.  Items come in
+blocks of ``BLOCK``; a worker holds the index of one block at a time, and every block is
+matched against all rows.
 
 Defined results
     null or empty text       no match
-    null or empty item       never matched; nor are items under ``MIN_WORDS`` words
+    null or empty item       never matched; nor is one without a word
+    null doc_id              reported as null
     repeated items           each is reported under its own id
     ties                     the least distance, then the first place
     repeated rows            one result each
     very long texts          read whole
     empty tables             empty result
-    clashing columns         ignored; only the named columns are read
+    clashing columns         kept by ``with_matches``, which writes its ``out``; ``contaminated`` reads only the named columns
 """
 
 from __future__ import annotations
@@ -46,12 +51,15 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from .common import shared
 
 MAX_RATE = 0.2
-MIN_WORDS = 5
 WALKS, SAMPLES, PLACES = 8, 6, 3
 #: Items matched at once.
 BLOCK = 5000
+#: Windows embedded, and pairs of windows and items compared, at once.
+WINDOWS, PAIRS = 4096, 1 << 20
 
-_WORD = re.compile(r"[^\W_]+")
+# Scripts without spaces: Thai, Lao, Burmese, Khmer, kana and ideographs go by character.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _MATCH = ArrayType(StructType([StructField("item_id", LongType()), StructField("distance", IntegerType()), StructField("start", IntegerType()), StructField("item_words", IntegerType())]))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -127,82 +135,106 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
 
 @dataclass
 class Index:
-    """A block of items ready for matching."""
+    """A block of items ready for matching: ``items`` are distinct word sequences in order, ``ids`` who bears them."""
 
     vocabulary: dict[str, int]
-    items: dict[tuple[int, ...], list[int]]
+    items: list[tuple[int, ...]]
+    ids: list[list[int]]
     rare: np.ndarray
     rare_owner: np.ndarray
-    all_pairs: np.ndarray
-    item_pairs: np.ndarray
-    sizes: np.ndarray
-    widths: np.ndarray
-    needs: np.ndarray
-    tables: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]]
+    pairs: list[np.ndarray]
+    every: np.ndarray
+    always: list[int]
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
     max_rate: float
 
     def edits(self, n: int) -> int:
         return int(self.max_rate * n + 1e-9)
 
+    def need(self, n: int) -> int:
+        """Pairs of an item that a match holds at least; none if not positive."""
+        return n - 1 - 2 * self.edits(n)
+
 
 def build(rows: list[tuple[int, str | None]], max_rate: float = MAX_RATE) -> Index:
     vocabulary: dict[str, int] = {}
-    items: dict[tuple[int, ...], list[int]] = {}
+    borne: dict[tuple[int, ...], list[int]] = {}
     for item_id, text in sorted((r for r in rows if r[1] and r[0] is not None), key=lambda r: r[0]):
         found = tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokenize(text))
-        if len(found) >= MIN_WORDS:
-            items.setdefault(found, []).append(item_id)
-    width, shapes = np.int64(len(vocabulary) + 1), sorted(items)
-    edits = [int(max_rate * len(x) + 1e-9) for x in shapes]
-    runs = [np.array([a * width + b for a, b in zip(x, x[1:], strict=False)], np.int64) for x in shapes]
-    every = np.unique(np.concatenate([*runs, np.zeros(0, np.int64)]))
-    held = Counter(c for r in runs for c in set(r.tolist()))
-    rare = sorted((c, i) for i, r in enumerate(runs) for c in set(sorted(r.tolist(), key=lambda c: (held[c], c))[: 2 * edits[i] + 1]))
-    own = [np.unique(np.searchsorted(every, r)) + np.int64(i) * len(every) for i, r in enumerate(runs)]
-    sizes = np.array([len(x) for x in shapes], np.int64)
-    index = Index(
-        vocabulary, items, np.array([c for c, _ in rare], np.int64), np.array([i for _, i in rare], np.int64), every, np.concatenate([*own, np.zeros(0, np.int64)]), sizes,
-        sizes + np.array(edits, np.int64) - 1, sizes - 1 - 2 * np.array(edits, np.int64), {}, max_rate,
-    )
+        if found:
+            borne.setdefault(found, []).append(item_id)
+    items, none = sorted(borne), np.zeros(0, np.int64)
+    index = Index(vocabulary, items, [borne[x] for x in items], none, none, [], none, [], {}, max_rate)
+    width = np.int64(len(vocabulary) + 1)
+    index.pairs = [np.unique([a * width + b for a, b in zip(x, x[1:], strict=False)]).astype(np.int64) for x in items]
+    index.every = np.unique(np.concatenate([*index.pairs, none]))
+    index.always = [i for i, x in enumerate(items) if index.need(len(x)) <= 0]
+    held = Counter(c for own in index.pairs for c in own.tolist())
+    loose, rare = set(index.always), []
+    for i, x in enumerate(items):
+        if i not in loose:
+            places = [a * int(width) + b for a, b in zip(x, x[1:], strict=False)]
+            rare += [(c, i) for c in set(sorted(places, key=lambda c: (held[c], c))[: 2 * index.edits(len(x)) + 1])]
+    rare.sort()
+    index.rare, index.rare_owner = np.array([c for c, _ in rare], np.int64), np.array([i for _, i in rare], np.int64)
     for n in sorted({len(x) for x in items}):
-        own = [x for x in items if len(x) == n]
-        code = keys(np.array(own))
-        flat, owner = code.ravel(), np.repeat(np.arange(len(own)), code.shape[1])
+        own = np.array([i for i, x in enumerate(items) if len(x) == n])
+        code = keys(np.array([items[i] for i in own]))
+        flat, owner = code.ravel(), np.repeat(own, code.shape[1])
         order = np.argsort(flat, kind="stable")
-        index.tables[n] = flat[order], owner[order], own
+        index.tables[n] = flat[order], owner[order]
     return index
 
 
 def _starts(index: Index, code: np.ndarray) -> dict[int, np.ndarray]:
     """By window size, the places at which a window passes the filter."""
-    left, right = np.searchsorted(index.rare, code, "left"), np.searchsorted(index.rare, code, "right")
-    hits = np.flatnonzero(right > left)
-    if not len(hits):
-        return {}
-    # Every rare pair met, with each item that has it.
-    many = (right - left)[hits]
-    pos = np.repeat(hits, many)
-    item = index.rare_owner[np.repeat(left[hits] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-    width, need, size = index.widths[item], index.needs[item], index.sizes[item]
-    # Around each, the pairs that a match could span: width before the pair and width after.
-    span = 2 * width - 1
-    first = np.cumsum(span) - span
-    inner = np.arange(span.sum()) - np.repeat(first, span)
-    at = np.repeat(pos - width + 1, span) + inner
-    known = np.minimum(np.searchsorted(index.all_pairs, code), len(index.all_pairs) - 1)
-    known = np.where(index.all_pairs[known] == code, known, -1)
-    near = np.where((at >= 0) & (at < len(code)), known[np.clip(at, 0, len(code) - 1)], -1)
-    wanted = np.repeat(item, span) * np.int64(len(index.all_pairs)) + near
-    slot = np.minimum(np.searchsorted(index.item_pairs, wanted), len(index.item_pairs) - 1)
-    sums = np.concatenate(([0], np.cumsum((near >= 0) & (index.item_pairs[slot] == wanted))))
-    # A window may start at any of the first width places.
-    lead = inner < np.repeat(width, span)
-    start, whose = np.flatnonzero(lead), np.repeat(np.arange(len(item)), span)[lead]
-    good = (sums[start + width[whose]] - sums[start] >= need[whose]) & (at[start] >= 0)
-    found = {}
-    for n in np.unique(size[whose[good]]).tolist():
-        found[n] = np.unique(at[start[good & (size[whose] == n)]])
-    return found
+    n_words = len(code) + 1
+    open_at: dict[int, np.ndarray] = {}
+
+    def marks(n: int) -> np.ndarray:
+        """Where runs of open places begin (+) and end (-)."""
+        return open_at.setdefault(n, np.zeros(n_words + 1, np.int64))
+
+    for i in index.always:
+        marks(len(index.items[i]))[[0, n_words]] += (1, -1)
+    slot = np.minimum(np.searchsorted(index.every, code), max(0, len(index.every) - 1))
+    at = np.flatnonzero(index.every[slot] == code) if len(index.every) else np.zeros(0, np.int64)
+    met = code[at]
+    seen = np.unique(met)
+    left, right = np.searchsorted(index.rare, seen, "left"), np.searchsorted(index.rare, seen, "right")
+    live = {int(i) for a, b in zip(left[right > left], right[right > left], strict=True) for i in index.rare_owner[a:b]}
+    for i in sorted(live):
+        own, n = index.pairs[i], len(index.items[i])
+        need, span = index.need(n), n + index.edits(n) - 1
+        if len(at) < need:
+            continue
+        where = at[own[np.minimum(np.searchsorted(own, met), len(own) - 1)] == met]
+        if len(where) < need:
+            continue
+        # Runs of ``need`` pairs that fit a match: it begins between the place that still reaches the last and the first.
+        first, last = where[: len(where) - need + 1], where[need - 1 :]
+        fits = last - first < span
+        if fits.any():
+            np.add.at(marks(n), np.maximum(last[fits] - span + 1, 0), 1)
+            np.add.at(marks(n), first[fits] + 1, -1)
+    return {n: np.flatnonzero(np.cumsum(m[:-1]) > 0) for n, m in open_at.items()}
+
+
+def _candidates(index: Index, n: int, windows: np.ndarray) -> list[tuple[int, int]]:
+    """Items of n words and rows of ``windows`` that share a key."""
+    table, owner = index.tables[n]
+    mine = keys(windows)
+    flat = mine.ravel()
+    left, right = np.searchsorted(table, flat, "left"), np.searchsorted(table, flat, "right")
+    rows = np.flatnonzero(right > left)
+    many = (right - left)[rows]
+    parts = np.searchsorted(np.cumsum(many), np.arange(PAIRS, many.sum() + PAIRS, PAIRS))
+    found = np.zeros(0, np.int64)
+    for part in np.split(np.arange(len(rows)), np.unique(parts[parts < len(rows)] + 1)):
+        k = many[part]
+        hit = np.repeat(left[rows[part]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        found = np.unique(np.concatenate([found, owner[hit] * len(windows) + np.repeat(rows[part] // mine.shape[1], k)]))
+    return [divmod(int(x), len(windows)) for x in found]
 
 
 def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
@@ -211,6 +243,8 @@ def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
         return []
     get = index.vocabulary.get
     found = tokenize(text)
+    if not found:
+        return []
     ids = np.fromiter(map(get, found, repeat(0)), np.int64, len(found))
     code = ids[:-1] * np.int64(len(index.vocabulary) + 1) + ids[1:]
     code[(ids[:-1] == 0) | (ids[1:] == 0)] = -1
@@ -218,51 +252,56 @@ def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     if not open_at:
         return []
     padded = np.concatenate([ids, np.zeros(max(open_at), np.int64)])
-    best: dict[tuple[int, ...], tuple[int, int]] = {}
+    best: dict[int, tuple[int, int]] = {}
     for n, starts in open_at.items():
-        table, owner, own = index.tables[n]
-        e = index.edits(n)
-        for k in range(0, len(starts), 4096):
-            part = starts[k : k + 4096]
-            mine = keys(padded[part[:, None] + np.arange(n)])
-            flat = mine.ravel()
-            left, right = np.searchsorted(table, flat, "left"), np.searchsorted(table, flat, "right")
-            rows = np.flatnonzero(right > left)
-            pairs = sorted({(int(owner[j]), int(part[r // mine.shape[1]])) for r in rows for j in range(left[r], right[r])})
-            seen: tuple[int, int] = (-1, -1)
-            for o, start in pairs:
-                if seen[0] == o and start <= seen[1]:
+        e, read = index.edits(n), {}
+        for k in range(0, len(starts), WINDOWS):
+            part = starts[k : k + WINDOWS]
+            windows = padded[part[:, None] + np.arange(n)]
+            if index.always:
+                held = (windows > 0).sum(axis=1) >= n - e  # others share too few words with any item
+                part, windows = part[held], windows[held]
+            for o, r in _candidates(index, n, windows) if len(part) else ():
+                start = int(part[r])
+                if start <= read.get(o, -1):
                     continue  # the region already read has it
-                stop = start + 2 * n
-                first = max(0, start - e)
-                seen = o, start + n - 1
-                d, end = best_match(list(own[o]), ids[first : stop + e].tolist())
+                first, read[o] = max(0, start - e), start + n - 1
+                d, end = best_match(list(index.items[o]), ids[first : start + 2 * n + e].tolist())
                 if d <= e:
                     place = (d, max(0, first + end - n + 1))
-                    best[own[o]] = min(best.get(own[o], place), place)
-    return sorted((i, d, at, len(item)) for item, (d, at) in best.items() for i in index.items[item])
+                    best[o] = min(best.get(o, place), place)
+    return sorted((i, d, at, len(index.items[o])) for o, (d, at) in best.items() for i in index.ids[o])
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "matches", max_rate: float = MAX_RATE, block: int = BLOCK) -> DataFrame:
     """``docs`` with an array of the benchmark items found in each text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
     n = items.count()
-    blocks = max(1, -(-n // block))
-    result = docs.withColumn(out, F.array().cast(_MATCH))
+    blocks, index = max(1, -(-n // block)), []
     for k in range(blocks if n else 0):
         rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        index = shared(docs, build(rows, max_rate))
-
-        # Marked so that a filter on the result, such as explode brings, does not run it a second time.
-        found = F.pandas_udf(_finder(index), _MATCH).asNondeterministic()(F.col(text_col))
-        result = result.withColumn(out, found if blocks == 1 else F.concat(F.col(out), found))
-    return result
+        index.append(shared(docs, build(rows, max_rate)))
+    if not index:
+        return docs.withColumn(out, F.array().cast(_MATCH))
+    # Marked so that a filter on the result, such as explode brings, does not run it a second time.
+    return docs.withColumn(out, F.pandas_udf(_finder(index), _MATCH).asNondeterministic()(F.col(text_col)))
 
 
 def _finder(index):
+    """Matches every block in turn; of several, only the one at work is kept unpacked."""
+
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([match(index(), t if isinstance(t, str) else None) for t in batch])
+            texts = [t if isinstance(t, str) else None for t in batch]
+            found: list[list] = [[] for _ in texts]
+            for get in index:
+                block = get()
+                for own, t in zip(found, texts, strict=True):
+                    own += match(block, t)
+                if len(index) > 1:
+                    block = None
+                    get.forget()
+            yield pd.Series(found)
 
     return find
 

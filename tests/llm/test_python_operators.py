@@ -250,6 +250,90 @@ def test_recall_against_brute_force():
     assert not any(decontam.match(index, t) for t in clean)
 
 
+PROSE = """the of and to in a is that it was for on are with as his they be at one have this from or had by hot but some what
+there we can out other were all your when up use word how said an each she which do their time if will way about many then them
+would write like so these her long make thing see him two has look more day could go come did my sound no most number who over
+know water than call first people may down side been now find""".split()
+
+
+def prose(rng, n):
+    """Words as common ones recur in natural prose: the k-th with a weight of 1/k."""
+    return rng.choices(PROSE, [1 / k for k in range(1, len(PROSE) + 1)], k=n)
+
+
+def edited(rng, words, edits, vocabulary):
+    out = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (kind != 2)] = [] if kind == 1 else [rng.choice(vocabulary)]
+    return out
+
+
+@pytest.mark.parametrize("natural", [True, False])
+def test_recall_at_the_full_rate_against_all_windows(natural):
+    """Exactly a fifth of the words edited; what is there is found by the least edit distance to all windows."""
+    rng = random.Random(17 + natural)
+    vocabulary = PROSE if natural else [f"w{i}" for i in range(400)]
+    draw = (lambda n: prose(rng, n)) if natural else (lambda n: rng.choices(vocabulary, k=n))
+    items = [(i, " ".join(draw(rng.randrange(10, 60)))) for i in range(50)]
+    index, found, wanted = decontam.build(items), 0, 0
+    for _, text in items:
+        words = text.split()
+        body = draw(30) + edited(rng, words, int(0.2 * len(words)), vocabulary) + draw(30)
+        ids = [index.vocabulary.get(w, 0) for w in body]
+        truth = {}
+        for o, item in enumerate(index.items):
+            d, _ = decontam.best_match(list(item), ids)  # over all runs of words of the text
+            if d <= index.edits(len(item)):
+                truth[index.ids[o][0]] = d
+        got = {m[0]: m[1] for m in decontam.match(index, " ".join(body))}
+        assert set(got) <= set(truth) and all(got[i] >= truth[i] for i in got)
+        wanted += len(truth)
+        found += len(got)
+    assert wanted >= 45 and found / wanted >= 0.9
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 0.5])
+def test_other_rates(rate):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(200)]
+    items = [(n, " ".join(rng.choices(vocabulary, k=n))) for n in range(1, 13)]
+    index = decontam.build(items, rate)
+    found = wanted = 0
+    for n, text in items:
+        words = text.split()
+        for at in rng.sample(range(n), int(rate * n + 1e-9)):
+            words[at] = "zz"
+        got = {m[0] for m in decontam.match(index, " ".join(["yy"] * 5 + words + ["yy"] * 5))}
+        wanted += 1
+        found += n in got
+    assert found >= 0.9 * wanted if rate else found == wanted
+
+
+def test_short_items_and_unspaced_scripts():
+    index = decontam.build([(1, "what is two plus"), (2, "Zanzibar"), (3, "水の温度は何度ですか"), (4, "...")])
+    assert [m[0] for m in decontam.match(index, "Tell me: what is two plus two? In Zanzibar.")] == [1, 2]
+    assert [m[0] for m in decontam.match(index, "問題、水の温度は何度ですか。")] == [3]
+    assert decontam.match(index, "what is two and Zanzibars") == []
+
+
+def test_common_words_take_bounded_memory_and_time():
+    import time
+    import tracemalloc
+
+    rng = random.Random(8)
+    index = decontam.build([(i, " ".join(prose(rng, rng.randrange(15, 60)))) for i in range(2000)])
+    item = index.items[700]
+    names = {v: k for k, v in index.vocabulary.items()}
+    text = " ".join(prose(rng, 10_000) + [names[x] for x in item] + prose(rng, 10_000))
+    tracemalloc.start()
+    began = time.perf_counter()
+    got = {m[0]: m[1] for m in decontam.match(index, text)}
+    assert got[index.ids[700][0]] == 0
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20 and time.perf_counter() - began < 120
+    tracemalloc.stop()
+
+
 def test_decontamination_edges(spark):
     item = "the quick brown fox jumps over the lazy dog near the old river bank today"
     bench = spark.createDataFrame([(1, item), (2, item.upper()), (3, None), (4, ""), (5, "too short"), (None, item)], "item_id long, text string")
