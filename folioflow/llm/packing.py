@@ -1,18 +1,19 @@
 """Optimal length buckets: dynamic programming over the global histogram, then token-budget batches.
 
-The histogram of lengths over all documents has cells of one token up to ``EXACT``
-and of 1/256 of the length beyond, so it has at most ``EXACT + 256 * 20`` cells
-however large the corpus.  Dynamic programming picks the bucket boundaries that
-minimise padding over it; a bucket pads to the longest document in it.  Inside a
-bucket rows get consecutive places from counts by salt, never from one sorted
-task, and ``budget // bucket length`` of them form a batch.
+The histogram counts every length over all documents, so its size is the number of
+different lengths, not of documents.  Dynamic programming picks the bucket boundaries that
+minimise padding over it, exactly; a bucket pads to the longest document in it.  Each
+level of the program is a lower envelope of lines, so its cost grows with buckets times
+lengths.  Inside a bucket rows get consecutive places from counts by the part of the
+table they come from, never from one sorted task, and ``budget // bucket length`` of them
+form a batch.
 
 Tokens are the pieces of a pre-tokenizer pattern: runs of letters, runs of digits,
 other characters.  ``n_tokens`` may be given instead.
 
 Defined results
     null or empty text     zero tokens; the shortest bucket holds it
-    null id                kept
+    null id                kept; ids are only carried along, null or repeated
     ties                   of equal paddings the smaller boundaries
     repeated rows          each has its own place
     very long texts        a document longer than the budget is a batch of its own
@@ -22,17 +23,14 @@ Defined results
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Lengths told apart one by one.
-EXACT = 4096
-#: Groups that number a bucket's rows side by side.
-SALTS = 256
-
 PIECES = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
 
 
@@ -40,37 +38,42 @@ def piece_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("long")
 
 
-def cell(n: Column) -> Column:
-    """The upper end of a length's histogram cell."""
-    octave = F.floor(F.log2(n.cast("double"))).cast("long")
-    step = F.pow(F.lit(2.0), octave - 8).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step)
-
-
 def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
-    """Indexes of the cells that end a bucket, at most ``k``, for the least total padding.
+    """Indexes of the lengths that end a bucket, at most ``k``, for the least total padding.
 
-    ``lengths`` ascend: the longest document of each cell.  The tokens themselves are the
-    same however they are cut, so the least padding is the least padded total.
+    ``lengths`` ascend.  The tokens themselves are the same however they are cut, so the
+    least padding is the least padded total.
     """
-    n = len(lengths)
-    size = np.array(lengths, np.float64)
-    many = np.concatenate(([0.0], np.cumsum(np.array(counts, np.float64))))
-    best = size * many[1:]  # one bucket: all pads to the last
-    back = [np.zeros(n, np.int64)]
+    n, many = len(lengths), [0, *accumulate(counts)]
+    best = [length * many[j + 1] for j, length in enumerate(lengths)]  # one bucket: all pads to the last
+    back: list[list[int]] = [[-1] * n]
     for _ in range(1, min(k, n)):
-        new, cut = best.copy(), np.full(n, -1, np.int64)
+        # A last bucket from i + 1 to j costs best[i] + length[j] * (many[j+1] - many[i+1]): a line in length[j] for each i.
+        new, cut = best.copy(), [-1] * n
+        hull: deque[int] = deque()
+
+        def height(i: int, j: int, best: list[int] = best) -> int:
+            return best[i] - lengths[j] * many[i + 1]
+
+        def hidden(a: int, b: int, c: int, best: list[int] = best) -> bool:
+            """Whether line b is nowhere below both a and c, whose slopes fall from a to c."""
+            return (best[c] - best[a]) * (many[b + 1] - many[a + 1]) <= (best[b] - best[a]) * (many[c + 1] - many[a + 1])
+
         for j in range(1, n):
-            cost = best[:j] + size[j] * (many[j + 1] - many[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], cut[j] = cost[i], i
+            while len(hull) > 1 and hidden(hull[-2], hull[-1], j - 1):
+                hull.pop()
+            hull.append(j - 1)
+            while len(hull) > 1 and height(hull[1], j) < height(hull[0], j):
+                hull.popleft()
+            cost = height(hull[0], j) + lengths[j] * many[j + 1]
+            if cost < new[j]:
+                new[j], cut[j] = cost, hull[0]
         best = new
         back.append(cut)
     ends, j = [n - 1], n - 1
     for level in range(len(back) - 1, 0, -1):
         if back[level][j] >= 0:
-            j = int(back[level][j])
+            j = back[level][j]
             ends.append(j)
     return ends[::-1]
 
@@ -79,21 +82,18 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 65536, id_col: str =
     """``id_col, n_tokens, bucket, bucket_len, batch_id, place, padding`` of every row."""
     count = piece_count(F.col(text_col)) if n_tokens is None else F.coalesce(n_tokens, F.lit(0)).cast("long")
     # Texts are counted once; ids and counts are all that is used from here on.
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), count.alias("n")))
-    cells = rows.groupBy(cell(F.col("n")).alias("cell")).agg(F.count("*").alias("rows"), F.max("n").alias("longest")).orderBy("cell").collect()
-    if not cells:
-        ends = [0]
-    else:
-        picked = boundaries([r.longest for r in cells], [r.rows for r in cells], buckets)
-        ends = [cells[i].longest for i in picked]
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), count.alias("n"), F.spark_partition_id().alias("part")))
+    cells = rows.groupBy("n").agg(F.count("*").alias("rows")).orderBy("n").collect()  # one row a length
+    ends = [cells[i].n for i in boundaries([r.n for r in cells], [r.rows for r in cells], buckets)] if cells else [0]
     bucket = F.lit(len(ends) - 1)
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n") <= ends[i], i).otherwise(bucket)
-    rows = rows.withColumn("bucket", bucket).withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS)).cast("int"))
-    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("id", "n")))
-    sizes = rows.groupBy("bucket", "salt").agg(F.count("*").alias("rows"))  # at most buckets x SALTS
-    offsets = sizes.withColumn("before", F.sum("rows").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    joined = placed.join(F.broadcast(offsets.drop("rows")), ["bucket", "salt"])
+    # A part of the table is as large as a task reads, so however many rows a bucket has, none numbers more.
+    rows = rows.withColumn("bucket", bucket)
+    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("id", "n")))
+    sizes = rows.groupBy("bucket", "part").agg(F.count("*").alias("rows"))
+    offsets = sizes.withColumn("before", F.sum("rows").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    joined = placed.join(offsets.drop("rows"), ["bucket", "part"])
     length = F.element_at(F.array(*(F.lit(int(e)) for e in ends)), F.col("bucket") + 1).cast("long")
     at = F.coalesce("before", F.lit(0)) + F.col("k") - 1
     room = F.greatest(F.floor(F.lit(budget) / F.greatest(length, F.lit(1))), F.lit(1)).cast("long")

@@ -588,10 +588,18 @@ def test_boundaries_are_optimal():
         assert padding(lengths, picked) == best
 
 
-def test_cells_are_fine(spark):
-    values = [0, 1, 4095, 4096, 4097, 5000, 8191, 8192, 8193, 10**6, 10**9 + 7]
-    got = [r.c for r in spark.createDataFrame([(v,) for v in values], "n long").select(packing.cell(F.col("n")).alias("c")).collect()]
-    assert got[:4] == values[:4] and all(v <= c <= v * (1 + 1 / 256) for v, c in zip(values, got, strict=True))
+def test_boundaries_of_many_lengths_are_exact():
+    """Against the plain program over all pairs of lengths, with lengths far beyond any cell."""
+    rng = np.random.default_rng(6)
+    lengths = np.unique(rng.integers(1, 10**6, 1500))
+    counts = rng.integers(1, 10**9, len(lengths))
+    picked = packing.boundaries(lengths.tolist(), counts.tolist(), 12)
+    many = np.concatenate(([0], np.cumsum(counts)))
+    best = (lengths * many[1:]).astype(object)
+    for _ in range(11):
+        best = np.array([min(best[j], min((best[:j] + lengths[j] * (many[j + 1] - many[1 : j + 1])).tolist(), default=best[j])) for j in range(len(lengths))], dtype=object)
+    padded = sum(int(lengths[e]) * int(many[e + 1] - many[b]) for b, e in zip([0, *(i + 1 for i in picked)], picked, strict=False))
+    assert len(picked) == 12 and padded == best[-1]
 
 
 def test_packing(spark):
@@ -614,3 +622,5 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
     again = docs(spark, ["a b"] * 50).withColumn("doc_id", F.lit(1))
     assert sorted(r.place for r in packing.pack(again, budget=10**6).collect()) == list(range(50))
+    unnamed = docs(spark, ["a b"] * 50).withColumn("doc_id", F.lit(None).cast("long")).repartition(7)
+    assert sorted(r.place for r in packing.pack(unnamed, budget=10**6).collect()) == list(range(50))
