@@ -83,6 +83,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
 
+#: Pieces of a long text that an excerpt is made of.
+PIECES = 16
+
+
+def excerpt(text: Column, chars: int) -> Column:
+    """A text of up to so many characters whole, of a longer one ``PIECES`` pieces from evenly spread places, that long together."""
+    size = max(1, chars // PIECES)
+    step = (F.length(text) - size) / (PIECES - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, (i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > chars, F.array_join(parts, "\n")).otherwise(text)
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

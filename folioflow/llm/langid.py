@@ -9,9 +9,10 @@ byte depends on its last ``ORDER`` bytes alone and is exact from two tables: the
 grams that some language has seen, and the escapes of contexts.  A text goes to
 the language that codes it in fewest bits.
 
-Training takes at most ``SAMPLE_ROWS`` whole texts a language, those of smallest
-id hash; everything else covers all rows.  The model is a few MB and its size is
-bounded by the sample, so it is broadcast.
+Training takes at most ``SAMPLE_ROWS`` texts a language, those of smallest id hash,
+and of each at most ``SAMPLE_CHARS`` characters, of a longer text as pieces from all over it;
+``SAMPLE_TOTAL`` bounds the characters of all languages together.  Everything else covers
+all rows and whole texts.  The size of the model is bounded by the sample, so it is broadcast.
 
 Defined results
     null text, or none with a letter   ``und`` with score 0
@@ -22,7 +23,7 @@ Defined results
     repeated rows                      one result row each
     very long texts                    scored whole, in pieces of ``PIECE`` bytes that overlap by the context
     empty table                        empty result
-    clashing columns                   ignored; only the named columns are read
+    clashing columns                   ``identify`` keeps all and writes ``out``; ``language_id`` reads only the named columns
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_of_id, shared
+from .common import PIECES, crc_of_id, excerpt, shared, spare
 
 ORDER = 3
-#: Bound of the training sample: whole texts a language.
+#: Bound of the training sample: texts a language.
 SAMPLE_ROWS = 400
-#: Longer texts are not learned from, so the sample has a bound in characters too.  They are predicted like others.
-SAMPLE_CHARS = 1 << 17
+#: Characters learned from a text, and from all; a longer text gives pieces from evenly spread places.
+SAMPLE_CHARS, SAMPLE_TOTAL = 1 << 15, 1 << 27
 #: Bytes scored at once.
 PIECE = 1 << 19
 
@@ -192,7 +193,7 @@ def predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
     live = [i for i, t in enumerate(texts) if t and has_letter(t)] if model and model.langs else []
     if live:
         bits = total_bits(model, [texts[i] for i in live])
-        sizes = np.array([max(1, len(texts[i])) for i in live], float)
+        sizes = np.array([max(1, len(normal_bytes(texts[i]))) for i in live], float)
         best = bits.argmin(axis=1)
         gap = (bits - bits.min(axis=1, keepdims=True)) / sizes[:, None] * np.minimum(sizes, 10)[:, None]
         for i, b, s in zip(live, best, 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1), strict=True):
@@ -201,16 +202,17 @@ def predict(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
 
 
 def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, learnable: Column, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """At most ``rows`` whole texts a language, of smallest id hash."""
-    able = docs.where(learnable & F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    """At most ``rows`` texts a language, of smallest id hash, long ones as excerpts."""
+    able = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = able.groupBy(lang_col).count().collect()  # one row a language
+    chars = min(SAMPLE_CHARS, max(PIECES, SAMPLE_TOTAL // (rows * max(1, len(sizes)))))
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
     # The hash is uniform: a threshold with room to spare leaves few rows, and the exact cut is made on those.
     cut = F.lit(False)
     for r in sizes:
         share = min(1.0, 1.5 * rows / r["count"] + 20 / r["count"])
         cut = cut | ((F.col(lang_col) == r[lang_col]) & (order <= F.lit(int(min((1 << 63) - 1, -(1 << 63) + share * (1 << 64))))))
-    picked = able.where(cut).select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(text_col).alias("text"))
+    picked = able.where(cut).select(F.col(lang_col).alias("lang"), order.alias("h"), excerpt(F.col(text_col), chars).alias("text"))
     # The hash says nothing of rows that repeat an id: the bound is kept by rank, among the few rows the threshold left.
     first = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
     out: dict[str, list[tuple[int, str]]] = {}
@@ -228,8 +230,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", out:
             yield predict(fitted(), [t if isinstance(t, str) else None for t in batch])
 
     udf = F.pandas_udf(score, _RESULT)
-    found = docs.withColumn("__found", udf(F.col(text_col)))
-    return found.withColumns({out[0]: F.col("__found.lang_pred"), out[1]: F.col("__found.score")}).drop("__found")
+    (both,) = spare(docs, "found")
+    found = docs.withColumn(both, udf(F.col(text_col)))
+    return found.withColumns({out[0]: F.col(f"{both}.lang_pred"), out[1]: F.col(f"{both}.score")}).drop(both)
 
 
 def language_id(docs: DataFrame, held_out_rest: int = 2, parts: int = 4) -> DataFrame:
