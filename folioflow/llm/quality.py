@@ -7,8 +7,10 @@ linear, so once training ends each bucket's vector is folded into one number, it
 share of the log-odds, and scoring a text averages those: the same score at one
 lookup a feature.
 
-Training takes at most ``SAMPLE_ROWS`` labelled whole texts, those of smallest id
-hash; scoring covers all rows.  The model is one float a bucket, a fixed size.
+Training takes at most ``SAMPLE_ROWS`` labelled texts, those of smallest id hash among the
+labels that have a document, and of each at most ``SAMPLE_CHARS`` characters, of a longer text
+as pieces from all over it.  Scoring covers all rows and whole texts.  The model is one float
+a bucket, a fixed size.
 
 Defined results
     null or empty text     the score of a text without features: the layer's bias alone
@@ -17,7 +19,8 @@ Defined results
     several labels of an id  each counts as a row
     null label             not learned from
     repeated rows          one result row each
-    very long texts        scored whole, in pieces of ``PIECE`` characters cut at word ends where there are any
+    very long texts        scored whole, in pieces of ``PIECE`` characters cut at word ends where there are any; n-grams and
+                           pairs that cross a cut count
     empty table            empty result
     clashing columns       ignored; only the named columns are read
 """
@@ -33,17 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import crc_of_id, shared
+from .common import crc_of_id, excerpt, shared
 
 #: Bound of the training sample, in labelled rows.
 SAMPLE_ROWS = 3000
-#: Longer texts are not learned from, so the sample has a bound in characters too.  They are scored like others.
-SAMPLE_CHARS = 1 << 17
+#: Characters learned from a text; a longer one gives pieces from evenly spread places.
+SAMPLE_CHARS = 1 << 15
 BUCKETS = 1 << 17
 DIM = 8
-#: Bytes in a character n-gram.
+#: Characters (code points) in an n-gram.
 NGRAMS = (2, 3, 4)
-#: Bytes scored at once.
+#: Characters scored at once.
 PIECE = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,14 +71,16 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def ngrams(data: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of the n bytes from each place on."""
-    if len(data) < n:
-        return np.zeros(0, np.int32)
-    code = np.zeros(len(data) - n + 1, np.uint64)
-    for k in range(n):
-        code = (code << np.uint64(8)) | data[k : len(data) - n + 1 + k]
-    return _bucket(code, n)
+def ngrams(data: np.ndarray, sizes: tuple[int, ...] = NGRAMS) -> list[np.ndarray]:
+    """For each size, ascending, the buckets of the so many characters from each place on."""
+    wide = data.astype(np.uint64)
+    code, out = wide, []
+    for n in range(1, max(sizes) + 1):
+        if n > 1:  # 21 bits hold any code point, so three fit in a word; more are mixed in
+            code = (code[:-1] << np.uint64(21) if n <= 3 else code[:-1] * _BASE) + wide[n - 1 :]
+        if n in sizes:
+            out.append(_bucket(code, n))
+    return out
 
 
 def word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +95,9 @@ def word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_buckets(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words, and of pairs of neighbours.  A word beside itself hashes to one bucket whatever the word."""
-    return _bucket(codes, 99), _bucket(codes[1:] ^ codes[:-1], 98)
+    """Buckets of words, and of pairs of neighbours in their order; a word beside itself is one bucket whatever the word, so repeating shows."""
+    a, b = codes[:-1], codes[1:]
+    return _bucket(codes, 99), _bucket(np.where(a == b, np.uint64(0), (a << np.uint64(17) | a >> np.uint64(47)) + b), 98)
 
 
 @dataclass
@@ -103,8 +109,8 @@ class Model:
     bias: float = 0.0
 
 
-def text_bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").replace("\0", " ").encode("utf-8", "surrogatepass"), np.uint8)
+def code_points(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").replace("\0", " ").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -119,10 +125,22 @@ def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         yield data[at:]
 
 
+def features(text: str | None) -> Iterator[np.ndarray]:
+    """The buckets of a whole text, repeats included, array by array."""
+    lead, word, reach = np.zeros(0, np.uint32), np.zeros(0, np.uint64), max(NGRAMS) - 1
+    for piece in pieces(code_points(text)):
+        joined = np.concatenate([lead, piece])
+        for n, found in zip(NGRAMS, ngrams(joined), strict=True):  # those that end in this piece
+            yield found[max(0, len(lead) - n + 1) :]
+        codes = word_codes(piece)[0]
+        yield word_buckets(codes)[0]
+        yield word_buckets(np.concatenate([word, codes]))[1]
+        lead, word = joined[-reach:], np.concatenate([word, codes])[-1:]
+
+
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and each one's share of the features."""
-    found = [x for p in pieces(text_bytes(text)) for x in (*(ngrams(p, n) for n in NGRAMS), *word_buckets(word_codes(p)[0]))]
-    ids, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
+    ids, n = np.unique(np.concatenate([np.zeros(0, np.int32), *features(text)]), return_counts=True)
     return ids, (n / max(1, n.sum())).astype(np.float32)
 
 
@@ -181,7 +199,7 @@ def predict(model: Model, texts: list[str | None]) -> np.ndarray:
     held: list[np.ndarray] = []
     rows: list[int] = []
     size = 0
-    gap = np.zeros(max(NGRAMS), np.uint8)  # n-grams across texts are told apart by their place
+    gap = np.zeros(max(NGRAMS), np.uint32)  # n-grams across texts are told apart by their place
 
     def flush() -> None:
         nonlocal size
@@ -190,8 +208,8 @@ def predict(model: Model, texts: list[str | None]) -> np.ndarray:
         data = np.concatenate([x for d in held for x in (d, gap)])
         starts = np.cumsum([0, *(len(d) + len(gap) for d in held)])
         at_row = np.array(rows)
-        for n in NGRAMS:
-            value = np.concatenate(([0.0], np.cumsum(model.weight[ngrams(data, n)], dtype=np.float64)))
+        for n, found in zip(NGRAMS, ngrams(data), strict=True):
+            value = np.concatenate(([0.0], np.cumsum(model.weight[found], dtype=np.float64)))
             for i, d in enumerate(held):
                 if len(d) >= n:
                     a, b = starts[i], starts[i] + len(d) - n + 1
@@ -208,22 +226,28 @@ def predict(model: Model, texts: list[str | None]) -> np.ndarray:
         size = 0
 
     for i, text in enumerate(texts):
-        for piece in pieces(text_bytes(text)):
-            held.append(piece)
+        data = code_points(text)
+        if len(data) > PIECE:
+            for found in features(text):
+                total[i] += model.weight[found].sum(dtype=np.float64)
+                count[i] += len(found)
+            continue
+        if len(data):  # short texts go together
+            held.append(data)
             rows.append(i)
-            size += len(piece)
-            if size >= PIECE:
-                flush()
+            size += len(data)
+        if size >= PIECE:
+            flush()
     flush()
     return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + model.bias)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled whole texts, those of smallest id hash."""
+    """At most ``rows`` labelled texts, those of smallest id hash among the labels that have a document."""
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))
-    able = labels.where(learnable & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
+    able = labels.where(learnable & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = able.select("doc_id", F.col(label_col).cast("int").alias("label"), order.alias("h")).orderBy("h", "label").limit(rows)  # the bound of the broadcast
-    found = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", excerpt(F.col("text"), SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")
     # Ids that repeat in ``docs`` could pass the bound again: the first rows in order of hash are taken.
     found = found.orderBy("h", "label", "text").limit(rows)
     got = [(r.h, r.label, r.text) for r in found.collect()]

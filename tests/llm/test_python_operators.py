@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioflow.llm import components, decontam, langid, packing, quality, simhash, surrogates
+from folioflow.llm import common, components, decontam, langid, packing, quality, simhash, surrogates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -183,14 +183,62 @@ def test_scores_are_those_of_the_averaged_vectors():
 
 
 def test_words_and_pairs():
-    data = quality.text_bytes("ab cd ab ab")
+    data = quality.code_points("ab cd ab ab")
     codes, starts = quality.word_codes(data)
     assert starts.tolist() == [0, 3, 6, 9] and codes[0] == codes[2] == codes[3] != codes[1]
     _, pairs = quality.word_buckets(codes)
-    other = quality.word_buckets(quality.word_codes(quality.text_bytes("zz zz"))[0])[1]
+    assert len(set(pairs.tolist())) == 3  # ab cd is not cd ab
+    other = quality.word_buckets(quality.word_codes(quality.code_points("zz zz"))[0])[1]
     assert pairs[2] == other[0]
 
 
+def test_ngrams_are_of_characters():
+    assert [len(x) for x in quality.ngrams(quality.code_points("жук"))] == [2, 1, 0]
+    assert [len(x) for x in quality.ngrams(quality.code_points("ж"))] == [len(x) for x in quality.ngrams(quality.code_points(""))] == [0, 0, 0]
+    a, b = (quality.ngrams(quality.code_points(t))[2].tolist() for t in ("abcd", "xbcd"))
+    assert a != b
+
+
+def test_long_texts_are_scored_as_if_in_one_piece(monkeypatch):
+    texts = ["good plain text of words"] * 5 + ["bad$$$ b%%% x### y&&&"] * 5
+    model = quality.train(texts, [1] * 5 + [0] * 5)
+    probes = ["good bad$$$ words and " * 40, "é à " * 90]  # a word longer than a piece would be cut
+    whole, bags = quality.predict(model, probes), [quality.bag(t) for t in probes]
+    monkeypatch.setattr(quality, "PIECE", 50)
+    assert quality.predict(model, probes) == pytest.approx(whole, abs=1e-9)
+    for (ids, share), t in zip(bags, probes, strict=True):
+        assert quality.bag(t)[0].tolist() == ids.tolist() and quality.bag(t)[1] == pytest.approx(share)
+
+
+def test_excerpts(spark):
+    texts = ["short", None, "", "x" * 64, "".join(chr(97 + i % 26) for i in range(1000))]
+    got = [r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select(common.excerpt(F.col("t"), 64).alias("e")).collect()]
+    assert got[:4] == texts[:4]
+    parts = got[4].split("\n")
+    assert len(parts) == 16 and all(len(p) == 4 and p in texts[4] for p in parts) and got[4].startswith("abcd") and got[4].endswith(texts[4][-4:])
+
+
+def test_long_texts_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 160)
+    rows = [(i, " ".join(["der hund und die katze"] * 40), "de") for i in range(20)] + [(i, "the dog and the cat", "en") for i in range(20, 40)]
+    got = langid.language_id(spark.createDataFrame([*rows, (50, "und der hund", None), (51, "and the dog", None)], "doc_id long, text string, lang string"))
+    by = {r.doc_id: r.lang_pred for r in got.collect()}
+    assert by[50] == "de" and by[51] == "en"
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 64)
+    table = spark.createDataFrame([(i, ("plain good words " if i % 2 else "b$d st#ff %% ") * 60) for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(1000, 9000)], "doc_id long, quality int")
+    scored = {r.doc_id: r.predicted for r in quality.quality(table, marks).collect()}
+    assert all(scored[i] == i % 2 for i in range(60))
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_code_lengths_of_other_orders(order):
+    texts = {"aa": ["the cat sat on the mat"], "bb": ["un été chaud"]}
+    model = langid.train(texts, order)
+    for j, lang in enumerate(sorted(texts)):
+        assert langid.total_bits(model, ["the été zz"])[0, j] == pytest.approx(slow_bits(texts[lang], "the été zz", order), rel=1e-4, abs=1e-3)
+
+
 def test_quality_held_out_accuracy_and_edges(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest table has too few labels to learn from
     table, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
