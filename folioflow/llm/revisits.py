@@ -1,17 +1,23 @@
 """Not-modified revisits: an as-of join by canonical URL to the latest earlier full response.
 
-Captures of a URL are cut by time into buckets.  Inside a bucket a window finds
-the last full response; where it has none, the bucket looks to the last response
-of the buckets before, kept one row per URL and bucket.  So a URL that holds a
-third of all captures is many groups, and its rows meet in no single task.  Only
-ids, times and headers move; bodies stay where they are.
+Captures are dealt by ranges of URL and time, so however many captures a URL has, no part
+holds more of them than any other; only those of one URL at one very time stay together.  Inside a part a window carries the last full response
+along; where a part begins inside a URL, what the parts before ended with is carried in, one
+row per URL and part.  Nothing is joined by the base, which a whole third of the captures
+may share.  Only ids, times and headers move; bodies stay where they are.
+
+Validators.  Equal entity tags by weak comparison decide; where either side has none, a
+Last-Modified equal to that of the base; a ``digest`` of the payload that both sides carry
+must agree besides, and can decide alone.
 
 Defined results
     null or empty url        resolved to nothing (status ``no_url``)
     null time                never a base; a revisit without time is ``no_base``
     ties in time             a response at the very time of a revisit is not earlier; among equals the highest record id is latest
     repeated rows            each gets its own result row
-    null validators          a revisit with neither validator is ``unchecked`` and merges nothing
+    null validators          a revisit with no validator that the base has too is ``unchecked`` and merges nothing
+    null record id           a base or revisit like others; among bases of one time it is the lowest
+    very long inputs         headers are carried whole; their size is that of a record's head, not of its body
     empty table              empty result
     clashing columns         ignored; only the named columns are read
 """
@@ -23,9 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Seconds in a time bucket.
-BUCKET = 6 * 3600
-
 #: Query parameters that do not select content.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
 
@@ -67,7 +70,12 @@ def lower_keys(headers: Column) -> Column:
     )
 
 
-def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET) -> DataFrame:
+def _entries(headers: Column) -> Column:
+    """Headers as what can be ordered."""
+    return F.array_sort(F.map_entries(headers))
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """Each revisit with its base and merged headers.
 
     ``records``: ``record_id`` long, ``url`` string, ``at`` timestamp, ``kind`` (``response`` or
@@ -75,36 +83,35 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET) -> DataFr
     ``content-range``.  Returns one row per revisit: ``record_id``, ``canonical``, ``status``,
     ``base_id``, ``base_at`` and ``merged`` headers (null unless ``resolved``).
 
-    ``resolved`` means the validator agrees: equal entity tags by weak comparison, else, where
-    either side has none, a Last-Modified equal to that of the base.  Disagreement is ``mismatch``.
+    ``resolved`` means the validators agree as the head of this module says.  Disagreement is ``mismatch``.
     """
-    # Records are read once; without their bodies they are small.
-    rows = checkpointed(records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", lower_keys(F.col("headers")).alias("headers")))
-    full = (F.col("kind") == "response") & F.col("at").isNotNull() & F.col("canonical").isNotNull() & ~F.map_contains_key("headers", F.lit("content-range"))
-    seen = rows.withColumns({"base": F.when(full, F.struct("at", "record_id", "headers")), "bucket": F.floor(F.unix_seconds("at") / bucket_seconds)})
-    live = seen.where(F.col("canonical").isNotNull() & F.col("at").isNotNull() & (full | (F.col("kind") == "revisit")))
-    # In a bucket: strictly earlier rows, by time alone; of equal times the highest id, which max of the structs gives.
-    earlier = Window.partitionBy("canonical", "bucket").orderBy("when").rangeBetween(Window.unboundedPreceding, -1)
-    key = F.struct("at", "record_id")
-    live = live.withColumn("when", F.unix_micros("at")).withColumn("near", F.max(F.when(full, key)).over(earlier))
-    last = live.where(full).groupBy("canonical", "bucket").agg(F.max(key).alias("last"))
-    asked = live.where("kind = 'revisit' and near is null").select("canonical", "bucket").distinct()
-    # One row per URL and bucket: the last response of the buckets before.
-    grid = last.unionByName(asked.withColumn("last", F.lit(None).cast(last.schema["last"].dataType))).groupBy("canonical", "bucket").agg(F.max("last").alias("last"))
-    before = Window.partitionBy("canonical").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = grid.select("canonical", "bucket", F.max("last").over(before).alias("far"))
-    found = live.where("kind = 'revisit'").join(carried.where("far is not null"), ["canonical", "bucket"], "left")
-    found = found.select("record_id", "canonical", "headers", "at", F.coalesce("near", "far").alias("b"))
-    bases = live.where(full).select(F.col("canonical").alias("c"), F.col("at").alias("base_at"), F.col("record_id").alias("base_id"), F.col("headers").alias("stored"))
-    bases = bases.dropDuplicates(["c", "base_at", "base_id"])
-    joined = found.join(bases, (F.col("canonical") == F.col("c")) & (F.col("b.at") == F.col("base_at")) & (F.col("b.record_id").eqNullSafe(F.col("base_id"))) & F.col("b").isNotNull(), "left")
-    lost = rows.where("kind = 'revisit' and (canonical is null or at is null)").select(
+    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "at", "kind", lower_keys(F.col("headers")).alias("headers"))
+    full = (F.col("kind") == "response") & ~F.map_contains_key("headers", F.lit("content-range"))
+    rows = rows.where((F.col("kind") == "revisit") | full)
+    known = F.col("canonical").isNotNull() & F.col("at").isNotNull()
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so that a part is the same part wherever it is read.
+    rows = checkpointed(rows.repartitionByRange(parts, "canonical", "at").withColumn("part", F.spark_partition_id()))
+    live = rows.where(known).withColumns({"base": F.when(full, F.struct("at", "record_id", _entries(F.col("headers")).alias("headers"))), "when": F.unix_micros("at")})
+    # Strictly earlier rows by time alone; of equal times the highest id, which max of the structs gives.
+    earlier = Window.partitionBy("canonical", "part").orderBy("when").rangeBetween(Window.unboundedPreceding, -1)
+    asked = live.withColumn("near", F.max("base").over(earlier)).where("kind = 'revisit'")
+    # Captures of a URL at one time are in one part, so all that the parts before hold is earlier.
+    ends = live.groupBy("canonical", "part").agg(F.max("base").alias("last"))
+    before = Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("canonical", "part", F.max("last").over(before).alias("far")).where("far is not null")
+    found = asked.join(carried, ["canonical", "part"], "left").select("record_id", "canonical", "headers", F.coalesce("near", "far").alias("b"))
+    found = found.select("record_id", "canonical", "headers", F.map_from_entries("b.headers").alias("stored"), F.col("b.record_id").alias("base_id"), F.col("b.at").alias("base_at"))
+    lost = rows.where(~known & (F.col("kind") == "revisit")).select(
         "record_id", "canonical", "headers", F.lit(None).cast("map<string,string>").alias("stored"), F.lit(None).cast("long").alias("base_id"), F.lit(None).cast("timestamp").alias("base_at")
     )
-    every = joined.select("record_id", "canonical", "headers", "stored", "base_id", "base_at").unionByName(lost)
+    every = found.unionByName(lost)
     tag, old = _opaque(F.col("headers")["etag"]), _opaque(F.col("stored")["etag"])
     since, modified = F.trim(F.col("headers")["last-modified"]), F.trim(F.col("stored")["last-modified"])
-    agree = F.when(tag.isNotNull() & old.isNotNull(), tag == old).when(since.isNotNull() & modified.isNotNull(), since == modified)
+    digest, body = F.trim(F.col("headers")["digest"]), F.trim(F.col("stored")["digest"])
+    same = F.when(digest.isNotNull() & body.isNotNull(), digest == body)
+    named = F.when(tag.isNotNull() & old.isNotNull(), tag == old).when(since.isNotNull() & modified.isNotNull(), since == modified)
+    agree = F.coalesce(named & same, named, same)
     status = (
         F.when(F.col("canonical").isNull(), "no_url").when(F.col("base_at").isNull(), "no_base").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
     )

@@ -201,13 +201,25 @@ def test_revisits_take_the_latest_earlier_response(spark):
 
 def test_revisits_match_brute_force_on_one_hot_url(spark):
     data = [(i, "http://hot/x", stamp(37 * i % 5000), "response" if i % 5 == 0 else "revisit", {"etag": str(i % 3)}) for i in range(600)]
-    got = {r["record_id"]: r["base_id"] for r in rows(revisits.resolve_revisits(spark.createDataFrame(data, RECORDS), bucket_seconds=3600))}
+    got = {r["record_id"]: r["base_id"] for r in rows(revisits.resolve_revisits(spark.createDataFrame(data, RECORDS)))}
     for i, _, at, kind, _ in data:
         if kind == "revisit":
             best = max(((a, k) for k, _, a, kd, _ in data if kd == "response" and a < at), default=(None, None))[1]
             assert got[i] == best
 
 
+def test_ties_in_time_and_digests(spark):
+    data = [(i, "http://t/x", stamp(i // 8), "response" if i % 4 == 0 else "revisit", {"etag": "1", "digest": str(i % 3)}) for i in range(300)]
+    data += [(None, "http://n/x", stamp(0), "response", {"digest": "a"}), (900, "http://n/x", stamp(1), "revisit", {"digest": "a"}), (901, "http://n/x", stamp(1), "revisit", {"digest": "b"})]
+    got = {r["record_id"]: r for r in rows(revisits.resolve_revisits(spark.createDataFrame(data, RECORDS)))}
+    for i, _, at, kind, headers in data[:300]:
+        if kind == "revisit":
+            best = max(((a, k) for k, _, a, kd, _ in data[:300] if kd == "response" and a < at), default=None)
+            assert got[i]["base_id"] == (best and best[1])
+            assert got[i]["status"] == ("no_base" if best is None else "resolved" if best[1] % 3 == i % 3 else "mismatch")
+    assert (got[900]["status"], got[901]["status"], got[900]["base_id"]) == ("resolved", "mismatch", None) and got[900]["merged"] == {"digest": "a"}
+
+
 # ---------------------------------------------------------------- licences
 
 
