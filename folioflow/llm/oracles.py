@@ -40,7 +40,7 @@ FROM b"""
 
 
 def chat_windows(budget: int = 1024, history: int = 256) -> str:
-    """Turn numbers lie in the first block in the tables at hand, so one block is written out."""
+    """Spans by a walk over running sums, whatever the turn numbers and however many turns a conversation has."""
     control = r"([<\[])(\\*)(/?(?:s>|INST\]))"
     esc = rf"regexp_replace({{}}, '{control}', '\1\\\2\3', 'g')"
     role = esc.format(r"replace(replace(role, '\', '\b'), chr(10), '\n')")
@@ -88,6 +88,7 @@ FROM r LEFT JOIN b USING (record_id) LEFT JOIN c ON c.page_id * 4 = base.id"""
 
 def license_scan(threshold: float = 0.6) -> str:
     rows = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    blank, bare, comment = _quoted(licenses._BLANK), _quoted(licenses._BARE), _quoted(licenses._COMMENT)
     cue, named, token = _quoted(licenses.CUE), _quoted(licenses.LICENSE_FILE), r"'[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*'"
     return rf"""
 WITH t(i, license, txt) AS (VALUES {rows}),
@@ -96,10 +97,19 @@ f AS (
   SELECT doc_id, text, source || '/m' || (doc_id % 7) || '/s' || (doc_id % 3) AS dir,
     CASE WHEN length(text) < 300 AND regexp_matches(text, {cue}) THEN 'LICENSE-' || doc_id ELSE 'f' || doc_id || '.txt' END AS name FROM documents),
 p AS (SELECT doc_id, text, dir, dir || '/' || name AS path FROM f),
-u AS (
+hits AS (SELECT * FROM p WHERE regexp_matches(text, {cue})),
+blocks AS (
   SELECT DISTINCT doc_id, path, line FROM (
-    SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM p) WHERE regexp_matches(line, {cue})
-  UNION SELECT doc_id, path, text FROM p WHERE regexp_matches(path, {named}) AND text <> ''),
+    SELECT doc_id, path, unnest(string_split_regex(text, {blank})) AS line FROM hits UNION ALL SELECT doc_id, path, unnest(string_split_regex(text, {bare})) FROM hits)
+  WHERE contains(line, chr(10)) AND regexp_matches(line, {cue})),
+u0 AS (
+  SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, false AS whole FROM hits
+  UNION ALL SELECT doc_id, path, line, false FROM blocks
+  UNION ALL SELECT doc_id, path, array_to_string(list_filter(string_split(line, chr(10)), lambda x: regexp_matches(x, {comment})), chr(10)), false FROM blocks),
+u AS (
+  SELECT doc_id, path, line, bool_or(whole) AS whole FROM (
+    SELECT * FROM u0 WHERE regexp_matches(line, {cue}) UNION ALL SELECT doc_id, path, text, true FROM p WHERE regexp_matches(path, {named}) AND text <> '')
+  GROUP BY ALL),
 l AS (SELECT line, count(*) AS n FROM u GROUP BY 1),
 total AS (SELECT coalesce(sum(n), 0) AS n FROM l),
 tf AS (SELECT line, n, tok, count(*) AS tf FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), {token})) AS tok FROM l) GROUP BY 1, 2, 3),
@@ -109,7 +119,9 @@ x AS (SELECT line, tok, tf * coalesce(w, ln(1 + total.n) + 1) AS x FROM tf LEFT
 ln_ AS (SELECT line, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1),
 dot AS (SELECT line, i, sum(x.x * tt.tf * w) AS d FROM x JOIN tt USING (tok) JOIN idf USING (tok) GROUP BY 1, 2),
 best AS (SELECT line, max({{'similarity': round(d / ln_.norm / tn.norm, 4), 'license': license}}) AS best FROM dot JOIN ln_ USING (line) JOIN tn USING (i) JOIN t USING (i) GROUP BY 1),
-own AS (SELECT doc_id, path, max(best) AS own FROM u JOIN best USING (line) WHERE best.similarity >= {threshold} GROUP BY 1, 2),
+own AS (
+  SELECT doc_id, path, max({{'decides': whole AND best.similarity >= {licenses.WHOLE}, 'similarity': best.similarity, 'license': best.license}}) AS own
+  FROM u JOIN best USING (line) WHERE best.similarity >= {threshold} GROUP BY 1, 2),
 given AS (SELECT dir AS up, max(own) AS gift FROM own JOIN p USING (doc_id, path) WHERE regexp_matches(path, {named}) GROUP BY 1),
 anc AS (SELECT dir, unnest(['', split_part(dir, '/', 1), split_part(dir, '/', 1) || '/' || split_part(dir, '/', 2), dir]) AS up FROM (SELECT DISTINCT dir FROM p)),
 near AS (SELECT dir, arg_max(up, length(up)) AS up, arg_max(gift, length(up)) AS gift FROM anc JOIN given USING (up) GROUP BY 1)

@@ -252,6 +252,44 @@ def test_root_license_reaches_everything(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", "")}
 
 
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    bsd, mit = licenses._BSD, licenses._MIT
+    numbered = bsd.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    data = [
+        (1, "a/x.c", "/*\n" + wrapped(licenses._MPL, 72, " * ") + "\n */\nint main() { return 0; }"),
+        (2, "a/y.py", "#!/usr/bin/env python\n# Copyright 2020 Some Body\n#\n" + wrapped(licenses._APACHE, 72, "# ") + "\n#\n" + wrapped(licenses._APACHE_REST, 72, "# ") + "\nimport os\nprint(os)"),
+        (3, "b/LICENSE", "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrapped(mit, 72) + "\n\n" + wrapped(licenses._AS_IS, 72)),
+        (4, "c/LICENSE.txt", "BSD 2-Clause License\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n" + wrapped(numbered, 72) + "\n\n" + wrapped(licenses._BSD_AS_IS, 72)),
+        (5, "d/LICENSE", "BSD 3-Clause License\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n" + wrapped(numbered, 72) + "\n\n3. " + wrapped(licenses._BSD_NAME, 72) + "\n\n" + wrapped(licenses._BSD_AS_IS, 72)),
+        (6, "e/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n" + "Everyone may copy this text.\n\n" + "Preamble words go on and on about freedom. " * 400),
+        (7, "f/z.java", "// " + wrapped("This program " + licenses._GNU.format("Lesser General Public License", "2.1"), 60, "// ") + "\nclass Z {}"),
+        (8, "g/LICENSE", "ISC License\n\nCopyright (c) 2021 Some Body\n\n" + wrapped(licenses._ISC, 72) + "\n\n" + wrapped(licenses._ISC_AS_IS, 72)),
+        (9, "b/src/q.py", "print(1)"),
+        (10, "h/big.txt", "some words without any cue " * 20000),
+    ]
+    got = {r["file_id"]: r["license"] for r in rows(licenses.scan_licenses(spark.createDataFrame(data, "file_id long, path string, text string")))}
+    assert got == {1: "MPL-2.0", 2: "Apache-2.0", 3: "MIT", 4: "BSD-2-Clause", 5: "BSD-3-Clause", 6: "GPL-2.0", 7: "LGPL-2.1", 8: "ISC", 9: "MIT", 10: None}
+
+
+def test_own_templates(spark):
+    df = spark.createDataFrame([(1, "x.py", "# House license, ask the house"), (2, "y.py", "# Licensed under the Apache License, Version 2.0")], "file_id long, path string, text string")
+    got = {r["file_id"]: r["license"] for r in rows(licenses.scan_licenses(df, templates=(("House", "House license, ask the house"),)))}
+    assert got == {1: "House", 2: None}
+
+
+def test_two_thousand_tokens_move_by_hash(spark):
+    """The plan deals tokens out by a hash of fixed size, not by the line they are in."""
+    lines = spark.createDataFrame([("license " * 5, 1)], "line string, n long").withColumn("key", F.unhex(F.md5("line")))
+    plan = licenses.score_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(line#", plan)
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op2_warc_revisits", "op8_line_cleaning", "op10_chat_windows"])
 def test_queries_match_their_sql(spark, sf_dir, name):
     import duckdb
