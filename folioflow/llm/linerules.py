@@ -13,6 +13,7 @@ Defined results
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +27,17 @@ _BLANKS = " \t\n\x0b\f\r"
 #: Words in a repeated-words window.
 WINDOW = 5
 
-#: Phrases of page furniture, matched anywhere in a lower-cased line.
+#: Phrases of page furniture, matched anywhere in a lower-cased line; those of other languages go into ``LineRules``.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of service", "terms of use",
     "enable javascript", "lorem ipsum", "subscribe to our newsletter", "sign up for our", "click here to",
     "powered by", "share this page", "skip to content", "back to top",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen", "javascript aktivieren",
+    "newsletter abonnieren", "hier klicken", "seite teilen", "zum inhalt springen", "nach oben scrollen",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "activer javascript",
+    "abonnez-vous à notre", "cliquez ici", "partager cette page", "aller au contenu", "haut de page",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "términos de uso", "activar javascript",
+    "suscríbete a nuestro", "haz clic aquí", "compartir esta página", "saltar al contenido", "volver arriba",
 )
 
 
@@ -42,6 +49,7 @@ class LineRules:
     separators           a line fails at this many ``|``, ``»``, ``•`` or ``·``
     shouts               a line fails at this many ``!!``
     short_line           a line of fewer words fails unless it ends in ``. ! ? … : ;`` or a closing mark
+    phrases              a line fails if it holds one of these, both in lower case
     max_loss             a document fails if it loses a larger share of its word characters
     """
 
@@ -49,6 +57,7 @@ class LineRules:
     separators: int = 3
     shouts: int = 3
     short_line: int = 4
+    phrases: tuple[str, ...] = BOILERPLATE
     max_loss: float = 0.5
 
 
@@ -64,11 +73,16 @@ _SEPARATORS = "[|»•·]"
 _LAST = list(".!?…:;\"')]»”")
 
 
-def suspicions(text: Column, low: Column | None = None) -> dict[str, Column]:
+def _literal(phrase: str) -> str:
+    """A pattern that both engines read as the phrase itself."""
+    return re.sub(r"([^\w\s'-])", r"\\\1", phrase)
+
+
+def suspicions(text: Column, low: Column | None = None, phrases: tuple[str, ...] = BOILERPLATE) -> dict[str, Column]:
     """What a text must hold for any of its lines to break a rule; cheap beside asking every line.  ``low`` is the text in lower case."""
     low = F.lower(text) if low is None else low
     phrase = F.lit(False)
-    for p in BOILERPLATE:
+    for p in phrases:
         phrase = phrase | low.contains(p)
     return {"symbols": symbols_in(text) > 0, "separators": text.rlike(_SEPARATORS), "shouts": text.contains("!!"), "boilerplate": phrase}
 
@@ -78,7 +92,7 @@ def line_fails(line: Column, rules: LineRules, may: dict[str, Column] | None = N
 
     ``may`` has the suspicions of the whole text; a rule without one is not asked.
     """
-    may = may or suspicions(line)
+    may = may or suspicions(line, phrases=rules.phrases)
     n_words = F.size(words(line))
     n_symbols = symbols_in(line)
     n_separators = F.regexp_count(line, F.lit(_SEPARATORS))
@@ -89,7 +103,7 @@ def line_fails(line: Column, rules: LineRules, may: dict[str, Column] | None = N
         | (may["separators"] & (n_separators >= rules.separators))
         | (may["shouts"] & (n_shouts >= rules.shouts))
         | (~ends & (n_words < rules.short_line))
-        | (may["boilerplate"] & F.lower(line).rlike("|".join(BOILERPLATE)))
+        | (may["boilerplate"] & F.lower(line).rlike("|".join(map(_literal, rules.phrases))))
     )
 
 
@@ -135,7 +149,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rules = rules or LineRules()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("low", F.lower("text"))
-    rows = rows.withColumns({"w": words(F.col("text")), "lines": F.split("text", "\n"), "n_symbols": symbols_in(F.col("text")), **{f"may_{k}": v for k, v in suspicions(F.col("text"), F.col("low")).items()}})
+    rows = rows.withColumns({"w": words(F.col("text")), "lines": F.split("text", "\n"), "n_symbols": symbols_in(F.col("text")), **{f"may_{k}": v for k, v in suspicions(F.col("text"), F.col("low"), rules.phrases).items()}})
     may = {k: F.col(f"may_{k}") for k in ("symbols", "separators", "shouts", "boilerplate")}
     rows = rows.withColumn("full", F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = rows.withColumn("good", F.filter("full", lambda x: ~line_fails(x, rules, may)))

@@ -26,7 +26,7 @@ f AS (
     OR length(regexp_replace(line, '[^|»•·]', '', 'g')) >= {r.separators}
     OR length(line) - length(replace(line, '!!', '!')) >= {r.shouts}
     OR (len({words.format('line')}) < {r.short_line} AND NOT regexp_matches(line, '[.!?…:;"'')\]»”]{blank}*$'))
-    OR regexp_matches(lower(line), {_quoted('|'.join(linerules.BOILERPLATE))}) AS fails
+    OR regexp_matches(lower(line), {_quoted('|'.join(map(linerules._literal, r.phrases)))}) AS fails
   FROM l),
 lines AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (fails) AS gone, coalesce(sum(chars) FILTER (NOT fails), 0) AS stays FROM f GROUP BY rid),
 b AS (

@@ -63,6 +63,22 @@ def test_line_verdicts(spark):
     assert got[4]["kept"] and got[4]["n_lines_removed"] == 1 and "Home" not in got[4]["clean_text"]
 
 
+def test_boilerplate_of_several_languages_and_own_phrases(spark):
+    prose = "This is a plain sentence with enough words in it to be kept.\nAnother plain sentence follows and says a little more about it."
+    furniture = ["Todos los derechos reservados por la casa de al lado.", "Mit dem Klick auf Cookies akzeptieren stimmen Sie dem zu.", "Ici, la politique de confidentialité de tout ce site.", "Buy (now) at the corner shop, dear reader."]
+    docs = spark.createDataFrame([(i, f"{line}\n{prose}", None, None, None) for i, line in enumerate(furniture)], DOCS)
+    got = {r["doc_id"]: r["n_lines_removed"] for r in rows(linerules.clean_lines(docs))}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 0}
+    own = {r["doc_id"]: r["n_lines_removed"] for r in rows(linerules.clean_lines(docs, rules=linerules.LineRules(phrases=("buy (now)",))))}
+    assert own == {0: 0, 1: 0, 2: 0, 3: 1}
+
+
+def test_a_very_long_text(spark):
+    long = "\n".join(f"Line {i} of a long text that goes on with some words." for i in range(20000))
+    (r,) = rows(linerules.clean_lines(spark.createDataFrame([(1, long, None, None, None)], DOCS)))
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts(long)
+
+
 def test_line_rules_edge_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert linerules.clean_lines(empty).count() == 0
