@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import value_at
+
 OPERATORS = ("lessThan", "lessThanOrEqual", "equal", "notEqual", "greaterThanOrEqual", "greaterThan", "between", "notBetween")
 
 
@@ -46,10 +48,11 @@ def duplicates(df: DataFrame, column: str, out: str = "duplicate") -> DataFrame:
 
 def top(df: DataFrame, column: str, rank: int, percent: bool = False, bottom: bool = False, out: str = "hit") -> DataFrame:
     """The first ``rank`` values, or per cent of them, ties with the last one included."""
-    values = df.where(F.col(column).isNotNull())
-    n = max(1, values.count() * rank // 100) if percent else rank
-    order = F.col(column).asc() if bottom else F.col(column).desc()
-    edge = values.select(column).orderBy(order).limit(n).agg((F.max if bottom else F.min)(column)).first()[0]
+    if percent:  # a share of the table is no bounded top-k
+        edge = value_at(df, column, max(1, df.where(F.col(column).isNotNull()).count() * rank // 100), descending=not bottom)
+    else:
+        order = F.col(column).asc() if bottom else F.col(column).desc()
+        edge = df.where(F.col(column).isNotNull()).select(column).orderBy(order).limit(rank).agg((F.max if bottom else F.min)(column)).first()[0]
     if edge is None:
         return df.withColumn(out, F.lit(False))
     return df.withColumn(out, F.coalesce(F.col(column) <= edge if bottom else F.col(column) >= edge, F.lit(False)))
@@ -73,9 +76,7 @@ def stop_value(df: DataFrame, column: str, kind: str, value: float | None = None
         return low if kind == "min" else high
     if kind == "percent":
         return low + (high - low) * value / 100
-    at = int((n - 1) * value / 100 + 0.5)
-    found = df.where(F.col(column).isNotNull()).select(column).orderBy(column).limit(at + 1).agg(F.max(column)).first()
-    return found[0]
+    return value_at(df, column, int((n - 1) * value / 100 + 0.5) + 1)
 
 
 def fraction(v: Column, low: float, high: float) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key table of at most so many rows is broadcast.
-SMALL = 50_000
-#: Cuts of the key range when a nearest-key lookup has two large sides.
+from .running import pinned
+
+#: Keys that a nearest-key lookup searches in place.
 CUTS = 64
 
 
@@ -23,12 +23,6 @@ def _below(value: Column, ends: list) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(tree(0, len(ends)))
 
 
-
-def _bounded(table: DataFrame) -> bool:
-    """Whether a table is small enough to broadcast; reads at most one row more than that."""
-    return table.limit(SMALL + 1).count() <= SMALL
-
-
 def fold(key: Column) -> Column:
     """What equality of texts compares."""
     return F.lower(key)
@@ -50,7 +44,8 @@ def exact(left: DataFrame, table: DataFrame, look: str, key: str, order: str, ta
     """
     found = first_rows(table, key, order)
     look_key = fold(F.col(look)) if dict(left.dtypes)[look] == "string" else F.col(look)
-    joined = left.withColumn("__look", look_key).join(F.broadcast(found) if _bounded(table) else found, F.col("__look") == F.col("__key"), "left")
+    # Whether to broadcast is left to the size that adaptive execution measures.
+    joined = left.withColumn("__look", look_key).join(found, F.col("__look") == F.col("__key"), "left")
     out = {}
     for name, source in take.items():
         value = F.col("__pos") if source == "__pos" else F.col("__row")[source]
@@ -61,33 +56,33 @@ def exact(left: DataFrame, table: DataFrame, look: str, key: str, order: str, ta
 def nearest(left: DataFrame, table: DataFrame, look: str, key: str, take: dict[str, str], above: bool = False) -> DataFrame:
     """The row with the greatest key not above ``look`` (or the least key not below, with ``above``).
 
-    A small table becomes a sorted array searched in place.  Two large sides are cut
-    into ranges of keys; a range without a match takes the last key of those before.
+    Of equal keys the least row counts.  A few keys are searched in place.  Otherwise the
+    distinct look-ups and the keys alone are dealt by ranges; a range takes the last key of those
+    before along.  Rows of either side then meet by equal values only.
     """
     sign = -1 if above else 1
-    keyed = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.first(F.struct(*table.columns)).alias("__row"))
+    keyed = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*table.columns)).alias("__row"))
     keyed = keyed.select((F.col(key) * sign).alias("__k"), "__row")
     rows = left.withColumn("__x", F.col(look) * sign)
     if keyed.limit(CUTS + 1).count() <= CUTS:
         holder = [r["__k"] for r in keyed.select("__k").orderBy("__k").collect()]
         n = _below(F.col("__x"), holder)
-        numbered = keyed.withColumn("__i", F.row_number().over(Window.orderBy("__k")))
+        numbered = keyed.withColumn("__i", F.row_number().over(Window.orderBy("__k")))  # at most CUTS rows
         joined = rows.withColumn("__n", n).join(F.broadcast(numbered), F.col("__n") == F.col("__i"), "left")
         return joined.withColumns({n: F.col("__row")[s] for n, s in take.items()}).drop("__x", "__n", "__i", "__k", "__row")
-    cuts = keyed.agg(F.percentile_approx("__k", [i / CUTS for i in range(1, CUTS)], 10000).alias("c")).first().c or []
-    at = _below(F.col("__v"), sorted(set(cuts)))
-    keys = keyed.withColumn("__v", F.col("__k")).withColumn("__cut", at).drop("__v")
-    rows = rows.withColumn("__v", F.col("__x")).withColumn("__cut", at).drop("__v").withColumn("__left", F.struct(*left.columns))
-    both = rows.select("__cut", F.col("__x").alias("__o"), F.lit(1).alias("__side"), "__left", F.lit(None).cast(keyed.schema["__row"].dataType).alias("__row"))
-    both = both.unionByName(keys.select("__cut", F.col("__k").alias("__o"), F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), "__row"))
-    inside = Window.partitionBy("__cut").orderBy("__o", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__near", F.last("__row", ignorenulls=True).over(inside)).where("__side = 1")
-    ends = keys.groupBy("__cut").agg(F.max_by("__row", "__k").alias("__end"))  # at most CUTS rows
-    grid = left.sparkSession.range(CUTS + 1).select(F.col("id").cast("int").alias("__cut")).join(F.broadcast(ends), "__cut", "left")
-    before = Window.orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
-    carried = grid.select("__cut", F.last("__end", ignorenulls=True).over(before).alias("__far"))
-    out = both.join(F.broadcast(carried), "__cut", "left").withColumn("__row", F.coalesce("__near", "__far"))
-    return out.select("__left.*", *(F.col("__row")[s].alias(n) for n, s in take.items()))
+    kind = keyed.schema["__k"].dataType
+    asked = rows.where("__x is not null").select(F.col("__x").alias("__o")).distinct().withColumn("__key", F.lit(None).cast(kind))
+    both = asked.withColumn("__side", F.lit(1)).unionByName(keyed.select(F.col("__k").alias("__o"), F.col("__k").alias("__key"), F.lit(0).alias("__side")))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pinned(both.repartitionByRange(parts, "__o").withColumn("__part", F.spark_partition_id()))
+    upto = Window.partitionBy("__part").orderBy("__o", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("__part").agg(F.max("__key").alias("__end"))  # one row a range
+    carried = ends.select("__part", F.max("__end").over(before).alias("__far"))
+    near = both.withColumn("__near", F.last("__key", ignorenulls=True).over(upto)).where("__side = 1").join(F.broadcast(carried), "__part")
+    near = near.select(F.col("__o").alias("__asked"), F.coalesce("__near", "__far").alias("__found"))
+    joined = rows.join(near, F.col("__x") == F.col("__asked"), "left").join(keyed, F.col("__found") == F.col("__k"), "left")
+    return joined.withColumns({n: F.col("__row")[s] for n, s in take.items()}).drop("__x", "__asked", "__found", "__k", "__row")
 
 
 def index(table: DataFrame, order: str, row: int, column: str) -> DataFrame:
@@ -118,15 +113,16 @@ def without_covered(cells: DataFrame, merges: DataFrame, row: str = "r", col: st
     return cells.join(hidden, [row, col], "left_anti")
 
 
-def closure(parents: DataFrame, child: str, parent: str, depth: int = 32) -> DataFrame:
-    """Every ancestor of a node with its distance, a cycle walked once: ``node, ancestor, depth``."""
+def closure(parents: DataFrame, child: str, parent: str) -> DataFrame:
+    """Every ancestor of a node with its distance, a cycle walked once: ``node, ancestor, depth``.  Goes on until no chain grows."""
     step = parents.select(F.col(child).alias("p_child"), F.col(parent).alias("p_parent")).where(F.col(parent).isNotNull())
-    every = parents.select(F.col(child).alias("node"), F.col(child).alias("ancestor"), F.lit(0).alias("depth"), F.array(F.col(child)).alias("path"))
-    level, out = every, every
-    for d in range(1, depth + 1):
+    level = parents.select(F.col(child).alias("node"), F.col(child).alias("ancestor"), F.lit(0).alias("depth"), F.array(F.col(child)).alias("path"))
+    out, d = level, 0
+    while not level.isEmpty():
+        d += 1
         level = level.join(step, level.ancestor == step.p_child).where(~F.array_contains("path", F.col("p_parent")))
         level = level.select("node", F.col("p_parent").alias("ancestor"), F.lit(d).alias("depth"), F.concat("path", F.array("p_parent")).alias("path"))
-        if level.isEmpty():
-            break
+        if d % 8 == 0:  # long chains do not pile up plans
+            level, out = pinned(level), pinned(out)
         out = out.unionByName(level)
     return out.select("node", "ancestor", "depth")

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_sum
 
 
 def kth(df: DataFrame, column: str, k: int, largest: bool = True) -> DataFrame:
-    """LARGE or SMALL over a whole table: a bounded top-k, no full sort.  One row, null if there are fewer than ``k`` values."""
+    """LARGE or SMALL over a whole table.  One row, null if there are fewer than ``k`` values.
+
+    Equal values are counted, and the counts summed by ranges of values, so whatever ``k``, no task holds the rows before it.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    reached = running_sum(counts, column, "__n", "__upto", descending=largest).where(F.col("__upto") >= k)
+    return reached.agg((F.max if largest else F.min)(column).alias("value"))
+
+
+def kth_by(df: DataFrame, groups: list[str], column: str, k: int, largest: bool = True) -> DataFrame:
+    """LARGE or SMALL in every group, no row for groups of fewer values: ``groups``, ``value``.  Tasks keep ``k`` rows a group before the shuffle."""
     order = F.col(column).desc() if largest else F.col(column).asc()
-    top = df.where(F.col(column).isNotNull()).select(column).orderBy(order).limit(k)
-    return top.agg(F.count("*").alias("n"), (F.min if largest else F.max)(column).alias("v")).select(F.when(F.col("n") == k, F.col("v")).alias("value"))
+    ranked = df.where(F.col(column).isNotNull()).select(*groups, column).withColumn("__k", F.row_number().over(Window.partitionBy(*groups).orderBy(order)))
+    return ranked.where(F.col("__k") <= k).where(F.col("__k") == k).select(*groups, F.col(column).alias("value"))
 
 
 def rank_by_value(df: DataFrame, column: str, ascending: bool = False, out: str = "rank") -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .running import running_sums
+
 # Vowel marks in the order they are written after a letter, doubling first.
 MARK_ORDER = "ّٰٕٓٔ" + "ًٌٍَُِ" + "ْ"
 _RANK = {c: i for i, c in enumerate(MARK_ORDER)}
@@ -174,17 +176,26 @@ def language_runs(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", toke
     return rows.groupBy(doc, "run", "lang").agg(F.min(pos).alias("first"), F.count("*").alias("n"))
 
 
+_CUTS = [re.compile(p) for p in (r"[.!?؟]\s", r"[,;:،؛]\s", r"\s")]
+
+
 def halved(s: str, most: int = 3300) -> list[str]:
     """Pieces of at most ``most`` bytes, each cut at the stop, clause or blank nearest to the middle."""
-    if len(s.encode()) <= most:
-        return [s] if s.strip() else []
-    middle = len(s) // 2
-    for pattern in (r"[.!?؟]\s", r"[,;:،؛]\s", r"\s"):
-        cuts = [m.end() for m in re.finditer(pattern, s) if 0 < m.end() < len(s)]
-        if cuts:
-            at = min(cuts, key=lambda c: (abs(c - middle), c))
-            return halved(s[:at].rstrip(), most) + halved(s[at:].lstrip(), most)
-    return halved(s[:middle], most) + halved(s[middle:], most)
+    out, rest = [], [s]
+    while rest:
+        held = rest.pop()
+        if len(held.encode()) <= most:
+            out += [held] if held.strip() else []
+            continue
+        middle = len(held) // 2
+        for pattern in _CUTS:
+            if cuts := [m.end() for m in pattern.finditer(held) if 0 < m.end() < len(held)]:
+                at = min(cuts, key=lambda c: (abs(c - middle), c))
+                rest += [held[at:].lstrip(), held[:at].rstrip()]
+                break
+        else:
+            rest += [held[middle:], held[:middle]]
+    return out
 
 
 def speech_pieces(column: Column, most: int = 3300) -> Column:
@@ -194,8 +205,8 @@ def speech_pieces(column: Column, most: int = 3300) -> Column:
 def joined_timeline(marks: DataFrame, part: str = "part", at: str = "at_ms", duration: str = "ms", chars: str = "chars") -> DataFrame:
     """Marks of consecutive parts on one line: each part moves by what the parts before last and hold."""
     ends = marks.groupBy(part).agg(F.max(F.col(at) + F.col(duration)).alias("__d"), F.sum(chars).alias("__c"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    shift = ends.select(part, F.coalesce(F.sum("__d").over(before), F.lit(0)).alias("__at"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("char_shift"))
+    sums = running_sums(ends, part, {"__at": "__d", "__chars": "__c"})
+    shift = sums.select(part, (F.col("__at") - F.col("__d")).alias("__at"), (F.col("__chars") - F.col("__c")).alias("char_shift"))
     return marks.join(shift, part).withColumn(at, F.col(at) + F.col("__at")).drop("__at")
 
 

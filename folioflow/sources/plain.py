@@ -24,16 +24,23 @@ def toggled_fields(line: Column) -> Column:
     return F.split(F.array_join(marked, ""), "\u0001")
 
 
+def quoted_rows(text: Column) -> Column:
+    """Rows of fields of a whole text: commas and line ends inside quotes are text, a doubled quote there is one quote."""
+    # Between quotes lie the pieces of odd place; what separates lies in the others.
+    marked = F.transform(F.split(text, '"'), lambda p, i: F.when(i % 2 == 0, F.translate(F.regexp_replace(p, "\r\n?", "\n"), ",\n", "\u0001\u0002")).otherwise(p))
+    rows = F.filter(F.split(F.array_join(marked, '"'), "\u0002"), lambda r: r != "")
+    bare = lambda f: F.when(f.rlike('(?s)^".*"$'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.transform(rows, lambda r: F.transform(F.split(r, "\u0001"), bare))
+
+
 def csv_rows(spark: SparkSession, path: str, glob: str = "*.csv", strict: bool = False) -> DataFrame:
-    """``path, fields`` of every line.  ``strict`` reads quotes as the viewer does; else a doubled quote inside quotes is one quote."""
-    lines = spark.read.option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("line"))
+    """``path, fields`` of every row.  ``strict`` reads line by line and quotes as the viewer does; else quoted fields may hold line ends and doubled quotes."""
+    reader = spark.read.option("pathGlobFilter", glob)
     if strict:
+        lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r$", "").alias("line"))
         return lines.select("path", toggled_fields(F.col("line")).alias("fields"))
-    pattern = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'
-    pieces = F.regexp_extract_all("line", F.lit(pattern), F.lit(0))
-    bare = F.transform(pieces, lambda p: F.regexp_replace(p, "^,", ""))
-    fields = F.transform(bare, lambda p: F.when(p.rlike('^".*"$'), F.replace(F.regexp_replace(p, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(p))
-    return lines.select("path", F.when(F.col("line").startswith(","), F.concat(F.array(F.lit("")), fields)).otherwise(fields).alias("fields"))
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    return whole.select("path", F.explode(quoted_rows(F.col("text"))).alias("fields"))
 
 
 def html_files(spark: SparkSession, path: str, glob: str = "*.htm*") -> DataFrame:
