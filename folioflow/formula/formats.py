@@ -371,9 +371,15 @@ def ordinal(n: int) -> str:
     return f"{n}{'th' if 10 <= n % 100 <= 20 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
 
 
+# Letters of the abjad and of the alphabet, in their orders.
+ABJAD = "أبجدهوزحطيكلمنسعفصقرشتثخذضظغ"
+ALPHA = "أبتثجحخدذرزسشصضطظعغفقكلمنهوي"
+
+
 def list_label(n: int, kind: str) -> str:
-    """A list number: decimal, upperRoman, lowerRoman, upperLetter, lowerLetter, ordinal, arabicIndic."""
+    """A list number: decimal, upperRoman, lowerRoman, upperLetter, lowerLetter, ordinal, arabicIndic, arabicAbjad, arabicAlpha."""
     return {
         "decimal": str, "upperRoman": roman, "lowerRoman": lambda x: roman(x).lower(), "lowerLetter": repeated_letter, "upperLetter": lambda x: repeated_letter(x).upper(),
         "ordinal": ordinal, "arabicIndic": lambda x: "".join(chr(0x660 + int(c)) for c in str(x)),
+        "arabicAbjad": lambda x: ABJAD[(x - 1) % len(ABJAD)], "arabicAlpha": lambda x: ALPHA[(x - 1) % len(ALPHA)],
     }[kind](n)

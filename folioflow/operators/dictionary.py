@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import dictionary_key
+from .textops import dictionary_key, unify_letters
 
 #: One-letter particles that may stand before a word, and endings that may follow.
 PREFIXES = ("و", "ف", "ب", "ل", "ك")
@@ -73,6 +73,26 @@ def coverage(found: DataFrame) -> DataFrame:
     return found.agg(total.alias("words"), known.alias("known"), F.when(total > 0, F.floor(known * 100 / total)).otherwise(0).cast("long").alias("percent"))
 
 
+def words_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Every Arabic word of the texts, as often as it occurs: ``word`` without marks and stretching, and whether it was ``marked``."""
+    runs = F.regexp_extract_all(unify_letters(F.col(text)), F.lit(r"[ء-غف-ي][ء-ْٰ]*"), F.lit(0))
+    found = texts.select(F.explode(runs).alias("__w"))
+    return found.select(F.regexp_replace("__w", f"{_MARKED[:-1]}ـ]", "").alias("word"), F.col("__w").rlike(_MARKED).alias("marked"))
+
+
+def coverage_by_kind(texts: DataFrame, learned: DataFrame, merged: DataFrame, text: str = "text") -> DataFrame:
+    """How many words of the texts each stage of the cascade finds: ``kind, n``.
+
+    Every occurrence counts.  Words that are marked already are ``marked``, those under three letters ``short``; neither is looked
+    up.  Distinct words meet the dictionary once.
+    """
+    counted = words_of(texts, text).groupBy("word", "marked").agg(F.count("*").alias("n"))
+    asked = ~F.col("marked") & (F.length("word") >= 3)
+    found = cascade(counted.where(asked), learned, merged).select("word", "kind")
+    kind = F.when(F.col("marked"), "marked").when(F.length("word") < 3, "short").otherwise(F.col("kind"))
+    return counted.join(found, "word", "left").groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"))
+
+
 def pack_stats(lines: DataFrame) -> DataFrame:
     """Lines, accepted and rejected entries of every pack, and how many a later pack overrides."""
     good = valid_entry(F.col("plain"), F.col("shaped"))

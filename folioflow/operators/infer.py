@@ -12,6 +12,12 @@ EXTENSIONS = {
     "pdf": ("pdf",), "docx": ("docx",), "xlsx": ("xlsx", "xlsm"), "pptx": ("pptx",), "rtf": ("rtf",), "csv": ("csv",), "txt": ("txt", "md", "log"), "html": ("html", "htm"),
     "image": ("png", "jpg", "jpeg", "gif", "bmp", "webp", "svg"), "json": ("json",), "unsupported": ("doc", "xls", "ppt"),
 }
+# Media types that a picker of documents accepts, the last one any.
+ACCEPTED = (
+    "application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.ms-excel",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-powerpoint", "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "application/rtf", "text/rtf", "text/html", "text/plain", "text/csv", "text/markdown", "image/jpeg", "image/png", "image/webp", "image/bmp", "image/gif", "*/*",
+)
 # Image types by leading bytes, as hexadecimal digits.
 MAGIC = (("image/png", "89504E47"), ("image/jpeg", "FFD8FF"), ("image/gif", "47494638"), ("image/bmp", "424D"))
 
@@ -25,6 +31,11 @@ def document_type(name: Column) -> Column:
     return chain.otherwise("unknown")
 
 
+def accepted(media_type: Column, listed_only: bool = False) -> Column:
+    """Whether a picker offers files of a media type; ``listed_only`` leaves the catch-all out."""
+    return F.coalesce(F.lower(media_type).isin(*ACCEPTED[:-1]), F.lit(False)) if listed_only else media_type.isNotNull()
+
+
 def image_type(content: Column) -> Column:
     """Media type of an image by its first bytes, else null."""
     head = F.hex(F.substring(content, 1, 12))

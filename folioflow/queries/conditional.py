@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import colour
 from ..operators import condfmt as C
 from .register import Register, read
 
@@ -90,3 +91,26 @@ def color_mix(spark, d):
 def priority(spark, d):
     size, price = F.col("p_size"), F.col("p_retailprice")
     return read(spark, d, "part").select("p_partkey", C.winner([(3, size > 20, "blue"), (1, size > 40, "red"), (2, price > 1200, "bold")]).alias("style"))
+
+
+_HSL = """p AS (SELECT *, greatest(r, g, b) / 255.0::DOUBLE AS hi, least(r, g, b) / 255.0::DOUBLE AS lo FROM c),
+  h AS (SELECT *, (hi + lo) / 2 AS l, CASE WHEN hi = lo THEN 0 WHEN (hi + lo) / 2 > 0.5 THEN (hi - lo) / (2 - hi - lo) ELSE (hi - lo) / (hi + lo) END AS s,
+    CASE WHEN hi = lo THEN 0 WHEN r / 255.0::DOUBLE = hi THEN ((g - b) / 255.0::DOUBLE / (hi - lo) + CASE WHEN g < b THEN 6 ELSE 0 END) / 6 WHEN g / 255.0::DOUBLE = hi THEN ((b - r) / 255.0::DOUBLE / (hi - lo) + 2) / 6 ELSE ((r - g) / 255.0::DOUBLE / (hi - lo) + 4) / 6 END AS hue FROM p),
+  n AS (SELECT *, least(1.0, greatest(0.0, CASE WHEN tint < 0 THEN l * (1 + tint) ELSE l * (1 - tint) + tint END)) AS nl FROM h),
+  q AS (SELECT *, CASE WHEN nl < 0.5 THEN nl * (1 + s) ELSE nl + s - nl * s END AS up FROM n),
+  k AS (SELECT *, i, hue + sh - floor(hue + sh) AS t, 2 * nl - up AS dn FROM q, (VALUES (1, 1.0::DOUBLE / 3), (2, 0.0::DOUBLE), (3, -1.0::DOUBLE / 3)) v(i, sh)),
+  v AS (SELECT *, floor(CASE WHEN s = 0 THEN nl WHEN t < 1.0::DOUBLE / 6 THEN dn + (up - dn) * 6 * t WHEN t < 0.5 THEN up WHEN t < 2.0::DOUBLE / 3 THEN dn + (up - dn) * (2.0::DOUBLE / 3 - t) * 6 ELSE dn END * 255 + 0.5)::INTEGER AS x FROM k)"""
+
+
+@REGISTER(
+    "cf_tint",
+    f"""WITH c AS (SELECT p_partkey, (p_partkey * 7919) % 256 AS r, (p_partkey * 104729) % 256 AS g, (p_partkey * 1299709) % 256 AS b, (p_size - 25) / 40.0::DOUBLE AS tint FROM part), {_HSL}
+    SELECT p_partkey, max(CASE WHEN tint = 0 THEN printf('%02X%02X%02X', r, g, b) END) IS NOT NULL AS same, max(x) FILTER (i = 1) AS red, max(x) FILTER (i = 2) AS green, max(x) FILTER (i = 3) AS blue FROM v GROUP BY 1""",
+)
+def tint(spark, d):
+    k = F.col("p_partkey")
+    parts = [F.lpad(F.hex(k * m % 256), 2, "0") for m in (7919, 104729, 1299709)]
+    t = read(spark, d, "part").select("p_partkey", F.concat(*parts).alias("c"), ((F.col("p_size") - 25) / 40.0).alias("tint"))
+    t = t.withColumn("new", colour.tinted(F.col("c"), F.col("tint")))
+    c = colour.channels(F.col("new"))
+    return t.select("p_partkey", (F.col("new") == F.col("c")).alias("same"), c[0].alias("red"), c[1].alias("green"), c[2].alias("blue"))

@@ -43,8 +43,8 @@ def smooth(spark, d):
     "st_ema",
     """WITH RECURSIVE e AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
     s AS (SELECT user_id, 1::BIGINT AS k, x AS mean, 1::BIGINT AS n FROM e WHERE k = 1
-      UNION ALL SELECT s.user_id, e.k, CASE WHEN s.n > 4 AND (e.x < s.mean * 0.4 OR e.x > s.mean * 2.5) THEN s.mean ELSE s.mean + (e.x - s.mean) * greatest(0.08, 1.0 / (s.n + 1)) END,
-        CASE WHEN s.n > 4 AND (e.x < s.mean * 0.4 OR e.x > s.mean * 2.5) THEN s.n ELSE s.n + 1 END FROM s JOIN e ON s.user_id = e.user_id AND e.k = s.k + 1)
+      UNION ALL SELECT s.user_id, e.k, CASE WHEN s.n >= 4 AND (e.x < s.mean * 0.4 OR e.x > s.mean * 2.5) THEN s.mean ELSE s.mean + (e.x - s.mean) * greatest(0.08, 1.0 / (s.n + 1)) END,
+        CASE WHEN s.n >= 4 AND (e.x < s.mean * 0.4 OR e.x > s.mean * 2.5) THEN s.n ELSE s.n + 1 END FROM s JOIN e ON s.user_id = e.user_id AND e.k = s.k + 1)
     SELECT user_id, round(arg_max(mean, k), 8) AS mean, arg_max(n, k) AS n FROM s GROUP BY 1""",
 )
 def ema(spark, d):
@@ -67,7 +67,7 @@ def vote(spark, d):
     "st_health",
     """WITH RECURSIVE e AS (SELECT event_type AS g, (value > 30)::INTEGER::DOUBLE AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
     s AS (SELECT g, 0::BIGINT AS k, 0.0::DOUBLE AS ok, 0.0::DOUBLE AS fail FROM e WHERE k = 1
-      UNION ALL SELECT s.g, e.k, (ok + x) / CASE WHEN ok + fail + 1 > 200 THEN 2.0 ELSE 1.0 END, (fail + 1 - x) / CASE WHEN ok + fail + 1 > 200 THEN 2.0 ELSE 1.0 END FROM s JOIN e ON s.g = e.g AND e.k = s.k + 1)
+      UNION ALL SELECT s.g, e.k, ok / CASE WHEN ok + fail > 200 THEN 2.0 ELSE 1.0 END + x, fail / CASE WHEN ok + fail > 200 THEN 2.0 ELSE 1.0 END + 1 - x FROM s JOIN e ON s.g = e.g AND e.k = s.k + 1)
     SELECT g AS event_type, round((arg_max(ok, k) + 2) / (arg_max(ok, k) + arg_max(fail, k) + 3), 8) AS health FROM s GROUP BY 1""",
 )
 def health(spark, d):
@@ -110,3 +110,41 @@ def bookmarks(spark, d):
 @REGISTER("st_best_choice", "SELECT event_type, arg_max(user_id, value) AS user_id, max(value) AS value FROM events GROUP BY 1")
 def best(spark, d):
     return ranking.pick_best(read(spark, d, "events").where("value is not null"), "event_type", "value", "user_id")
+
+
+@REGISTER(
+    "st_gate",
+    """WITH m AS (SELECT event_id, event_id % 60 AS chars, (event_id * 37) % 130000 AS ms, event_id % 90 - 60 AS pct, (event_id % 7 - 1) / 2.0::DOUBLE AS rate FROM events)
+    SELECT event_id, round(CASE WHEN chars >= 14 AND ms >= 400 AND ms::DOUBLE / chars * greatest(0.5, 1 + pct / 100.0::DOUBLE) BETWEEN 10 AND 500 THEN ms::DOUBLE / chars * greatest(0.5, 1 + pct / 100.0::DOUBLE) END, 8) AS service,
+      round(CASE WHEN chars >= 14 AND ms BETWEEN 400 AND 120000 AND rate > 0 AND ms::DOUBLE / chars * rate BETWEEN 10 AND 600 THEN ms::DOUBLE / chars * rate END, 8) AS device FROM m""",
+)
+def gate(spark, d):
+    i = F.col("event_id")
+    t = read(spark, d, "events").select("event_id", (i % 60).alias("chars"), (i * 37 % 130000).alias("ms"), (i % 90 - 60).alias("pct"), ((i % 7 - 1) / 2.0).alias("rate"))
+    chars, ms = F.col("chars"), F.col("ms")
+    return t.select("event_id", F.round(state.pace(chars, ms, F.col("pct")), 8).alias("service"), F.round(state.device_pace(chars, ms, F.col("rate")), 8).alias("device"))
+
+
+@REGISTER(
+    "st_blame",
+    """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+        (CASE WHEN event_type IN ('error', 'signup') THEN least(1.0, 3.0 / (1 + event_id % 5)) ELSE -0.1 END)::DECIMAL(18,6) AS step FROM events),
+    s AS (SELECT user_id, 0::BIGINT AS k, 0::DECIMAL(18,6) AS b FROM e WHERE k = 1 UNION ALL SELECT s.user_id, e.k, greatest(0, s.b + e.step)::DECIMAL(18,6) FROM s JOIN e ON s.user_id = e.user_id AND e.k = s.k + 1)
+    SELECT user_id, round(arg_max(b, k)::DOUBLE, 6) AS blame, round(arg_max(b, k)::DOUBLE, 6) >= 2 AS reverts FROM s GROUP BY 1""",
+)
+def blame(spark, d):
+    t = read(spark, d, "events").withColumns({"rewound": F.col("event_type").isin("error", "signup"), "candidates": 1 + F.col("event_id") % 5})
+    return state.blame(t, "user_id", ["ts", "event_id"], "rewound", "candidates")
+
+
+@REGISTER(
+    "st_listening",
+    """WITH RECURSIVE e AS (SELECT event_type, (value > 30)::INTEGER AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL),
+    s AS (SELECT event_type, 0::BIGINT AS k, 0.0::DOUBLE AS r, 0.0::DOUBLE AS h FROM e WHERE k = 1
+      UNION ALL SELECT s.event_type, e.k, CASE WHEN r > 400 THEN r / 2 ELSE r END + x, CASE WHEN h > 400 THEN h / 2 ELSE h END + 1 - x FROM s JOIN e ON s.event_type = e.event_type AND e.k = s.k + 1),
+    l AS (SELECT event_type, arg_max(r, k) AS rewinds, arg_max(h, k) AS heard FROM s GROUP BY 1)
+    SELECT event_type, round(rewinds, 8) AS rewinds, round(heard, 8) AS heard, (CASE WHEN rewinds + heard >= 20 THEN -floor(least(8.0, rewinds / (rewinds + heard) * 40) + 0.5) ELSE 0 END)::BIGINT AS percent FROM l""",
+)
+def listening(spark, d):
+    t = read(spark, d, "events").where("value is not null").withColumn("back", F.col("value") > 30)
+    return state.listening(t, "event_type", ["ts", "event_id"], "back").select("event_type", F.round("rewinds", 8).alias("rewinds"), F.round("heard", 8).alias("heard"), "percent")
