@@ -346,6 +346,9 @@ def format_text(text: str, code: str) -> str:
 
 
 def roman(n: int) -> str:
+    """Roman numerals from 1 to 3999, plain digits beyond."""
+    if not 0 < n < 4000:
+        return str(n)
     out = ""
     for value, letters in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "M CM D CD C XC L XL X IX V IV I".split(), strict=True):
         out += letters * (n // value)
@@ -372,14 +375,27 @@ def ordinal(n: int) -> str:
 
 
 # Letters of the abjad and of the alphabet, in their orders.
-ABJAD = "أبجدهوزحطيكلمنسعفصقرشتثخذضظغ"
-ALPHA = "أبتثجحخدذرزسشصضطظعغفقكلمنهوي"
+ABJAD = "أ ب ج د هـ و ز ح ط ي ك ل م ن س ع ف ص ق ر ش ت ث خ ذ ض ظ غ".split()
+ALPHABET = "أ ب ت ث ج ح خ د ذ ر ز س ش ص ض ط ظ ع غ ف ق ك ل م ن هـ و ي".split()
+
+
+def _from_letters(letters: list[str], n: int) -> str:
+    """The n-th of some letters, written once more for every time round."""
+    return letters[(n - 1) % len(letters)] * ((n - 1) // len(letters) + 1) if n > 0 else str(n)
+
+
+def arabic_digits(n: int) -> str:
+    return "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in str(n))
+
+
+#: List numbers by the kind that a document names.
+LABELS = {
+    "decimal": str, "decimalZero": lambda n: f"{n:02d}", "decimalEnclosedParen": lambda n: f"({n})", "upperRoman": roman, "lowerRoman": lambda n: roman(n).lower(),
+    "lowerLetter": repeated_letter, "upperLetter": lambda n: repeated_letter(n).upper(), "ordinal": ordinal, "arabicIndic": arabic_digits, "hindiNumbers": arabic_digits,
+    "arabicAlpha": lambda n: _from_letters(ALPHABET, n), "hindiLetters": lambda n: _from_letters(ALPHABET, n), "arabicAbjad": lambda n: _from_letters(ABJAD, n), "hindiCounting": lambda n: _from_letters(ABJAD, n),
+}
 
 
 def list_label(n: int, kind: str) -> str:
-    """A list number: decimal, upperRoman, lowerRoman, upperLetter, lowerLetter, ordinal, arabicIndic, arabicAbjad, arabicAlpha."""
-    return {
-        "decimal": str, "upperRoman": roman, "lowerRoman": lambda x: roman(x).lower(), "lowerLetter": repeated_letter, "upperLetter": lambda x: repeated_letter(x).upper(),
-        "ordinal": ordinal, "arabicIndic": lambda x: "".join(chr(0x660 + int(c)) for c in str(x)),
-        "arabicAbjad": lambda x: ABJAD[(x - 1) % len(ABJAD)], "arabicAlpha": lambda x: ALPHA[(x - 1) % len(ALPHA)],
-    }[kind](n)
+    """A list number of a kind of ``LABELS``; plain digits for any other."""
+    return LABELS.get(kind, str)(n)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Gaps in font sizes: between words, between segments, and where a line is cut.
@@ -24,6 +24,124 @@ def line_boxes(df: DataFrame, group: list[str]) -> DataFrame:
     return df.groupBy(*group).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), text.alias("text"))
 
 
+def banded(glyphs: DataFrame, page: str = "page", key: str = "id", base: str = "base", font: str = "font") -> DataFrame:
+    """``page, id, band``: glyphs from the lowest baseline on share a line while theirs lies within half a font size of the running mean.  One page is a group."""
+    kinds = dict(glyphs.dtypes)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([base, key], kind="stable")
+        band, n, mean, size, out = -1, 0, 0.0, 0.0, []
+        for y, f in zip(frame[base], frame[font], strict=True):
+            if n and abs(y - mean) <= 0.5 * max(size, f):
+                n += 1
+                mean, size = mean + (y - mean) / n, max(size, f)
+            else:
+                band, n, mean, size = band + 1, 1, y, f
+            out.append(band)
+        return pd.DataFrame({page: frame[page], key: frame[key], "band": out})
+
+    return glyphs.select(page, key, base, font).groupBy(page).applyInPandas(one, f"{page} {kinds[page]}, {key} {kinds[key]}, band long")
+
+
+# Words that end no sentence, Arabic and English.
+OPEN_ENDERS = (
+    "و", "أو", "او", "ثم", "في", "من", "على", "إلى", "الى", "عن", "مع", "بين", "حتى", "إذا", "اذا", "لكن", "أن", "ان", "إن", "لأن", "لان", "كما", "التي", "الذي", "الذين", "بحيث", "حيث", "حول",
+    "خلال", "عند", "لدى", "نحو", "ضد", "دون", "بدون", "عبر", "قبل", "بعد", "أثناء", "بسبب", "عندما", "أما",
+    "the", "of", "and", "or", "to", "in", "with", "for", "a", "an", "by", "as", "at", "on", "from", "that", "which", "is", "are", "was", "were", "be", "if", "but", "than", "between", "during", "after", "before",
+)
+
+
+def open_ender(word: Column) -> Column:
+    """Whether a word bears no stop and is one after which a sentence goes on."""
+    return F.coalesce(word.rlike(r"[\p{L}\x{064B}-\x{0652}]$") & F.lower(F.regexp_replace(word, r"[^\p{L}]", "")).isin(*OPEN_ENDERS), F.lit(False))
+
+
+def continues(before: Column, word: Column) -> Column:
+    """Whether a word goes on with the sentence of the one before across a soft break."""
+    return F.coalesce(word.rlike(r"^\p{L}") & (before.rlike("[,،]$") | open_ender(before)), F.lit(False))
+
+
+def paragraph_starts(words: DataFrame, page: str = "page", order: str = "pos", out: str = "starts") -> DataFrame:
+    """``words`` (``line, text, t, b``) with whether a paragraph starts at each.
+
+    A new line starts one if it lies further down than usual.  A piece at the same height, a neighbouring cell or column, and a jump up
+    to the next column start one unless the sentence goes on there.
+    """
+    w = Window.partitionBy(page).orderBy(order)
+    rows = words.withColumns({"__l": F.lag("line").over(w), "__w": F.lag("text").over(w), "__dy": F.col("t") - F.lag("t").over(w), "__h": F.greatest(F.lit(0.004), F.lag("b").over(w) - F.lag("t").over(w))})
+    moved = F.col("__l").isNotNull() & (F.col("line") != F.col("__l"))
+    steps = rows.where(moved & (F.col("__dy") > 0.002)).groupBy(page).agg(upper_median("__dy").alias("__usual"), F.count("*").alias("__n"))
+    rows = rows.join(steps.where("__n >= 3").drop("__n"), page, "left")
+    dy, h = F.col("__dy"), F.col("__h")
+    limit = F.when(F.col("__usual").isNull(), 2.1 * h).otherwise(F.greatest(1.7 * F.col("__usual"), 1.6 * h))
+    broken = ~continues(F.col("__w"), F.col("text"))
+    new = F.when(~moved, False).when(F.abs(dy) < 0.35 * h, broken).when(dy > limit, True).when(dy < -2.4 * h, broken).otherwise(False)
+    return rows.withColumn(out, new).drop("__l", "__w", "__dy", "__h", "__usual")
+
+
+def page_words(words: DataFrame, page: str = "page", order: str = "pos", starts: str = "starts") -> DataFrame:
+    """``words`` (``line, text``) with ``start``, ``end`` and ``said`` in the page's text: what stands before each word, and the word.
+
+    A word hyphenated at the end of a line joins the next one, where that is Latin and in lower case.  A paragraph begins on a new line, after a
+    full stop if the one before has no stop of its own; so a heading is not read into its first sentence.
+    """
+    w = Window.partitionBy(page).orderBy(order)
+
+    def joins(a: Column, a_line: Column, b: Column, b_line: Column, b_starts: Column) -> Column:
+        latin = ~a.rlike(r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]")
+        return F.coalesce(~b_starts & (a_line != b_line) & a.endswith("-") & (F.length(a) > 2) & b.rlike(r"^\p{Ll}") & latin, F.lit(False))
+
+    text, line, new = F.col("text"), F.col("line"), F.col(starts)
+    before, after = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
+    stopped = before("text").rlike(r"""[.,!?:;،؛؟…)"”»\]]$""")
+    gap = F.when(before(order).isNull(), "").when(joins(before("text"), before("line"), text, line, new), "").when(new, F.when(stopped, "\n").otherwise(".\n")).otherwise(" ")
+    kept = F.when(joins(text, line, after("text"), after("line"), after(starts)), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    rows = words.withColumns({"__gap": gap, "__kept": kept})
+    upto = F.sum(F.length("__gap") + F.length("__kept")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("end", upto.cast("int")).withColumn("start", (F.col("end") - F.length("__kept")).cast("int"))
+    return rows.withColumn("said", F.concat("__gap", "__kept")).drop("__gap", "__kept")
+
+
+def page_texts(placed: DataFrame, page: str = "page", order: str = "pos") -> DataFrame:
+    """The text of every page from what ``page_words`` gives."""
+    parts = F.sort_array(F.collect_list(F.struct(order, "said")))
+    return placed.groupBy(page).agg(F.array_join(F.transform(parts, lambda p: p.said), "").alias("text"))
+
+
+#: Characters that the first, the second and any later chunk of a page may have, and how short a piece in another language joins its neighbour.
+FIRST_CHUNK, SECOND_CHUNK, LATER_CHUNK, SHORT_SWITCH = 300, 800, 1400, 40
+
+
+def merged_chunks(chunks: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Chunks ``(start, end, language)`` joined to larger ones: of one language, or with a short piece in another, which takes the longer one's."""
+    out: list[tuple[int, int, str]] = []
+    held: tuple[int, int, str] | None = None
+    for start, end, lang in chunks:
+        if held is None:
+            held = (start, end, lang)
+            continue
+        most = (FIRST_CHUNK, SECOND_CHUNK, LATER_CHUNK)[min(len(out), 2)]
+        a, b = held[1] - held[0], end - start
+        if end - held[0] <= most and (lang == held[2] or min(a, b) < SHORT_SWITCH):
+            held = (held[0], end, held[2] if lang == held[2] or a >= b else lang)
+        else:
+            out.append(held)
+            held = (start, end, lang)
+    return out + [held] if held else out
+
+
+def merge_chunks(chunks: DataFrame, page: str = "page") -> DataFrame:
+    """``page, start, end, lang`` of the joined chunks.  One page is a group."""
+    kind = dict(chunks.dtypes)[page]
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("start")
+        out = merged_chunks(list(frame[["start", "end", "lang"]].itertuples(index=False, name=None)))
+        return pd.DataFrame(out, columns=["start", "end", "lang"]).assign(**{page: frame[page].iloc[0]})[[page, "start", "end", "lang"]]
+
+    return chunks.select(page, "start", "end", "lang").groupBy(page).applyInPandas(one, f"{page} {kind}, start long, end long, lang string")
+
+
 def useful_line(text) -> object:
     """Lines with three letters or more, or of numbers alone."""
     return (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= 3) | text.rlike(r"^[\d\s.,%()+/-]+$")
@@ -126,14 +244,14 @@ def xy_order(boxes: list[tuple[float, float, float, float]], font: float, depth:
             if gap is not None:
                 left = [i for i in rows if boxes[i][2] <= gap]
                 right = [i for i in rows if boxes[i][0] >= gap]
-                across = [i for i in rows if i not in left and i not in right]
+                across = [i for i in rows if boxes[i][2] > gap > boxes[i][0]]
                 if left and right:
                     out, rest_l, rest_r = [], left, right
                     for s in sorted(across, key=lambda i: boxes[i][1]):
                         above_l = [i for i in rest_l if boxes[i][1] < boxes[s][1]]
                         above_r = [i for i in rest_r if boxes[i][1] < boxes[s][1]]
                         out += cut(above_l, level + 1) + cut(above_r, level + 1) + [s]
-                        rest_l, rest_r = [i for i in rest_l if i not in above_l], [i for i in rest_r if i not in above_r]
+                        rest_l, rest_r = [i for i in rest_l if boxes[i][1] >= boxes[s][1]], [i for i in rest_r if boxes[i][1] >= boxes[s][1]]
                     return out + cut(rest_l, level + 1) + cut(rest_r, level + 1)
         return sorted(rows, key=lambda i: (round(boxes[i][1] / max(font, 1e-9) * 2), boxes[i][0]))
 

@@ -147,6 +147,16 @@ def applied(name: str, column: Column) -> Column:
 _WORDS = {"normalised": normalised, "tanween": tanween_before_alef, "article": article, "pausal": pausal, "skeleton": skeleton, "glyph": glyph_text, "logical": logical_word, "speech": speech_form}
 
 
+def series_function(name: str, kind):
+    """The same as a function that can be registered for SQL."""
+    f = _WORDS[name]
+
+    def run(words: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else f(x) for x in words], dtype=object)
+
+    return F.pandas_udf(run, kind)
+
+
 def script_runs(column: Column) -> Column:
     kind = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("script", StringType())]))
     return _udf(scripts, kind)(column)

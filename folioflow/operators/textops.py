@@ -62,6 +62,12 @@ def find_phrase(words: DataFrame, phrase: str, page: str, position: str, word: s
     return hits.orderBy(page, "first_pos").limit(limit) if limit else hits
 
 
+def phrase_report(words: DataFrame, phrase: str, page: str, position: str, word: str, limit: int = 500) -> DataFrame:
+    """The first ``limit`` hits of a search box, each with whether there were more (``truncated``)."""
+    first = find_phrase(words, phrase, page, position, word, limit + 1).persist()
+    return first.orderBy(page, "first_pos").limit(limit).withColumn("truncated", F.lit(first.count() > limit))
+
+
 def word_rows(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """One row a word, with its position."""
     return df.select(*keep, F.posexplode(F.filter(F.split(text, r"[\s   ]+"), lambda w: w != "")).alias("pos", "word"))

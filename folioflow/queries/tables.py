@@ -5,6 +5,7 @@ No table has Arabic text, so it is made from Latin text letter by letter, the sa
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from ..functions import text as X
 from ..operators import condfmt, infer, layout, lookup, speech
 from ..operators import dictionary as Dict
 from ..operators import textops as T
+from ..sources import docx, pptx, rtf
+from ..sources.office import parsed
+from ..sources.plain import quoted_rows
 from .register import Register, read
 
 REGISTER = Register()
@@ -359,3 +363,214 @@ def forms(spark, d):
     texts = [F.concat(s, F.lit("kg")), F.concat(s, F.lit("-"), (F.col("p_size") + 5).cast("string"), F.lit("cm")), F.concat(F.lit("["), s, F.lit("].")), F.lit("BCD")]
     token = F.element_at(F.array(*texts), (F.col("p_partkey") % 4 + 1).cast("int"))
     return read(spark, d, "part").select("p_partkey", speech.applied("speech", token).alias("said"))
+
+
+# ---------------------------------------------------------------- pages
+
+_GLYPHS = "SELECT p_partkey % 40 AS page, p_partkey AS id, (p_retailprice * 0.4)::DOUBLE AS base, (8 + p_size % 7)::DOUBLE AS font FROM part"
+
+
+@REGISTER(
+    "ly_bands_parts",
+    f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY base, id) AS k FROM ({_GLYPHS})),
+    s AS (SELECT page, id, k, 0::BIGINT AS band, 1::BIGINT AS n, base AS mean, font AS size FROM g WHERE k = 1
+      UNION ALL SELECT g.page, g.id, g.k, CASE WHEN abs(g.base - mean) <= 0.5 * greatest(size, g.font) THEN band ELSE band + 1 END, CASE WHEN abs(g.base - mean) <= 0.5 * greatest(size, g.font) THEN n + 1 ELSE 1 END,
+        CASE WHEN abs(g.base - mean) <= 0.5 * greatest(size, g.font) THEN mean + (g.base - mean) / (n + 1) ELSE g.base END, CASE WHEN abs(g.base - mean) <= 0.5 * greatest(size, g.font) THEN greatest(size, g.font) ELSE g.font END
+      FROM s JOIN g ON s.page = g.page AND g.k = s.k + 1)
+    SELECT page, id, band FROM s""",
+)
+def bands(spark, d):
+    i = F.col("p_partkey")
+    t = read(spark, d, "part").select((i % 40).alias("page"), i.alias("id"), (F.col("p_retailprice") * 0.4).alias("base"), (8 + F.col("p_size") % 7).cast("double").alias("font"))
+    return layout.banded(t)
+
+
+_PAGE = f"SELECT doc_id AS page, pos, pos // 9 AS line, CASE WHEN pos % 9 = 8 AND pos % 2 = 0 THEN w || '-' ELSE w END AS text, pos % 45 = 0 AND pos > 0 AS starts FROM ({_SAID})"
+
+
+def _page(spark, d):
+    t, p = T.word_rows(read(spark, d, "documents"), [F.col("doc_id").alias("page")], "text"), F.col("pos")
+    return t.select("page", "pos", F.floor(p / 9).alias("line"), F.when((p % 9 == 8) & (p % 2 == 0), F.concat("word", F.lit("-"))).otherwise(F.col("word")).alias("text"), ((p % 45 == 0) & (p > 0)).alias("starts"))
+
+
+@REGISTER(
+    "ly_page_text_documents",
+    rf"""WITH w AS (SELECT *, lag(text) OVER o AS bt, lag(line) OVER o AS bl, lead(text) OVER o AS nt, lead(line) OVER o AS nl, lead(starts) OVER o AS ns FROM ({_PAGE}) WINDOW o AS (PARTITION BY page ORDER BY pos)),
+    j AS (SELECT *, bt IS NOT NULL AND NOT starts AND bl <> line AND ends_with(bt, '-') AND length(bt) > 2 AND regexp_matches(text, '^\p{{Ll}}') AS glue, nt IS NOT NULL AND NOT ns AND nl <> line AND ends_with(text, '-') AND length(text) > 2 AND regexp_matches(nt, '^\p{{Ll}}') AS cut FROM w),
+    k AS (SELECT *, CASE WHEN bt IS NULL OR glue THEN '' WHEN starts THEN CASE WHEN regexp_matches(bt, '[.,!?:;،؛؟…)"”»\]]$') THEN chr(10) ELSE '.' || chr(10) END ELSE ' ' END || CASE WHEN cut THEN left(text, length(text) - 1) ELSE text END AS said FROM j)
+    SELECT page, md5(string_agg(said, '' ORDER BY pos)) AS h, sum(length(said))::BIGINT AS n FROM k GROUP BY 1""",
+)
+def page_text(spark, d):
+    placed = layout.page_words(_page(spark, d))
+    ends = placed.groupBy("page").agg(F.max("end").cast("long").alias("n"))
+    return layout.page_texts(placed).join(ends, "page").select("page", F.md5("text").alias("h"), "n")
+
+
+@REGISTER(
+    "ly_paragraph_starts_documents",
+    f"""WITH p AS (SELECT doc_id AS page, pos, pos // 7 AS line, w AS text, (pos // 7 * 0.02 + CASE WHEN pos // 7 % 6 = 5 THEN 0.03 ELSE 0 END - CASE WHEN pos // 7 % 11 = 10 THEN 0.02 ELSE 0 END - pos // 280 * 0.75)::DOUBLE AS t FROM ({_SAID}) WHERE doc_id % 5 = 0),
+    w AS (SELECT *, lag(line) OVER o AS bl, lag(text) OVER o AS bt, t - lag(t) OVER o AS dy, greatest(0.004, (lag(t) OVER o + 0.012) - lag(t) OVER o) AS h FROM p WINDOW o AS (PARTITION BY page ORDER BY pos)),
+    u AS (SELECT page, (list(dy ORDER BY dy))[len(list(dy)) // 2 + 1] AS usual FROM w WHERE bl <> line AND dy > 0.002 GROUP BY 1 HAVING count(*) >= 3),
+    c AS (SELECT w.*, usual, regexp_matches(text, '^\\p{{L}}') AND (regexp_matches(bt, '[,،]$') OR (regexp_matches(bt, '[\\p{{L}}\\x{{064B}}-\\x{{0652}}]$') AND lower(regexp_replace(bt, '[^\\p{{L}}]', '', 'g')) IN ({', '.join(repr(x) for x in layout.OPEN_ENDERS)}))) AS goes FROM w LEFT JOIN u USING (page))
+    SELECT page, count(*) FILTER (bl <> line AND CASE WHEN abs(dy) < 0.35 * h THEN NOT goes WHEN dy > CASE WHEN usual IS NULL THEN 2.1 * h ELSE greatest(1.7 * usual, 1.6 * h) END THEN true WHEN dy < -2.4 * h THEN NOT goes ELSE false END)::BIGINT AS n FROM c GROUP BY 1""",
+)
+def paragraph_starts(spark, d):
+    docs = read(spark, d, "documents").where(F.col("doc_id") % 5 == 0)
+    w = T.word_rows(docs, [F.col("doc_id").alias("page")], "text")
+    line = F.floor(F.col("pos") / 7)
+    t = line * F.lit("0.02").cast("decimal(4,2)") + F.when(line % 6 == 5, F.lit("0.03").cast("decimal(4,2)")).otherwise(0) - F.when(line % 11 == 10, F.lit("0.02").cast("decimal(4,2)")).otherwise(0) - F.floor(F.col("pos") / 280) * F.lit("0.75").cast("decimal(4,2)")
+    words = w.select("page", "pos", line.alias("line"), F.col("word").alias("text"), t.cast("double").alias("t")).withColumn("b", F.col("t") + 0.012)
+    return layout.paragraph_starts(words).groupBy("page").agg(F.count_if("starts").alias("n"))
+
+
+@REGISTER(
+    "ly_merge_chunks_orders",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS page, o_orderkey AS k, 20 + o_orderkey * 7 % 280 AS n, CASE WHEN o_orderkey % 5 = 0 THEN 'ar' ELSE 'en' END AS lang FROM orders),
+    c AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY k) AS r, sum(n) OVER (PARTITION BY page ORDER BY k)::BIGINT AS e, sum(n) OVER (PARTITION BY page ORDER BY k)::BIGINT - n AS s, lang FROM o),
+    m AS (SELECT page, r, 0 AS done, s, e, lang FROM c WHERE r = 1
+      UNION ALL SELECT m.page, c.r, CASE WHEN f THEN done ELSE done + 1 END, CASE WHEN f THEN m.s ELSE c.s END, c.e, CASE WHEN NOT f THEN c.lang WHEN m.lang = c.lang OR m.e - m.s >= c.e - c.s THEN m.lang ELSE c.lang END
+      FROM m JOIN c ON m.page = c.page AND c.r = m.r + 1, LATERAL (SELECT c.e - m.s <= CASE done WHEN 0 THEN 300 WHEN 1 THEN 800 ELSE 1400 END AND (m.lang = c.lang OR least(m.e - m.s, c.e - c.s) < 40) AS f))
+    SELECT page, s AS start, max(e) AS "end", arg_max(lang, r) AS lang FROM m GROUP BY page, done, s""",
+)
+def merge_chunks(spark, d):
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    t = read(spark, d, "orders").select(F.col("o_custkey").alias("page"), k, (20 + k * 7 % 280).alias("n"), F.when(k % 5 == 0, "ar").otherwise("en").alias("lang"))
+    t = t.withColumn("end", F.sum("n").over(Window.partitionBy("page").orderBy("o_orderkey"))).withColumn("start", F.col("end") - F.col("n"))
+    return layout.merge_chunks(t)
+
+
+@REGISTER(
+    "tx_search_report",
+    f"""WITH h AS (SELECT doc_id, pos FROM ({_SAID}) WHERE contains(lower(w), 'the') ORDER BY 1, 2 LIMIT 501)
+    SELECT doc_id, pos::INTEGER AS first_pos, (SELECT count(*) > 500 FROM h) AS truncated FROM h ORDER BY 1, 2 LIMIT 500""",
+)
+def search_report(spark, d):
+    return T.phrase_report(T.word_rows(read(spark, d, "documents"), ["doc_id"], "text"), "the", "doc_id", "pos", "word")
+
+
+# ---------------------------------------------------------------- files
+
+
+@REGISTER("wb_csv_rows", "SELECT p_partkey, 4::INTEGER AS n, p_name || ', \"' || p_brand || '\"' || chr(10) || p_type AS second, '' AS third FROM part")
+def csv(spark, d):
+    quoted = F.concat(F.lit('"'), "p_name", F.lit(', ""'), "p_brand", F.lit('""\r\n'), "p_type", F.lit('"'))
+    text = F.concat(F.lit("\r\na,"), quoted, F.lit(',,"x"\r\n'))
+    rows = read(spark, d, "part").select("p_partkey", F.explode(quoted_rows(text)).alias("f"))
+    return rows.select("p_partkey", F.size("f").alias("n"), F.replace(F.col("f")[1], F.lit("\r\n"), F.lit("\n")).alias("second"), F.col("f")[2].alias("third"))
+
+
+@REGISTER("wb_rtf_runs", "SELECT p_partkey::VARCHAR AS path, i AS run, CASE i WHEN 0 THEN p_name || ' ' WHEN 1 THEN p_brand ELSE p_type END AS text, i = 1 AND p_size % 2 = 0 AS bold, CASE WHEN i = 1 THEN p_size / 2.0::DOUBLE ELSE 12.0 END AS size, CASE WHEN i = 1 THEN '00FF10' END AS colour, CASE WHEN i = 2 THEN 'http://x.org/' || p_partkey END AS link FROM part, (VALUES (0), (1), (2)) v(i) WHERE p_size > 0")
+def rtf_runs(spark, d):
+    head, i = r"{\rtf1\ansi{\colortbl;\red0\green255\blue16;}", F.col("p_partkey").cast("string")
+    bold = F.when(F.col("p_size") % 2 == 0, r"{\b").otherwise("{")
+    text = F.concat(F.lit(head), "p_name", F.lit(" "), bold, F.lit(r"\cf1\fs"), F.col("p_size").cast("string"), F.lit(" "), "p_brand", F.lit(r'}{\field{\*\fldinst{HYPERLINK "http://x.org/'), i, F.lit(r'"}}{\fldrslt{'), "p_type", F.lit("}}}}"))
+    files = read(spark, d, "part").where("p_size > 0").select(i.alias("path"), F.encode(text, "UTF-8").alias("content"))
+    return parsed(files, rtf.RUNS, rtf.read_runs).select("path", "run", "text", "bold", "size", "colour", "link")
+
+
+_NS = 'xmlns:w="w" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="a" xmlns:p="p"'
+_RELS = '<Relationships xmlns="x">{}</Relationships>'
+
+
+def _zipped(files, parts):
+    """Rows of ``path, name, brand, size`` as packages; ``parts`` gives a row's parts by name."""
+    import io
+    import zipfile
+
+    def made(path: pd.Series, name: pd.Series, brand: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(path, name, brand, size, strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                for part, text in parts(*row).items():
+                    z.writestr(part, text)
+            out.append(held.getvalue())
+        return pd.Series(out)
+
+    return files.select("path", F.pandas_udf(made, "binary")("path", "name", "brand", "size").alias("content"))
+
+
+def _files(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.regexp_replace("p_name", "[&<>]", "").alias("name"), F.regexp_replace("p_brand", "[&<>]", "").alias("brand"), F.col("p_size").cast("int").alias("size"))
+
+
+def _docx_parts(path, name, brand, size):
+    rel = '<Relationship Id="{}" Type="t/{}" Target="{}"/>'.format
+    styles = (
+        f'<w:styles {_NS}><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="20"/><w:color w:val="111111"/></w:rPr></w:rPrDefault></w:docDefaults><w:style w:type="paragraph" w:default="1" w:styleId="N"><w:rPr><w:i/></w:rPr></w:style>'
+        '<w:style w:type="paragraph" w:styleId="H"><w:basedOn w:val="N"/><w:rPr><w:b/><w:sz w:val="40"/></w:rPr></w:style><w:style w:type="character" w:styleId="C"><w:rPr><w:u/><w:i w:val="0"/></w:rPr></w:style></w:styles>'
+    )
+    style = '<w:pPr><w:pStyle w:val="H"/></w:pPr>' if size % 2 else ""
+    field = '<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> HYPERLINK "u:{}" </w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>{}</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r>'.format(size, brand)
+    body = f'<w:document {_NS}><w:body><w:p>{style}<w:r><w:t>{name}</w:t></w:r><w:r><w:rPr><w:rStyle w:val="C"/><w:sz w:val="{size}"/><w:vanish w:val="0"/></w:rPr><w:t>{path}</w:t></w:r><w:r><w:rPr><w:vanish/></w:rPr><w:t>gone</w:t></w:r>{field}</w:p></w:body></w:document>'
+    return {"_rels/.rels": _RELS.format(rel("a", "officeDocument", "word/document.xml")), "word/document.xml": body, "word/_rels/document.xml.rels": _RELS.format(rel("s", "styles", "styles.xml")), "word/styles.xml": styles}
+
+
+@REGISTER(
+    "wb_docx_runs",
+    """SELECT p_partkey::VARCHAR AS path, i AS run, CASE i WHEN 0 THEN p_name WHEN 1 THEN p_partkey::VARCHAR ELSE p_brand END AS text, p_size % 2 = 1 AS bold, i <> 1 AS italic, CASE WHEN i = 1 THEN 'single' END AS underline,
+      CASE WHEN i = 1 THEN p_size / 2.0::DOUBLE WHEN p_size % 2 = 1 THEN 20.0 ELSE 10.0 END AS size, '111111' AS colour, CASE WHEN i = 2 THEN 'u:' || p_size END AS link FROM part, (VALUES (0), (1), (2)) v(i)""",
+)
+def docx_runs(spark, d):
+    return parsed(_zipped(_files(spark, d), _docx_parts), docx.RUNS, docx.read_runs).select("path", "run", "text", "bold", "italic", "underline", "size", "colour", "link")
+
+
+def _pptx_parts(path, name, brand, size):
+    rel = '<Relationship Id="{}" Type="t/{}" Target="{}"/>'.format
+
+    def sp(ph: str, text: str, at: int | None = None) -> str:
+        box = "" if at is None else f'<a:xfrm><a:off x="{at}" y="{at + 1}"/><a:ext cx="100" cy="50"/></a:xfrm>'
+        return f"<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:spPr>{box}</p:spPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>"
+
+    def tree(kind: str, shapes: str) -> str:
+        return f"<p:{kind} {_NS}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:{kind}>"
+
+    slide = sp('<p:ph type="ctrTitle"/>', name) + sp('<p:ph idx="7"/>', brand) + sp("", path, size)
+    table = "<p:graphicFrame><a:tbl><a:tr><a:tc rowSpan=\"2\"><p:txBody><a:p><a:r><a:t>{}</a:t></a:r></a:p></p:txBody></a:tc><a:tc/></a:tr><a:tr><a:tc vMerge=\"1\"/><a:tc/></a:tr></a:tbl></p:graphicFrame>".format(name)
+    return {
+        "_rels/.rels": _RELS.format(rel("a", "officeDocument", "ppt/presentation.xml")),
+        "ppt/presentation.xml": f'<p:presentation {_NS}><p:sldIdLst><p:sldId id="1" r:id="s1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": _RELS.format(rel("s1", "slide", "slides/slide1.xml")),
+        "ppt/slides/slide1.xml": tree("sld", slide + table),
+        "ppt/slides/_rels/slide1.xml.rels": _RELS.format(rel("l", "slideLayout", "../slideLayouts/l.xml")),
+        "ppt/slideLayouts/l.xml": tree("sldLayout", sp('<p:ph type="body" idx="7"/>', "", 1000 + size)),
+        "ppt/slideLayouts/_rels/l.xml.rels": _RELS.format(rel("m", "slideMaster", "../slideMasters/m.xml")),
+        "ppt/slideMasters/m.xml": tree("sldMaster", sp('<p:ph type="title"/>', "", 2000 + size) + sp('<p:ph type="body"/>', "", 3000)),
+    }
+
+
+@REGISTER(
+    "wb_pptx_placed",
+    """SELECT p_partkey::VARCHAR AS path, i AS pos, CASE WHEN i = 0 THEN 'TITLE' ELSE 'BODY' END AS type, CASE i WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_partkey::VARCHAR END AS text,
+      (CASE i WHEN 0 THEN 2000 WHEN 1 THEN 1000 ELSE 0 END + p_size)::BIGINT AS x, CASE i WHEN 0 THEN 'master' WHEN 1 THEN 'layout' ELSE 'slide' END AS placed_by FROM part, (VALUES (0), (1), (2)) v(i)""",
+)
+def pptx_placed(spark, d):
+    return parsed(_zipped(_files(spark, d), _pptx_parts), pptx.PLACED, pptx.read_placed).select("path", "pos", "type", "text", "x", "placed_by")
+
+
+@REGISTER("wb_pptx_tables", "SELECT p_partkey::VARCHAR AS path, r, c, CASE WHEN r = 0 AND c = 0 THEN 2 ELSE 1 END AS rowspan, CASE WHEN r = 0 AND c = 0 THEN p_name ELSE '' END AS text FROM part, (VALUES (0, 0), (0, 1), (1, 1)) v(r, c)")
+def pptx_tables(spark, d):
+    return parsed(_zipped(_files(spark, d), _pptx_parts), pptx.TABLES, pptx.read_tables).select("path", "r", "c", "rowspan", "text")
+
+
+@REGISTER(
+    "fn_registered",
+    "SELECT p_partkey, p_retailprice - 7 * floor(p_retailprice / 7) AS m, upper(left(p_type, 1)) || lower(substr(p_type, 2, 2)) AS t, CASE WHEN p_size % 5 >= 1 THEN substr(p_name, p_size % 5, 4) END AS part, p_size || ' kilograms' AS said FROM part",
+)
+def registered(spark, d):
+    from ..registry import register
+
+    register(spark)
+    read(spark, d, "part").createOrReplaceTempView("folio_parts")
+    return spark.sql("SELECT p_partkey, xl_mod(p_retailprice, 7) AS m, xl_proper(xl_left(p_type, 3)) AS t, xl_mid(p_name, cast(p_size % 5 AS INT), 4) AS part, sp_form(concat(p_size, 'kg')) AS said FROM folio_parts")
+
+
+@REGISTER("fn_table_functions", "SELECT p_partkey::VARCHAR AS path, 'BODY' AS type, p_brand AS text FROM part WHERE p_size % 3 = 0")
+def table_functions(spark, d):
+    from ..registry import register
+
+    register(spark)
+    _zipped(_files(spark, d).where("size % 3 = 0"), _pptx_parts).createOrReplaceTempView("folio_decks")
+    return spark.sql("SELECT path, t.type, t.text FROM folio_decks, LATERAL pptx_placed(content) t WHERE t.placed_by = 'layout'")

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from ..formula.formats import list_label
 from .ooxml import Package, attribute, child, children, flag, local
 
 _KEPT = {"hyperlink", "fldSimple", "sdt", "sdtContent", "ins", "moveTo", "smartTag", "customXml", "dir", "bdo"}
-_FORMATS = {"decimal": "decimal", "upperRoman": "upperRoman", "lowerRoman": "lowerRoman", "upperLetter": "upperLetter", "lowerLetter": "lowerLetter", "ordinal": "ordinal"}
+# Characters of symbol fonts that bullets are written in, as plain ones.
+BULLETS = {"\uf0b7": "•", "\uf0a7": "▪", "\uf0d8": "➢", "\uf0fc": "✓", "\uf076": "❖", "\uf0a8": "◻", "\uf06e": "■", "o": "◦", "§": "▪"}
+
+
+def bullet(text: str) -> str:
+    """A bullet's text: known symbols as plain characters, other private ones as a dot."""
+    if not text:
+        return "•"
+    return BULLETS.get(text[0], "•" if "\uf000" <= text[0] <= "\uf0ff" else text)
 
 
 class Styles:
@@ -72,8 +81,8 @@ class Numbering:
             kind = child(levels.get(lv), "numFmt")
             name = attribute(kind, "val") if kind is not None else "decimal"
             if name == "bullet":
-                return label or "•"
-            label = label.replace(f"%{lv + 1}", list_label(counts.get(lv, first(lv)), _FORMATS.get(name, "decimal")))
+                return bullet(label)
+            label = label.replace(f"%{lv + 1}", list_label(counts.get(lv, first(lv)), name))
         return label
 
 
@@ -203,3 +212,103 @@ def _deep(node, name: str) -> Iterator:
             yield n
         elif local(n.tag) in _KEPT:
             yield from _deep(n, name)
+
+
+#: What a run may be given by the document, its styles and itself.
+_SWITCHES = ("b", "i", "strike", "dstrike", "caps", "smallCaps", "vanish", "rtl")
+RUNS = "path string, pos int, run int, text string, bold boolean, italic boolean, underline string, strike boolean, caps boolean, size double, colour string, highlight string, font string, raised string, link string"
+
+
+def run_properties(node) -> dict:
+    """What a properties element says; what it does not mention is missing."""
+    out = {}
+    for e in [] if node is None else node:
+        name, value = local(e.tag), attribute(e, "val")
+        if name in _SWITCHES:
+            out[name] = flag(e)
+        elif name == "u":
+            out["u"] = value or "single"
+        elif name == "rFonts":
+            font = attribute(e, "ascii") or attribute(e, "hAnsi")
+            out |= {"font": font} if font else {}
+        elif name == "sz" and value and value.lstrip("-").isdigit():
+            out["sz"] = int(value) / 2
+        elif name in ("color", "highlight", "vertAlign") and value:
+            out[name] = value.lower() if value.lower() == "auto" else value
+    return out
+
+
+def read_runs(content: bytes) -> Iterator[tuple]:
+    """Every visible run with what it looks like, as columns of ``RUNS`` say.
+
+    Later words win: the document's defaults, the paragraph style from its oldest ancestor on, the character style likewise, the
+    run itself.  A paragraph without a style has the default one.  Fields give their results, not their codes; a HYPERLINK's address is the link.
+    """
+    package = Package(content)
+    main = package.main() or "word/document.xml"
+    relations = package.relations(main)
+    part = lambda kind: next((package.xml(r.target) for r in relations.values() if r.kind == kind), None)
+    root = part("styles")
+    styles = Styles(root)
+    base = run_properties(child(child(child(root, "docDefaults"), "rPrDefault"), "rPr"))
+    usual = next((k for k, n in styles.nodes.items() if attribute(n, "type") == "paragraph" and (attribute(n, "default") or "0") in ("1", "true")), None)
+
+    def styled(style: str | None) -> dict:
+        out: dict = {}
+        for node in reversed(styles.chain(style)):
+            out |= run_properties(child(node, "rPr"))
+        return out
+
+    def runs(node, given: dict, link: str | None, fields: list) -> Iterator[tuple]:
+        for n in node:
+            name = local(n.tag)
+            if name == "r":
+                own = child(n, "rPr")
+                style = child(own, "rStyle")
+                look = given | (styled(attribute(style, "val")) if style is not None else {}) | run_properties(own)
+                for text in _field_texts(n, fields):
+                    shown = fields[-1] if fields else None
+                    target = link or next((f["link"] for f in reversed(fields) if f["link"]), None)
+                    if text and not look.get("vanish") and (shown is None or all(f["result"] for f in fields)):
+                        yield text, look, target
+            elif name == "hyperlink":
+                relation = relations.get(n.attrib.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id", ""))
+                yield from runs(n, given, relation.target if relation else "#" + (attribute(n, "anchor") or ""), fields)
+            elif name in _KEPT:
+                yield from runs(n, given, link, fields)
+            elif name == "AlternateContent":
+                for kind in ("Choice", "Fallback"):
+                    if child(n, kind) is not None:
+                        yield from runs(child(n, kind), given, link, fields)
+                        break
+
+    fields: list[dict] = []
+    for pos, p in enumerate(x for x in child(package.xml(main), "body").iter() if local(x.tag) == "p"):
+        style = child(child(p, "pPr"), "pStyle")
+        given = base | styled(attribute(style, "val") if style is not None else usual)
+        for i, (text, look, link) in enumerate(runs(p, given, None, fields)):
+            get = look.get
+            shown = text.upper() if get("caps") else text
+            yield pos, i, shown, bool(get("b")), bool(get("i")), get("u"), bool(get("strike") or get("dstrike")), bool(get("caps")), get("sz"), get("color"), get("highlight"), get("font"), get("vertAlign"), link
+
+
+def _field_texts(run, fields: list[dict]) -> Iterator[str]:
+    """The texts of a run, field codes followed as they begin, part and end."""
+    for piece in run:
+        name = local(piece.tag)
+        if name == "fldChar":
+            kind = attribute(piece, "fldCharType")
+            if kind == "begin":
+                fields.append({"code": "", "result": False, "link": None})
+            elif kind == "separate" and fields:
+                found = re.match(r'\s*HYPERLINK\s+(?:\\l\s+)?"([^"]*)"', fields[-1]["code"])
+                fields[-1] |= {"result": True, "link": found[1] if found else None}
+            elif kind == "end" and fields:
+                fields.pop()
+        elif name == "instrText" and fields:
+            fields[-1]["code"] += piece.text or ""
+        elif name == "sym":
+            code = attribute(piece, "char") or ""
+            yield bullet(chr(int(code, 16) | 0xF000)) if re.fullmatch("[0-9A-Fa-f]{4}", code) else ""
+        else:
+            yield _piece(piece, [])

@@ -119,3 +119,101 @@ def read_paragraphs(content: bytes) -> list[tuple[str, str]]:
     end()
     joined = [(k, t.encode("utf-16", "surrogatepass").decode("utf-16", "replace")) for k, t in out]
     return joined
+
+
+RUNS = "path string, pos int, run int, text string, bold boolean, italic boolean, underline boolean, strike boolean, size double, colour string, link string"
+
+
+def colour_table(content: bytes) -> list[str | None]:
+    """The colours that a document numbers; the first is often left to the reader."""
+    found = re.search(rb"\\colortbl([^{}]*)}", content)
+    out: list[str | None] = []
+    for entry in (found[1].split(b";")[:-1] if found else []):
+        parts = {k: int(v) for k, v in re.findall(rb"\\(red|green|blue)(\d+)", entry)}
+        out.append("%02X%02X%02X" % tuple(parts.get(k, 0) for k in (b"red", b"green", b"blue")) if parts else None)
+    return out
+
+
+def read_runs(content: bytes) -> list[tuple]:
+    """``pos, run, text, bold, italic, underline, strike, size, colour, link`` of every run of one look; groups end what they began."""
+    page = re.search(rb"\\ansicpg(\d+)", content[:2000])
+    codec = CODECS.get(int(page[1]), "cp1252") if page else "cp1252"
+    colours = colour_table(content)
+    plain = {"bold": False, "italic": False, "underline": False, "strike": False, "size": 12.0, "colour": None}
+    state: dict = {**plain, "dest": "text", "uc": 1, "link": None}
+    stack: list[dict] = []
+    out: list[list] = []
+    code: list[str] = []
+    pos, pending, star = 0, 0, False
+
+    def add(text: str) -> None:
+        if state["dest"] == "code":
+            code.append(text)
+        elif state["dest"] == "text" and text:
+            look = [state[k] for k in (*plain, "link")]
+            if out and out[-1][0] == pos and out[-1][2:] == look:
+                out[-1][1] += text
+            else:
+                out.append([pos, text, *look])
+
+    for m in _TOKEN.finditer(content):
+        word, number, hexed, symbol, brace, body = m.groups()
+        if brace == b"{":
+            stack.append(dict(state))
+        elif brace == b"}":
+            closed, state = state, (stack.pop() if stack else state)
+            if closed["dest"] == "code" and state["dest"] != "code":
+                found = re.search(r'HYPERLINK\s+(?:\\l\s+)?"?([^"\s]+)', "".join(code))
+                code.clear()
+                if found and stack:
+                    state["link"] = found[1]
+        elif symbol == b"*":
+            star = True
+            continue
+        elif word is not None:
+            name, n = word.decode(), int(number) if number else None
+            if name == "fldinst":
+                state["dest"] = "code"
+            elif name == "fldrslt":
+                state["dest"] = "text"
+            elif star or name in SKIPPED:
+                state["dest"] = "skip"
+            elif name in ("b", "i", "ul", "strike"):
+                state[{"b": "bold", "i": "italic", "ul": "underline", "strike": "strike"}[name]] = n != 0
+            elif name == "ulnone":
+                state["underline"] = False
+            elif name == "fs" and n:
+                state["size"] = n / 2
+            elif name == "cf":
+                state["colour"] = colours[n] if n is not None and n < len(colours) else None
+            elif name == "plain":
+                state |= plain
+            elif name == "uc":
+                state["uc"] = n or 0
+            elif name in ("par", "sect", "page", "row") and state["dest"] == "text":
+                pos += 1
+            elif name == "line":
+                add("\n")
+            elif name == "cell":
+                add("\t")
+            elif name == "u" and n is not None:
+                add(chr(n % 65536))
+                pending = state["uc"]
+            elif name in _SPECIAL:
+                add(_SPECIAL[name])
+        elif hexed is not None:
+            if pending:
+                pending -= 1
+            else:
+                add(bytes([int(hexed, 16)]).decode(codec, "replace"))
+        elif symbol is not None:
+            add({b"~": "\u00a0", b"-": "\u00ad", b"_": "‑", b"\\": "\\", b"{": "{", b"}": "}"}.get(symbol, ""))
+        elif body is not None:
+            add(body[pending:].decode(codec, "replace"))
+            pending = max(0, pending - len(body))
+        star = False
+    numbered, last = [], (-1, -1)
+    for at, text, *look in out:
+        last = (at, last[1] + 1 if last[0] == at else 0)
+        numbered.append((*last, text, *look))
+    return numbered

@@ -5,7 +5,7 @@ import pytest
 from folioflow.plans.inspect import operators, plan_text, pushed_filters, read_columns, shuffles
 from folioflow.queries import QUERIES
 
-PYTHON = ("wb_", "sp_forms", "sp_marks", "sp_offsets", "sp_pieces", "ly_reading_order")
+PYTHON = ("wb_", "fn_", "sp_forms", "sp_marks", "sp_offsets", "sp_pieces", "ly_reading_order", "ly_bands", "ly_merge_chunks")
 
 
 def test_flagship_plan(spark, sf_dir):
