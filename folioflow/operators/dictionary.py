@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shaping import predicted
 from .textops import dictionary_key, unify_letters
 
 #: One-letter particles that may stand before a word, and endings that may follow.
@@ -41,10 +42,11 @@ def keys(merged: DataFrame) -> DataFrame:
     return g.select("key", F.when(F.col("n") == 1, F.col("shaped")).alias("shaped"), (F.col("n") > 1).alias("ambiguous"))
 
 
-def cascade(words: DataFrame, learned: DataFrame, merged: DataFrame, word: str = "word") -> DataFrame:
-    """Each distinct word's shaped form and how it was found: learned, exact, normalised, without a prefix, without a suffix.
+def cascade(words: DataFrame, learned: DataFrame, merged: DataFrame, word: str = "word", known: dict | None = None) -> DataFrame:
+    """Each distinct word's shaped form and how it was found: learned, exact, normalised, without a prefix, without a suffix, predicted.
 
-    Distinct words meet the dictionary once a stage, however often they occur.
+    Distinct words meet the dictionary once a stage, however often they occur.  ``known`` are the contexts of ``shaping``, asked last
+    for what no pack holds; without them nothing is predicted.
     """
     norm = keys(merged).where("shaped is not null").select("key", F.col("shaped").alias("by_key"))
     rows = words.select(F.col(word).alias("word")).distinct()
@@ -63,13 +65,18 @@ def cascade(words: DataFrame, learned: DataFrame, merged: DataFrame, word: str =
         .when(F.col("by_stem").isNotNull(), "CLITIC").when(F.col("by_base").isNotNull(), "SUFFIX").otherwise("UNKNOWN")
     )
     shaped = F.coalesce("by_learned", "by_word", "by_key", F.concat(head, F.col("by_stem")), F.concat(F.col("by_base"), F.expr("substring(key, length(base) + 1)")))
-    return out.select("word", shaped.alias("shaped"), kind.alias("kind"))
+    out = out.select("word", shaped.alias("shaped"), kind.alias("kind"))
+    if known is None:
+        return out
+    guessed = predicted(out, known)
+    took = (F.col("kind") == "UNKNOWN") & F.col("guess").isNotNull()
+    return guessed.select("word", F.when(took, F.col("guess")).otherwise(F.col("shaped")).alias("shaped"), F.when(took, "PREDICTED").otherwise(F.col("kind")).alias("kind"))
 
 
 def coverage(found: DataFrame) -> DataFrame:
     """Words by kind of match, and the share known in per cent."""
     total = F.count("*")
-    known = F.count_if(F.col("kind") != "UNKNOWN")
+    known = F.count_if(~F.col("kind").isin("UNKNOWN", "PREDICTED"))
     return found.agg(total.alias("words"), known.alias("known"), F.when(total > 0, F.floor(known * 100 / total)).otherwise(0).cast("long").alias("percent"))
 
 

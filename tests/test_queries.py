@@ -43,8 +43,27 @@ def test_flagship_is_registered():
     assert FLAGSHIP in QUERIES and FLAGSHIP in ORACLES
 
 
-def test_entry_works_without_the_llm_part(spark):
+def test_entry_gives_the_flagship(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
+
+
+def test_entry_works_without_the_llm_part(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline has the library's queries and no others; a broken subpackage is an error."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "folioflow", tmp_path / "folioflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"]
+    run = lambda: subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert run().stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+    (tmp_path / "folioflow/llm").mkdir()
+    (tmp_path / "folioflow/llm/__init__.py").write_text("")
+    (tmp_path / "folioflow/llm/queries.py").write_text("import no_such_module")
+    assert "no_such_module" in run().stderr
