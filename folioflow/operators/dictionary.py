@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shaping import predicted
@@ -36,6 +36,16 @@ def merge(packs: DataFrame) -> DataFrame:
     return packs.groupBy("plain").agg(F.max_by("shaped", F.struct("priority", "line_no")).alias("shaped"), F.max("priority").alias("priority"))
 
 
+#: How many packs may be in use, and how large a pack may be in bytes.
+MOST_PACKS, MOST_BYTES = 12, 60 << 20
+
+
+def usable(packs: DataFrame, enabled: str = "enabled", order: str = "position", size: str = "bytes") -> DataFrame:
+    """Packs in use with their priority in merging, the later the higher: those switched on and not too large, the first ``MOST_PACKS`` of them in order."""
+    first = packs.where(F.col(enabled) & (F.col(size) <= MOST_BYTES)).orderBy(order).limit(MOST_PACKS)
+    return first.withColumn("priority", F.row_number().over(Window.orderBy(order)))  # at most MOST_PACKS rows
+
+
 def keys(merged: DataFrame) -> DataFrame:
     """Normalised keys: the shaped form, or null where several words disagree."""
     g = merged.groupBy(dictionary_key(F.col("plain")).alias("key")).agg(F.count_distinct("shaped").alias("n"), F.min("shaped").alias("shaped"))

@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from .running import running_sum
 
 
+#: Up to so many places a task keeps the first values itself.
+FEW = 1000
+
+
 def kth(df: DataFrame, column: str, k: int, largest: bool = True) -> DataFrame:
     """LARGE or SMALL over a whole table.  One row, null if there are fewer than ``k`` values.
 
-    Equal values are counted, and the counts summed by ranges of values, so whatever ``k``, no task holds the rows before it.
+    The first few places are a bounded top-k.  Beyond, equal values are counted, and the counts summed by ranges of values,
+    so no task holds the rows before a place.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    reached = running_sum(counts, column, "__n", "__upto", descending=largest).where(F.col("__upto") >= k)
+    values, least = df.where(F.col(column).isNotNull()).select(column), F.min if largest else F.max
+    if k <= FEW:
+        first = values.orderBy(F.col(column).desc() if largest else F.col(column).asc()).limit(k)
+        return first.agg(F.count("*").alias("n"), least(column).alias("v")).select(F.when(F.col("n") == k, F.col("v")).alias("value"))
+    reached = running_sum(values.groupBy(column).agg(F.count("*").alias("__n")), column, "__n", "__upto", descending=largest).where(F.col("__upto") >= k)
     return reached.agg((F.max if largest else F.min)(column).alias("value"))
 
 

@@ -91,6 +91,23 @@ def calibrated_ratio(a: DataFrame, b: DataFrame, key: str, mean: str = "mean", n
     return left.join(right, key).select(key, F.when(enough, ratio).otherwise(1.0).alias("ratio"))
 
 
+def latest_generation(df: DataFrame, key: str, generation: str) -> DataFrame:
+    """Results of the newest request of each key alone: what older ones still bring is dropped."""
+    newest = df.groupBy(key).agg(F.max(generation).alias("__g"))
+    return df.join(newest, key).where(F.col(generation) == F.col("__g")).drop("__g")
+
+
+def kept_statistics(lines: DataFrame) -> DataFrame:
+    """Statistics of a state file's lines (``tag, fields``) that can be believed: ``tag, key, first, second``.
+
+    Paces (N, D) lie between 5 and 600 milliseconds a character and rest on an observation at least; health (H) is any two numbers.
+    """
+    f = F.col("fields")
+    rows = lines.where(F.col("tag").isin("N", "D", "H") & (F.size(f) >= 3)).select("tag", f[0].alias("key"), f[1].try_cast("double").alias("first"), f[2].try_cast("double").alias("second"))
+    sane = (F.col("tag") == "H") | ((F.col("first") > 5) & (F.col("first") < 600) & (F.col("second") > 0) & (F.col("second") == F.floor("second")))
+    return rows.where(F.col("first").isNotNull() & F.col("second").isNotNull() & sane)
+
+
 def lru(df: DataFrame, key: str, at: str, keep: int) -> DataFrame:
     """The ``keep`` keys used last: a bounded top-k, ties by key."""
     return df.groupBy(key).agg(F.max(at).alias("last_used")).orderBy(F.col("last_used").desc(), key).limit(keep)

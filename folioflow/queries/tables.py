@@ -574,3 +574,55 @@ def table_functions(spark, d):
     register(spark)
     _zipped(_files(spark, d).where("size % 3 = 0"), _pptx_parts).createOrReplaceTempView("folio_decks")
     return spark.sql("SELECT path, t.type, t.text FROM folio_decks, LATERAL pptx_placed(content) t WHERE t.placed_by = 'layout'")
+
+
+@REGISTER(
+    "ly_word_at_documents",
+    rf"""WITH w AS (SELECT doc_id AS page, pos, w AS text, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(w) - 1)::INTEGER AS start FROM ({_SAID})),
+    a AS (SELECT doc_id AS page, (doc_id * 31 % 1000 * k)::INTEGER AS "offset", k FROM documents, (VALUES (0), (1), (3)) v(k))
+    SELECT a.page, a.k, text AS word, start FROM a ASOF LEFT JOIN w ON a.page = w.page AND a."offset" >= w.start""",
+)
+def word_at(spark, d):
+    docs = read(spark, d, "documents")
+    words = T.word_rows(docs, [F.col("doc_id").alias("page")], "text").select("page", "pos", F.lit(0).alias("line"), F.col("word").alias("text"), F.lit(False).alias("starts"))
+    asked = docs.select(F.col("doc_id").alias("page"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("k"))
+    asked = asked.withColumn("offset", (F.col("page") * 31 % 1000 * F.col("k")).cast("int"))
+    return layout.word_at(layout.page_words(words), asked).select("page", "k", "word", "start")
+
+
+@REGISTER("in_json_accessors", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '.5' WHEN 2 THEN 'true' ELSE p_name END AS t,
+  CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size + 0.5 WHEN 2 THEN 1 ELSE -1 END::DOUBLE AS n, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size + 1 WHEN 2 THEN 1 ELSE -1 END::INTEGER AS i,
+  CASE p_partkey % 4 WHEN 0 THEN p_size <> 0 ELSE true END AS f, p_size::DOUBLE AS s FROM part""")
+def json_accessors(spark, d):
+    from ..functions import json
+
+    i, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    member = F.when(i == 0, size).when(i == 1, F.concat(size, F.lit(".5"))).when(i == 2, "true").otherwise(F.concat(F.lit('"'), F.regexp_replace("p_name", '["\\\\]', ""), F.lit('"')))
+    v = F.parse_json(F.concat(F.lit('{"m": '), member, F.lit(', "s": " '), size, F.lit('"}')))
+    t = read(spark, d, "part").select("p_partkey", v.alias("v"))
+    c = F.col("v")
+    return t.select("p_partkey", json.text(c, "m").alias("t"), json.number(c, "m", -1).alias("n"), json.integer(c, "m", -1).alias("i"), json.flag(c, "m").alias("f"), json.number(c, "s").alias("s"))
+
+
+@REGISTER("dc_usable_packs", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey)::INTEGER AS priority FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 > 0 AND abs(s_acctbal) * 10000 <= 62914560 ORDER BY 1 LIMIT 12)")
+def usable_packs(spark, d):
+    t = read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 3 > 0).alias("enabled"), F.col("s_suppkey").alias("position"), (F.abs("s_acctbal") * 10000).alias("bytes"))
+    return Dict.usable(t).select("s_suppkey", "priority")
+
+
+@REGISTER("st_generations", "SELECT event_id FROM (SELECT event_id, event_id // 100 AS g, max(event_id // 100) OVER (PARTITION BY user_id) AS newest FROM events) WHERE g = newest")
+def generations(spark, d):
+    from ..operators import state
+
+    t = read(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 100).alias("generation"))
+    return state.latest_generation(t, "user_id", "generation").select("event_id")
+
+
+@REGISTER("st_kept_statistics", "SELECT p_partkey::VARCHAR AS key, list_value('N', 'D', 'H')[p_partkey % 3 + 1] AS tag, p_retailprice AS first, (p_size % 5)::DOUBLE AS second FROM part WHERE p_partkey % 4 < 3 AND (p_partkey % 3 = 2 OR (p_retailprice > 5 AND p_retailprice < 600 AND p_size % 5 > 0))")
+def kept_statistics(spark, d):
+    from ..operators import state
+
+    i = F.col("p_partkey")
+    tag = F.when(i % 4 == 3, "X").otherwise(F.element_at(F.array(F.lit("N"), F.lit("D"), F.lit("H")), (i % 3 + 1).cast("int")))
+    t = read(spark, d, "part").select(tag.alias("tag"), F.array(i.cast("string"), F.col("p_retailprice").cast("string"), (F.col("p_size") % 5).cast("string")).alias("fields"))
+    return state.kept_statistics(t).select("key", "tag", "first", "second")

@@ -90,7 +90,9 @@ def test_chunks_grow_and_short_switches_join():
     assert layout.merged_chunks([(0, 200, "en"), (200, 290, "en"), (290, 900, "en"), (900, 1100, "en"), (1100, 1130, "ar"), (1130, 1500, "ar")]) == [(0, 290, "en"), (290, 900, "en"), (900, 1130, "en"), (1130, 1500, "ar")]
 
 
-def test_values_at_places_and_nearest_keys(spark):
+@pytest.mark.parametrize("few", [1000, 3])
+def test_values_at_places_and_nearest_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(ranking, "FEW", few)
     draw = random.Random(4)
     values = [draw.randrange(50) for _ in range(400)] + [None]
     df = spark.createDataFrame([(v,) for v in values], "v int")
