@@ -72,18 +72,30 @@ def warc_revisits() -> str:
     url = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?(?://)?([^/?]*)([^?]*)(.*)$"
     tracking = ", ".join(map(_quoted, revisits.TRACKING))
     return rf"""
-WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS bare, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, strlen(coalesce(html, '')) AS size, 1704067200 + page_id * 37 AS s FROM pages),
+WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS bare, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, strlen(coalesce(html, '')) AS size, 1704067200 + page_id // 2 * 74 AS s FROM pages),
 q AS (
   SELECT *, regexp_replace(lower(regexp_extract(bare, '{url}', 1)), '^(?:www\.|m\.)|:(?:80|443)$', '', 'g') AS host, regexp_replace(regexp_extract(bare, '{url}', 2), '/+$', '') AS path,
     list_sort(list_filter(string_split(regexp_replace(regexp_extract(bare, '{url}', 3), '^\?', ''), '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ({tracking}))) AS args
   FROM p),
-c AS (SELECT page_id, tag, size, s, CASE WHEN host <> '' THEN host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS canonical FROM q),
-r AS (SELECT page_id * 4 + k AS record_id, canonical, s + CASE k WHEN 1 THEN 3600 ELSE 86400 END AS at, k, CASE WHEN page_id % 7 = 3 THEN '"changed"' ELSE 'W/' || tag END AS known FROM c, (VALUES (1), (2)) v(k)),
-b AS (SELECT r.record_id, max({{'at': c.s, 'id': c.page_id * 4}}) AS base FROM r JOIN c ON r.canonical = c.canonical AND c.s < r.at GROUP BY 1)
-SELECT r.record_id, r.canonical, CASE WHEN r.canonical IS NULL THEN 'no_url' WHEN base IS NULL THEN 'no_base' WHEN regexp_replace(known, '^W/', '') = c.tag THEN 'resolved' ELSE 'mismatch' END AS status,
-  base.id AS base_id, base.at AS base_s,
-  CASE WHEN regexp_replace(known, '^W/', '') = c.tag THEN 'cache-control: max-age=' || (k * 60) || chr(10) || 'content-length: ' || c.size || chr(10) || 'etag: ' || known || chr(10) || 'x-captured: ' || r.at END AS merged
-FROM r LEFT JOIN b USING (record_id) LEFT JOIN c ON c.page_id * 4 = base.id"""
+c AS (
+  SELECT page_id, tag, size, s, CASE WHEN host <> '' THEN host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS canonical,
+    CASE WHEN page_id % 5 <> 2 THEN tag END AS etag0, CASE WHEN page_id % 5 = 2 THEN 't' || s END AS since0, CASE WHEN page_id % 9 = 3 THEN 'd' || page_id END AS digest0
+  FROM q),
+r AS (
+  SELECT page_id * 4 + k AS record_id, canonical, s + CASE k WHEN 1 THEN 3600 ELSE 86400 END AS at, k,
+    CASE WHEN page_id % 5 = 2 OR page_id % 11 = 4 THEN NULL WHEN page_id % 7 = 3 THEN '"changed"' ELSE 'W/' || tag END AS etag,
+    CASE WHEN page_id % 5 <> 2 OR page_id % 11 = 4 THEN NULL WHEN page_id % 10 = 2 AND k = 2 THEN 'later' ELSE since0 END AS since,
+    CASE WHEN page_id % 9 <> 3 OR page_id % 11 = 4 THEN NULL WHEN k = 2 THEN 'other' ELSE digest0 END AS digest
+  FROM c, (VALUES (1), (2)) v(k)),
+b AS (SELECT r.record_id, max({{'at': c.s, 'id': c.page_id * 4}}) AS base FROM r JOIN c ON r.canonical = c.canonical AND c.s < r.at GROUP BY 1),
+j AS (
+  SELECT r.*, base, size, etag0, since0, digest0, CASE WHEN etag IS NOT NULL AND etag0 IS NOT NULL THEN regexp_replace(etag, '^W/', '') = etag0 WHEN since IS NOT NULL AND since0 IS NOT NULL THEN since = since0 END AS named,
+    CASE WHEN digest IS NOT NULL AND digest0 IS NOT NULL THEN digest = digest0 END AS same
+  FROM r LEFT JOIN b USING (record_id) LEFT JOIN c ON c.page_id * 4 = base.id),
+a AS (SELECT *, CASE WHEN named = false OR same = false THEN false WHEN named OR same THEN true END AS agree FROM j)
+SELECT record_id, canonical, CASE WHEN canonical IS NULL THEN 'no_url' WHEN base IS NULL THEN 'no_base' WHEN agree IS NULL THEN 'unchecked' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS status, base.id AS base_id, base.at AS base_s,
+  CASE WHEN agree THEN concat_ws(chr(10), 'cache-control: max-age=' || (k * 60), 'content-length: ' || size, 'digest: ' || coalesce(digest, digest0), 'etag: ' || coalesce(etag, etag0), 'last-modified: ' || coalesce(since, since0), 'x-captured: ' || a.at) END AS merged
+FROM a"""
 
 
 def license_scan(threshold: float = 0.6) -> str:

@@ -130,28 +130,25 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def capture_log(pages: DataFrame, every_s: int = 37) -> DataFrame:
     """WARC-like records of a ``pages`` table, which has no captures of its own.
 
-    Page ``p`` is captured in full at ``p * every_s`` seconds after 2024-01-01, with an entity tag
-    made from its body, and asked for again one hour and one day later.  The later asks are 304s: they
-    repeat the tag, except that every seventh page has changed its tag by then.  Record ids are
-    ``4 * page_id`` plus 0, 1 or 2.
+    Pages ``p`` and ``p + 1`` (``p`` even) are captured in full at the same second after 2024-01-01 and asked for again one hour and one
+    day later.  The later asks are 304s.  By the page's number a page has an entity tag made from its body or, every fifth, a
+    modification time; every ninth has a payload digest too.  Some asks carry a changed tag, time or digest or no validator at all, and every
+    thirteenth page has a partial response in between.  Record ids are ``4 * page_id`` plus 0 to 3.
     """
+    p, k = F.col("page_id"), F.col("k")
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
-    base = F.lit(1704067200) + F.col("page_id") * every_s
+    base = F.lit(1704067200) + F.floor(p / 2) * (2 * every_s)
     pages = pages.select("page_id", "url", tag.alias("tag"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"), base.alias("s"))
-    delay = F.element_at(F.array(F.lit(0), F.lit(3600), F.lit(86400)), F.col("k") + 1)
-    rows = pages.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
-    sent = F.col("s") + delay
-    known = F.when(F.col("k") == 0, F.col("tag")).when(F.col("page_id") % 7 == 3, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), F.col("tag")))
-    headers = F.create_map(
-        F.lit("ETag"), known,
-        F.lit("X-Captured"), sent.cast("string"),
-        F.lit("Content-Length"), F.when(F.col("k") == 0, F.col("size")).otherwise(0).cast("string"),
-        F.lit("Cache-Control"), F.concat(F.lit("max-age="), (F.col("k") * 60).cast("string")),
-    )
-    return rows.select(
-        (F.col("page_id") * 4 + F.col("k")).alias("record_id"),
-        "url",
-        F.timestamp_seconds(sent).alias("at"),
-        F.when(F.col("k") == 0, "response").otherwise("revisit").alias("kind"),
-        headers.alias("headers"),
-    )
+    rows = pages.select("*", F.explode(F.when(p % 13 == 6, F.array(*map(F.lit, range(4)))).otherwise(F.array(*map(F.lit, range(3))))).alias("k"))
+    sent = F.col("s") + F.element_at(F.array(F.lit(0), F.lit(3600), F.lit(86400), F.lit(1800)), k + 1)
+    response, bare, timed = k.isin(0, 3), p % 11 == 4, p % 5 == 2
+    etag = F.when(timed, None).when(response, F.col("tag")).when(bare, None).when(p % 7 == 3, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), F.col("tag")))
+    modified = F.concat(F.lit("t"), F.col("s").cast("string"))
+    since = F.when(~timed, None).when(response, modified).when(bare, None).when((p % 10 == 2) & (k == 2), "later").otherwise(modified)
+    digest = F.when((p % 9 != 3) | (bare & ~response), None).when(k == 2, "other").otherwise(F.concat(F.lit("d"), p.cast("string")))
+    named = {
+        "ETag": etag, "Last-Modified": since, "Digest": digest, "X-Captured": sent.cast("string"), "Content-Length": F.when(response, F.col("size")).otherwise(0).cast("string"),
+        "Cache-Control": F.concat(F.lit("max-age="), (k * 60).cast("string")), "Content-Range": F.when(k == 3, "bytes 0-9/*"),
+    }
+    headers = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in named.items())), lambda e: e.value.isNotNull()))
+    return rows.select((p * 4 + k).alias("record_id"), "url", F.timestamp_seconds(sent).alias("at"), F.when(response, "response").otherwise("revisit").alias("kind"), headers.alias("headers"))
