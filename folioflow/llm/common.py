@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 import uuid
@@ -35,6 +36,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect what nothing refers to any more: Spark then removes the shuffle files of steps that are checkpointed, which else lie on disk until the driver's heap fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: So many keys of few bytes are broadcast at most.
+SENT = 500_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """``keys``, written to the shared folder, marked for broadcast if they are at most ``SENT`` rows; beyond, a join deals both sides by key."""
+    kept = checkpointed(keys)
+    return F.broadcast(kept) if kept.count() <= SENT else kept
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"

@@ -14,10 +14,11 @@ Three bits of 64 are a narrow rule: edited copies often differ by more.  With
 ``similarity`` texts are linked as well whose sets of ``words``-word shingles have at
 least that Jaccard similarity.  No radius that balls can afford reaches such pairs (at 0.8
 some 10 of 64 bits differ), so their candidates are texts that share a band of least
-hashes; every candidate is verified on its whole texts.  Verification goes in two rounds:
-first each text against the first text of its bands, then whatever is not yet connected:
-all pairs in bands of up to ``BAND_PAIRS`` texts, and in larger ones each text against
-``HUBS`` others.
+hashes; every candidate is verified on its whole texts.  First each text meets the first
+text of its bands, which connects most of any group of copies.  Whatever is still apart then
+meets all others of its band in bands of up to ``BAND_PAIRS`` texts, and in larger ones ``HUBS``
+others a band, those that a sketch of ``SKETCH`` least hashes shows to be near; and others
+again, for as long as that links anything.
 
 Defined results
     null or empty text     no words: fingerprint zero, linked like any other
@@ -38,14 +39,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, ShortType, StructField, StructType
 
-from .common import checkpointed, spread
+from .common import checkpointed, release, sent, spread
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: A pair of Jaccard similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 6) ** 28, or 0.9998; one of 0.3 with 0.02.
-BANDS, BAND_ROWS, BAND_PAIRS, HUBS = 28, 6, 16, 4
+#: A pair of Jaccard similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 20, or 0.9996; one of 0.3 with 0.05.
+BANDS, BAND_ROWS, BAND_PAIRS, HUBS = 20, 5, 16, 16
+#: At similarity 0.8 the places in which two sketches agree are under ``NEAR`` with probability 0.0002.
+SKETCH, NEAR = 64, 39
 _HALF = BITS // 2
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -97,10 +100,9 @@ _TWO = [_signed(1 << i | 1 << j) for h in (0, _HALF) for i in range(h, h + _HALF
 
 def _points(fp: Column) -> Column:
     """The points that a fingerprint emits."""
-    def flipped(masks: list[int]) -> Column:
-        return F.transform(F.array(*map(F.lit, masks)), lambda m: fp.bitwiseXOR(m))
-
-    return F.when(F.bit_count(fp) % 2 == 0, flipped([0, *_ONE, *_TWO])).otherwise(flipped([0, *_ONE]))
+    masks = F.array(*map(F.lit, [0, *_ONE, *_TWO]))
+    sent = F.slice(masks, F.lit(1), F.when(F.bit_count(fp) % 2 == 0, 1 + len(_ONE) + len(_TWO)).otherwise(1 + len(_ONE)))
+    return F.transform(sent, lambda m: fp.bitwiseXOR(m))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -119,8 +121,11 @@ def shingles(text: str | None, words: int) -> set[bytes]:
     return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
+_KEYS = StructType([StructField("bands", ArrayType(LongType())), StructField("sketch", ArrayType(ShortType()))])
+
+
 def _bands(words: int):
-    """``BANDS`` keys of each text, each of ``BAND_ROWS`` least hashes of its shingles; none without a word."""
+    """``BANDS`` keys of each text, each of ``BAND_ROWS`` least hashes of its shingles, and 16 bits of the first ``SKETCH``; none without a word."""
     n = BANDS * BAND_ROWS
     draw = np.random.default_rng(SEED)
     mul, add = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
@@ -139,7 +144,7 @@ def _bands(words: int):
         code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return np.unique(code ^ (code >> np.uint64(32)))
 
-    def keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keys(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in texts:
@@ -149,8 +154,10 @@ def _bands(words: int):
                 least = np.full(n, (1 << 64) - 1, np.uint64)
                 for k in range(0, len(hashes), 1024):
                     least = np.minimum(least, (hashes[k : k + 1024, None] * mul + add).min(axis=0))
-                out.append([_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(least.reshape(BANDS, BAND_ROWS))] if len(hashes) else [])
-            yield pd.Series(out)
+                bands = [_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(least.reshape(BANDS, BAND_ROWS))]
+                sketch = (least[:SKETCH] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16).view(np.int16).tolist()
+                out.append((bands, sketch) if len(hashes) else ([], []))
+            yield pd.DataFrame(out, columns=["bands", "sketch"])
 
     return keys
 
@@ -159,7 +166,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, simi
     """Links ``a``, ``b`` of the labels of those pairs of texts (``x``, ``y``: digests) that are similar."""
     pairs = checkpointed(pairs)
     ends = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-    texts = docs.select(F.xxhash64(text_col).alias("d"), F.col(text_col).alias("text")).join(ends, "d", "left_semi")
+    # Few digests go to the texts, so that only the texts asked for move.
+    texts = docs.select(F.xxhash64(text_col).alias("d"), F.col(text_col).alias("text")).join(sent(ends), "d", "left_semi")
     texts = checkpointed(texts.dropDuplicates(["d"]))
     both = pairs.join(texts.select(F.col("d").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("d").alias("y"), F.col("text").alias("t")), "y")
 
@@ -179,51 +187,66 @@ def _relabelled(held: DataFrame, found: DataFrame) -> DataFrame:
     return held.join(new, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("to", "label")).drop("node", "to")
 
 
-def similar(docs: DataFrame, rows: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links ``a``, ``b`` between the labels of ``rows`` (``digest``, ``label``, ``bands``) that connect similar texts."""
-    first = checkpointed(rows.groupBy("digest").agg(F.min("label").alias("label"), F.first("bands").alias("bands")))
-    texts, band = first.select("digest", "label"), F.explode("bands").alias("band")
-
-    def order(k: int) -> Column:
-        """The least text of a band in the k-th order: the same text in many bands, so that few pairs arise."""
-        return F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("o"), "digest", "label"))
-
-    def tied(me: Column, other: Column) -> DataFrame:
-        return F.struct(me.digest.alias("x"), me.label.alias("a"), other.digest.alias("y"), other.label.alias("b"))
-
-    # First round: every text and the first text of each band it is in.
-    held = first.select("digest", "label", band)
-    hubs = held.groupBy("band").agg(order(0).alias("h"))
-    pairs = held.join(hubs, "band").where("label != h.label").select(tied(F.struct("digest", "label"), F.col("h")).alias("p")).select("p.*").distinct()
-    near = checkpointed(_verified(docs, pairs, text_col, words, similarity))
-    texts = checkpointed(_relabelled(texts, near))
-    # Second round: what is still apart.
-    held = first.select("digest", band).join(texts, "digest")
-    bands = held.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), *(order(k).alias(f"h{k}") for k in range(1, HUBS + 1)))
-    bands = checkpointed(bands.where("lo != hi"))
-    me = F.struct("digest", "label")
-    small = held.join(bands.where(F.col("n") <= BAND_PAIRS).select("band"), "band").groupBy("band").agg(F.collect_list(me).alias("all"))  # at most BAND_PAIRS
-    small = small.select(F.explode("all").alias("m"), "all").select("m", F.explode(F.filter("all", lambda o: o.digest > F.col("m.digest"))).alias("o"))
-    others = F.filter(F.array(*(F.struct(F.col(f"h{k}.digest").alias("digest"), F.col(f"h{k}.label").alias("label")) for k in range(1, HUBS + 1))), lambda o: o.label != F.col("label"))
-    large = held.join(bands.where(F.col("n") > BAND_PAIRS), "band").select(me.alias("m"), F.explode(F.array_distinct(others)).alias("o"))
-    pairs = small.unionByName(large).where("m.label != o.label").select(tied(F.col("m"), F.col("o")).alias("p")).select("p.*").distinct()
-    # A label is the least of those it stands for, so links of both rounds are links of the labels as they came.
-    return near.unionByName(_verified(docs, pairs, text_col, words, similarity))
+def _pairs(rows: DataFrame, me: Column, other: Column) -> DataFrame:
+    """Pairs of texts (``x``, ``y``) and of what they are known by (``a``, ``b``), the lesser first, each once."""
+    low, high = F.least(me, other), F.greatest(me, other)
+    pairs = rows.where(me.label != other.label).select(low.alias("l"), high.alias("h"))
+    return pairs.select(F.col("l.digest").alias("x"), F.col("l.label").alias("a"), F.col("h.digest").alias("y"), F.col("h.label").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, texts: DataFrame, near: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``fp`` and ``label`` of every fingerprint once similar texts are linked besides ``near``.
+
+    ``texts``: the distinct ``digest``, ``fp``, ``bands`` and ``sketch``.
+    """
+    dealt = texts.select("digest", "fp", F.explode("bands").alias("band"))
+    # Most bands are one text's own: what is kept is the rest.
+    shared = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    held = checkpointed(dealt.join(shared, "band"))
+    # Every text and the first text of each band it is in: the same text in many bands, so that few pairs arise.
+    hubs = held.groupBy("band").agg(F.min(F.struct(F.xxhash64("digest", F.lit(0)).alias("o"), "digest", F.col("fp").alias("label"))).alias("h"))
+    me = F.struct("digest", F.col("fp").alias("label"))
+    found = _verified(docs, _pairs(held.join(hubs, "band"), me, F.struct("h.digest", "h.label")), text_col, words, similarity)
+    labels = texts.select("fp").distinct().withColumn("label", F.col("fp"))
+    labels = checkpointed(_relabelled(labels, near.unionByName(found)))
+    turn, me = 0, F.struct("digest", "label")
+    while True:
+        # Bands whose texts are all connected drop out for good.
+        named = held.select("digest", "fp", "band", "n").join(labels, "fp")
+        apart = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band")
+        held = checkpointed(named.join(apart, "band"))
+        # Others of a large band in orders of its own, new in every turn.
+        large = held.where(F.col("n") > BAND_PAIRS).join(texts.select("digest", "sketch"), "digest")
+        others = [F.min(F.struct(F.xxhash64("digest", "band", F.lit(turn * HUBS + k)).alias("o"), "digest", "label", "sketch")).alias(f"h{k}") for k in range(HUBS)]
+        hubs = large.groupBy("band").agg(*others).select("band", F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS)))).alias("hubs"))
+        close = F.filter("hubs", lambda h: (h.label != F.col("label")) & (F.aggregate(F.zip_with(h.sketch, "sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b) >= NEAR))
+        met = large.join(hubs, "band").select(me.alias("m"), F.explode(close).alias("h")).select("m", F.struct("h.digest", "h.label").alias("h"))
+        if turn == 0:
+            small = held.where(F.col("n") <= BAND_PAIRS).groupBy("band").agg(F.collect_list(me).alias("all"))  # at most BAND_PAIRS
+            met = met.unionByName(small.select(F.explode("all").alias("m"), "all").select("m", F.explode(F.filter("all", lambda o: o.digest > F.col("m.digest"))).alias("h")))
+        found = checkpointed(_verified(docs, _pairs(met, F.col("m"), F.col("h")), text_col, words, similarity))
+        if found.isEmpty():
+            return labels
+        labels = checkpointed(_relabelled(labels, found))
+        turn += 1
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
     """``id``, ``digest`` (xxhash64 of the text), ``fp``, ``label`` (of the component) and ``component_id`` of every row; see ``near_duplicates``."""
     columns = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.pandas_udf(fingerprints, LongType())(text_col).alias("fp")]
     if similarity is not None:
-        columns.append(F.pandas_udf(_bands(words), ArrayType(LongType()))(text_col).alias("bands"))
+        columns.append(F.pandas_udf(_bands(words), _KEYS)(text_col).alias("keys"))
     rows = checkpointed(docs.select(*columns))
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(prints))
-    labels = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    if similarity is not None:
-        labels = checkpointed(labels)
-        banded = rows.join(labels.select("fp", "label"), "fp").where(F.size("bands") > 0)
-        labels = _relabelled(labels, similar(docs, banded, text_col, words, similarity))
+    near = links(prints)
+    if similarity is None:
+        labels = _relabelled(prints.withColumn("label", F.col("fp")), near)
+    else:
+        texts = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("digest", "fp", "keys.*")
+        near, texts = checkpointed(near), checkpointed(texts)
+        release(docs.sparkSession)  # the points that were dealt out
+        found = similar(docs, texts, near, text_col, words, similarity)
+        labels = prints.join(found, "fp")
     ids = labels.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labels.join(ids, "label").select("fp", "label", "component_id")
     return rows.join(named, "fp").select("id", "digest", "fp", "label", "component_id")

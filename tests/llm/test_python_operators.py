@@ -102,6 +102,39 @@ def test_near_copies_beyond_three_bits(spark):
     assert any(plain[2 * i + 1] != 2 * i for i in range(20))
 
 
+def test_similar_texts_against_brute_force(spark):
+    """Pairs around the edge, and a group far larger than the bands whose pairs are all compared."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+
+    def changed(own, n):
+        out = list(own)
+        for _ in range(n):
+            out[draw.randrange(len(out))] = draw.choice(words)
+        return out
+
+    hot = draw.choices(words, k=150)
+    texts = [changed(hot, draw.randrange(0, 9)) for _ in range(150)]
+    for _ in range(40):
+        own = draw.choices(words, k=draw.randrange(30, 200))
+        texts += [own, changed(own, draw.randrange(1, 6))]
+    texts = [" ".join(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts), similarity=0.8).collect()}
+    sets = [simhash.shingles(t, 5) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 500 and found / len(links) >= 0.99
+    parent = {i: i for i in range(len(texts))}
+    for i, j in links:
+        parent[find(parent, i)] = find(parent, j)
+    prints = [simhash.fingerprint(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                parent[find(parent, i)] = find(parent, j)
+    assert all(find(parent, i) == find(parent, got[i]) for i in range(len(texts)))  # nothing is linked that has no chain of links
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3), (5, 2), (2, 5), (9, 5)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
