@@ -154,7 +154,12 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, least_steps: int
     if len(set(labels)) < 2:
         return Model(prior)
     rng = np.random.default_rng(seed)
-    bags = [bag(t) for t in texts]
+    bags: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(0, len(texts), 64):  # views of few large arrays, whose memory goes back when training ends
+        found = [bag(t) for t in texts[k : k + 64]]
+        bounds = np.cumsum([0, *(len(ids) for ids, _ in found)])
+        ids, share = (np.concatenate([x[j] for x in found]) for j in (0, 1))
+        bags += [(ids[a:b], share[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.log(np.array([1 - prior, prior], np.float32))
     batches = -(-len(y) // batch)
