@@ -219,8 +219,12 @@ def similar(docs: DataFrame, texts: DataFrame, near: DataFrame, text_col: str, w
         large = held.where(F.col("n") > BAND_PAIRS).join(texts.select("digest", "sketch"), "digest")
         others = [F.min(F.struct(F.xxhash64("digest", "band", F.lit(turn * HUBS + k)).alias("o"), "digest", "label", "sketch")).alias(f"h{k}") for k in range(HUBS)]
         hubs = large.groupBy("band").agg(*others).select("band", F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS)))).alias("hubs"))
-        close = F.filter("hubs", lambda h: (h.label != F.col("label")) & (F.aggregate(F.zip_with(h.sketch, "sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b) >= NEAR))
-        met = large.join(hubs, "band").select(me.alias("m"), F.explode(close).alias("h")).select("m", F.struct("h.digest", "h.label").alias("h"))
+        alike = lambda h: F.aggregate(F.zip_with(h.sketch, "sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
+        close = F.filter(F.transform("hubs", lambda h: F.struct(alike(h).alias("alike"), h.digest.alias("digest"), h.label.alias("label"))), lambda h: (h.label != F.col("label")) & (h.alike >= NEAR))
+        met = large.join(hubs, "band").select("digest", "label", F.explode(close).alias("h"))
+        # One link ties a text to a component: of each component a text is compared with the nearest it met.
+        met = met.groupBy("digest", "label", F.col("h.label").alias("to")).agg(F.max("h").alias("h"))
+        met = met.select(me.alias("m"), F.struct("h.digest", "h.label").alias("h"))
         if turn == 0:
             small = held.where(F.col("n") <= BAND_PAIRS).groupBy("band").agg(F.collect_list(me).alias("all"))  # at most BAND_PAIRS
             met = met.unionByName(small.select(F.explode("all").alias("m"), "all").select("m", F.explode(F.filter("all", lambda o: o.digest > F.col("m.digest"))).alias("h")))
