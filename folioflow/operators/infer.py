@@ -92,12 +92,14 @@ def column_index(letters: Column) -> Column:
 
 
 def column_name(n: Column) -> Column:
-    """Letters of a column by its number, up to three of them."""
-    a = (n - 1) % 26
-    b = F.floor((n - 27) / 26).cast("int")
-    c = F.floor((n - 703) / 676).cast("int")
-    letter = lambda k: F.chr(k + 65)
-    return F.concat(F.when(n > 702, letter(c % 26)).otherwise(""), F.when(n > 26, letter(b % 26)).otherwise(""), letter(a))
+    """Letters of a column by its number, as many as it takes; ``@`` for 0."""
+    letters, before = [F.chr((n - 1) % 26 + 65)], 1
+    for k in range(1, 7):
+        # Names of more than k letters begin after all shorter ones.
+        before += 26**k
+        rest = n.cast("long") - before
+        letters.insert(0, F.when(rest >= 0, F.chr(F.floor(rest / 26**k).cast("long") % 26 + 65)).otherwise(""))
+    return F.concat(*letters)
 
 
 def cell_of(a1: Column) -> Column:
