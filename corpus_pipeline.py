@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontam, packing, quality, simhash, surrogates
-from folioflow.llm.common import checkpointed, sent, small_batches, spare, stored, table
+from folioflow.llm.common import checkpointed, files_removed, sent, small_batches, spare, stored, table
 from folioflow.llm.queries import EXAMPLE_KEY
 
 #: A document stays if its quality score is at least this.
@@ -45,14 +45,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: fl
     similarity of 5-word shingles.  It is decided by row, as the head of this module says.
     """
     small_batches(spark)
-    rows = simhash.labelled(docs, similarity=similarity).where("id is not null")
-    keys = rows.groupBy("label", "id", "digest").agg(F.count("*").alias("n"))
-    first = keys.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("kept"))
     digest, key, mark = spare(docs, "text_digest", "key_id", "key_digest")
-    keys = keys.join(first, "label").select(F.col("id").alias(key), F.col("digest").alias(mark), "n", (F.struct("id", "digest") == F.col("kept")).alias("stays"))
-    keys = checkpointed(keys.groupBy(key, mark).agg(F.sum("n").alias("n"), F.bool_or("stays").alias("stays")))
-    # What goes is less than what stays, and what stays but repeats is less still: if these lists are short, no text moves but the repeated ones.
-    gone, twice = sent(keys.where("not stays").select(key, mark)), sent(keys.where("stays and n > 1").select(key, mark))
+    with files_removed(spark):
+        rows = simhash.labelled(docs, similarity=similarity).where("id is not null")
+        keys = rows.groupBy("label", "id", "digest").agg(F.count("*").alias("n"))
+        first = keys.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("kept"))
+        keys = keys.join(first, "label").select(F.col("id").alias(key), F.col("digest").alias(mark), "n", (F.struct("id", "digest") == F.col("kept")).alias("stays"))
+        keys = checkpointed(keys.groupBy(key, mark).agg(F.sum("n").alias("n"), F.bool_or("stays").alias("stays")))
+        # What goes is less than what stays, and what stays but repeats is less still: if these lists are short, no text moves but the repeated ones.
+        gone, twice = sent(keys.where("not stays").select(key, mark)), sent(keys.where("stays and n > 1").select(key, mark))
     marked = docs.withColumn(digest, F.xxhash64("text"))
 
     def among(those: DataFrame, how: str, rows: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import gc
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def files_removed(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, Spark removes the shuffle files of each action on data frames made here as the action ends.
+
+    For applications, as it sets the session and puts it back: steps that end in a checkpoint never read those files
+    again, and what still refers to them keeps them from ``release``.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 #: So many keys of few bytes are broadcast at most.
 SENT = 500_000
 

@@ -17,8 +17,9 @@ some 10 of 64 bits differ), so their candidates are texts that share a band of l
 hashes; every candidate is verified on its whole texts.  First each text meets the first
 text of its bands, which connects most of any group of copies.  Whatever is still apart then
 meets all others of its band in bands of up to ``BAND_PAIRS`` texts, and in larger ones ``HUBS``
-others a band, those that a sketch of ``SKETCH`` least hashes shows to be near; and others
-again, for as long as that links anything.
+others a band, those that a sketch of ``SKETCH`` least hashes shows to be near, in up to ``TURNS``
+turns.  Then texts of larger bands that are still apart meet in full: every pair whose sketches
+show it to be near is verified, unless links found before connect it.
 
 Defined results
     null or empty text     no words: fingerprint zero, linked like any other
@@ -33,7 +34,7 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, ShortType, StructField, StructType
 
 from .common import checkpointed, release, sent, spread
-from .components import components
+from .components import FEW, components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: A pair of Jaccard similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 20, or 0.9996; one of 0.3 with 0.05.
 BANDS, BAND_ROWS, BAND_PAIRS, HUBS = 20, 5, 16, 16
+#: Turns in which texts of large bands meet some others; texts in a block when they meet all.
+TURNS, BLOCK = 2, 1024
 #: At similarity 0.8 the places in which two sketches agree are under ``NEAR`` with probability 0.0002.
 SKETCH, NEAR = 64, 39
 _HALF = BITS // 2
@@ -121,6 +124,21 @@ def shingles(text: str | None, words: int) -> set[bytes]:
     return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
+def codes(text: str, words: int) -> np.ndarray:
+    """A number for every distinct shingle, in order."""
+    import xxhash
+
+    found = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
+    word = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    runs = max(1, len(word) - words + 1) if len(word) else 0
+    code = np.zeros(runs, np.uint64)
+    for k in range(min(words, len(word))):
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[k : k + runs]
+    code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(code ^ (code >> np.uint64(32)))
+
+
 _KEYS = StructType([StructField("bands", ArrayType(LongType())), StructField("sketch", ArrayType(ShortType()))])
 
 
@@ -130,27 +148,13 @@ def _bands(words: int):
     draw = np.random.default_rng(SEED)
     mul, add = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, n, np.uint64)
 
-    def codes(text: str) -> np.ndarray:
-        """A number for every distinct shingle."""
-        import xxhash
-
-        found = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
-        known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(found)}
-        word = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        runs = max(1, len(word) - words + 1) if len(word) else 0
-        code = np.zeros(runs, np.uint64)
-        for k in range(min(words, len(word))):
-            code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[k : k + runs]
-        code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(code ^ (code >> np.uint64(32)))
-
     def keys(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for batch in texts:
             out = []
             for text in batch:
-                hashes = codes(text) if isinstance(text, str) else np.zeros(0, np.uint64)
+                hashes = codes(text, words) if isinstance(text, str) else np.zeros(0, np.uint64)
                 least = np.full(n, (1 << 64) - 1, np.uint64)
                 for k in range(0, len(hashes), 1024):
                     least = np.minimum(least, (hashes[k : k + 1024, None] * mul + add).min(axis=0))
@@ -181,9 +185,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, simi
     return both.where(F.pandas_udf(close, BooleanType())("s", "t")).select("a", "b").distinct()
 
 
-def _relabelled(held: DataFrame, found: DataFrame) -> DataFrame:
-    """``held`` with each ``label`` replaced by that of the component the links put it in."""
-    new = components(found).withColumnRenamed("label", "to")
+def _relabelled(held: DataFrame, found: DataFrame, few: int = 0) -> DataFrame:
+    """``held`` with each ``label`` replaced by that of the component the links put it in; up to ``few`` links are followed in one task."""
+    new = components(found, few=few).withColumnRenamed("label", "to")
     return held.join(new, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("to", "label")).drop("node", "to")
 
 
@@ -194,6 +198,67 @@ def _pairs(rows: DataFrame, me: Column, other: Column) -> DataFrame:
     return pairs.select(F.col("l.digest").alias("x"), F.col("l.label").alias("a"), F.col("h.digest").alias("y"), F.col("h.label").alias("b")).distinct()
 
 
+def _cells(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` of groups of ``n``, cut into blocks of some ``BLOCK`` by their ``digest``: a copy for each pair of blocks (``i``, ``j``) that holds the row's own ``block``."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    cut = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("digest", F.lit("block")), blocks)})
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    return cut.withColumn("cell", F.explode(cells)).select(*rows.columns, "block", "cell.i", "cell.j").groupBy(group, "i", "j")
+
+
+def _linked(frame: pd.DataFrame, verified: Callable[[int, int], bool]) -> pd.DataFrame:
+    """Links ``a``, ``b`` that connect the labels of a cell: all pairs of texts from its two blocks whose sketches agree in ``NEAR`` places are ``verified`` unless they are connected already."""
+    label, block = frame["label"].to_numpy(np.int64), frame["block"].to_numpy()
+    out, i, j = [], frame["i"].iloc[0], frame["j"].iloc[0]
+    if (label != label[0]).any():
+        sketch, root = np.array(frame["sketch"].tolist(), np.int16), label.copy()
+        place = np.arange(len(label))
+        for k in np.flatnonzero(block == i):
+            others = np.flatnonzero((root != root[k]) & ((place > k) if i == j else (block == j)))
+            alike = (sketch[others] == sketch[k]).sum(axis=1)
+            for o in others[np.argsort(-alike, kind="stable")[: (alike >= NEAR).sum()]]:
+                if root[o] != root[k] and verified(k, o):
+                    out.append((label[k], label[o]))
+                    root[root == root[o]] = root[k]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _whole(docs: DataFrame, large: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` of labels by the similar texts in bands of ``large``, every pair of a band that looks near compared.
+
+    First sketches alone meet, band by band.  They tell the families of labels that links could connect; then the texts of
+    a family meet, so a text moves once for every block of its family, not for every band.
+    """
+    some = checkpointed(_cells(large.select("band", "n", "digest", "label", "sketch"), "band").applyInPandas(lambda frame: _linked(frame, lambda k, o: True), "a long, b long"))
+    family = components(some, few=FEW)
+    members = large.select("digest", "label", "sketch").distinct().join(family.select(F.col("node").alias("label"), F.col("label").alias("family")), "label")
+    members = checkpointed(members)
+    members = members.join(members.groupBy("family").agg(F.count("*").alias("n")), "family")
+    texts = docs.select(F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).join(sent(members.select("digest")), "digest", "left_semi")
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        text, held = frame["text"], {}
+
+        def found(k: int) -> np.ndarray:
+            if k not in held:
+                held[k] = codes(text.iloc[k], words)
+            return held[k]
+
+        def verified(k: int, o: int) -> bool:
+            u, v = found(k), found(o)
+            if min(len(u), len(v)) < similarity * max(len(u), len(v)):
+                return False
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            if both < similarity * (len(u) + len(v) - both):
+                return False
+            u, v = shingles(text.iloc[k], words), shingles(text.iloc[o], words)
+            return len(u & v) >= similarity * len(u | v)
+
+        return _linked(frame, verified)
+
+    return checkpointed(_cells(members.join(texts.dropDuplicates(["digest"]), "digest"), "family").applyInPandas(compared, "a long, b long"))
+
+
 def similar(docs: DataFrame, texts: DataFrame, near: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """``fp`` and ``label`` of every fingerprint once similar texts are linked besides ``near``.
 
@@ -208,7 +273,7 @@ def similar(docs: DataFrame, texts: DataFrame, near: DataFrame, text_col: str, w
     me = F.struct("digest", F.col("fp").alias("label"))
     found = _verified(docs, _pairs(held.join(hubs, "band"), me, F.struct("h.digest", "h.label")), text_col, words, similarity)
     labels = texts.select("fp").distinct().withColumn("label", F.col("fp"))
-    labels = checkpointed(_relabelled(labels, near.unionByName(found)))
+    labels = checkpointed(_relabelled(labels, near.unionByName(found), FEW))
     turn, me = 0, F.struct("digest", "label")
     while True:
         # Bands whose texts are all connected drop out for good.
@@ -229,10 +294,16 @@ def similar(docs: DataFrame, texts: DataFrame, near: DataFrame, text_col: str, w
             small = held.where(F.col("n") <= BAND_PAIRS).groupBy("band").agg(F.collect_list(me).alias("all"))  # at most BAND_PAIRS
             met = met.unionByName(small.select(F.explode("all").alias("m"), "all").select("m", F.explode(F.filter("all", lambda o: o.digest > F.col("m.digest"))).alias("h")))
         found = checkpointed(_verified(docs, _pairs(met, F.col("m"), F.col("h")), text_col, words, similarity))
-        if found.isEmpty():
-            return labels
-        labels = checkpointed(_relabelled(labels, found))
+        last = found.isEmpty()
+        if not last:
+            labels = checkpointed(_relabelled(labels, found, FEW))
         turn += 1
+        if last or turn == TURNS:
+            break
+    # Those turns connect most at little cost; what is still apart in the large bands is compared in full.
+    large = held.where(F.col("n") > BAND_PAIRS).select("digest", "fp", "band", "n").join(labels, "fp").join(texts.select("digest", "sketch"), "digest")
+    found = _whole(docs, checkpointed(large), text_col, words, similarity)
+    return labels if found.isEmpty() else checkpointed(_relabelled(labels, found, FEW))
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:

@@ -110,3 +110,52 @@ def test_columns_with_names_of_ours_stay(spark, sf_dir):
         assert out.columns == rows.columns, name
         assert all(list(r)[3:] == mine for r in out.collect()), name
     assert corpus_pipeline.packing_plan(spark, rows, sf_dir).count() == 2
+
+
+def test_large_bands_are_compared_in_full(spark, monkeypatch):
+    """Pairs of copies amid others that share their bands and are not similar: no pair is lost, even if the turns link nothing."""
+    import random
+
+    from folioflow.llm import simhash
+
+    draw = random.Random(3)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(60):
+        own = list(base)
+        for k in draw.sample(range(5, 145), 3):
+            own[k] = f"x{i}_{k}"
+        again = list(own)
+        for k in (2, 147):
+            again[k] = f"y{i}_{k}"
+        texts += [" ".join(own), " ".join(again)]
+    monkeypatch.setattr(simhash, "BAND_PAIRS", 1)
+    monkeypatch.setattr(simhash, "_verified", lambda *given: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = {r.id: r.label for r in simhash.labelled(rows, similarity=0.8).collect()}
+    assert sum(label[i] == label[i + 1] for i in range(0, 120, 2)) == 60
+    assert len(set(label.values())) > 20
+
+
+def test_components_of_few_edges(spark):
+    """In one task, the labels of the large way."""
+    import random
+
+    from folioflow.llm.components import components
+
+    draw = random.Random(1)
+    edges = [(draw.randrange(-400, 400), draw.randrange(-400, 400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(components(df, few=1000).collect()) == sorted(components(df).collect())
+    assert components(df.limit(0), few=1000).count() == 0
+
+
+def test_shuffle_files_go_with_their_step(spark, sf_dir):
+    """The setting holds while it lasts, and the session is as it was after."""
+    from folioflow.llm.common import files_removed
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with files_removed(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
