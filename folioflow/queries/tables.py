@@ -461,12 +461,17 @@ def csv(spark, d):
     return rows.select("p_partkey", F.size("f").alias("n"), F.replace(F.col("f")[1], F.lit("\r\n"), F.lit("\n")).alias("second"), F.col("f")[2].alias("third"))
 
 
+def _dealt(spark, rows, key):
+    """Rows dealt over all shuffle partitions: small as they are read, often by one task, and long to work on."""
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 @REGISTER("wb_rtf_runs", "SELECT p_partkey::VARCHAR AS path, i AS run, CASE i WHEN 0 THEN p_name || ' ' WHEN 1 THEN p_brand ELSE p_type END AS text, i = 1 AND p_size % 2 = 0 AS bold, CASE WHEN i = 1 THEN p_size / 2.0::DOUBLE ELSE 12.0 END AS size, CASE WHEN i = 1 THEN '00FF10' END AS colour, CASE WHEN i = 2 THEN 'http://x.org/' || p_partkey END AS link FROM part, (VALUES (0), (1), (2)) v(i) WHERE p_size > 0")
 def rtf_runs(spark, d):
     head, i = r"{\rtf1\ansi{\colortbl;\red0\green255\blue16;}", F.col("p_partkey").cast("string")
     bold = F.when(F.col("p_size") % 2 == 0, r"{\b").otherwise("{")
     text = F.concat(F.lit(head), "p_name", F.lit(" "), bold, F.lit(r"\cf1\fs"), F.col("p_size").cast("string"), F.lit(" "), "p_brand", F.lit(r'}{\field{\*\fldinst{HYPERLINK "http://x.org/'), i, F.lit(r'"}}{\fldrslt{'), "p_type", F.lit("}}}}"))
-    files = read(spark, d, "part").where("p_size > 0").select(i.alias("path"), F.encode(text, "UTF-8").alias("content"))
+    files = _dealt(spark, read(spark, d, "part").where("p_size > 0"), "p_partkey").select(i.alias("path"), F.encode(text, "UTF-8").alias("content"))
     return parsed(files, rtf.RUNS, rtf.read_runs).select("path", "run", "text", "bold", "size", "colour", "link")
 
 
@@ -493,7 +498,7 @@ def _zipped(files, parts):
 
 
 def _files(spark, d):
-    return read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.regexp_replace("p_name", "[&<>]", "").alias("name"), F.regexp_replace("p_brand", "[&<>]", "").alias("brand"), F.col("p_size").cast("int").alias("size"))
+    return _dealt(spark, read(spark, d, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("path"), F.regexp_replace("p_name", "[&<>]", "").alias("name"), F.regexp_replace("p_brand", "[&<>]", "").alias("brand"), F.col("p_size").cast("int").alias("size"))
 
 
 def _docx_parts(path, name, brand, size):
