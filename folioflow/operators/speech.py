@@ -176,14 +176,22 @@ def with_offsets(s: Column) -> Column:
 
 
 def language_runs(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", token: str = "word") -> DataFrame:
-    """Runs of one language: numbers take that of the token before, or the first one after at the start."""
+    """Runs of one language: numbers take that of the token before, or the first one after at the start.
+
+    No window looks from each token to the end of its text, which would take the square of the text's length.
+    """
     t = F.col(token)
-    own = F.when(t.rlike("[ء-ي]"), "ar").when(t.rlike("[A-Za-zÀ-ɏ]"), "en")
-    w = Window.partitionBy(doc).orderBy(pos)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    rows = tokens.withColumn("__own", own).withColumn("lang", F.coalesce(F.last("__own", ignorenulls=True).over(w), F.first("__own", ignorenulls=True).over(ahead), F.lit("en")))
-    rows = rows.withColumn("run", F.sum(F.coalesce(F.col("lang") != F.lag("lang").over(w), F.lit(False)).cast("int")).over(w))
-    return rows.groupBy(doc, "run", "lang").agg(F.min(pos).alias("first"), F.count("*").alias("n"))
+    own = F.when(t.rlike("[ء-ي]"), True).when(t.rlike("[A-Za-zÀ-ɏ]"), False)  # whether it is Arabic; null if neither
+    w = Window.partitionBy(doc).orderBy("first")
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = tokens.select(doc, F.col(pos).alias("first"), own.alias("__own"))
+    last, opening = F.last("__own", ignorenulls=True).over(before), F.first("__own", ignorenulls=True).over(whole)
+    rows = rows.select("*", F.coalesce(last, opening, F.lit(False)).alias("__last"), F.row_number().over(w).alias("__at"), F.count("*").over(whole).alias("__all"))
+    arabic = F.coalesce("__own", "__last")
+    starts = rows.where((F.col("__at") == 1) | (arabic != F.col("__last"))).withColumn("lang", F.when(arabic, "ar").otherwise("en"))
+    by = Window.partitionBy(doc).orderBy("__at")
+    end = F.coalesce(F.lead("__at").over(by), F.col("__all") + 1)
+    return starts.select(doc, (F.row_number().over(by) - 1).cast("long").alias("run"), "lang", "first", (end - F.col("__at")).alias("n"))
 
 
 _CUTS = [re.compile(p) for p in (r"[.!?؟]\s", r"[,;:،؛]\s", r"\s")]

@@ -339,7 +339,8 @@ _SAID = "SELECT doc_id, (generate_subscripts(ws, 1) - 1)::INTEGER AS pos, unnest
     SELECT doc_id, lang, min(pos)::INTEGER AS first, count(*)::BIGINT AS n FROM r GROUP BY doc_id, run, lang""",
 )
 def language_runs(spark, d):
-    t = T.word_rows(read(spark, d, "documents"), ["doc_id"], "text")
+    # Texts are dealt, not their words: so words of a text are where its windows want them.
+    t = T.word_rows(_dealt(spark, read(spark, d, "documents").select("doc_id", "text"), "doc_id"), ["doc_id"], "text")
     p = F.col("pos")
     t = t.withColumn("word", F.when(p % 7 == 3, "12").when(p % 20 < 6, _arabic(F.col("word"))).otherwise(F.col("word")))
     return speech.language_runs(t).select("doc_id", "lang", "first", "n")
