@@ -140,3 +140,51 @@ near AS (SELECT dir, arg_max(up, length(up)) AS up, arg_max(gift, length(up)) AS
 SELECT p.doc_id, p.path, coalesce(own.own, near.gift).license AS license, CASE WHEN own.own IS NOT NULL THEN 'header' WHEN near.up IS NOT NULL THEN 'directory' ELSE 'none' END AS via,
   coalesce(own.own, near.gift).similarity AS similarity, CASE WHEN own.own IS NULL THEN near.up END AS from_dir
 FROM p LEFT JOIN own USING (doc_id, path) LEFT JOIN near USING (dir)"""
+
+
+def fill_in_middle() -> str:
+    blank = r"[\x20\x09-\x0D]"
+    h = lambda k: f"('0x' || substr(d, {8 * k - 7}, 8))::BIGINT"
+    return rf"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+k AS (SELECT doc_id, t, regexp_extract_all(t, '{blank}*[^\x20\x09-\x0D]+|{blank}+') AS u, {h(1)} AS h1, {h(2)} AS h2, {h(3)} AS h3, {h(4)} AS h4 FROM h),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM k),
+f AS (
+  SELECT doc_id, t, n, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f"""
+
+
+def importance_resampling() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    both = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT range, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT rid, unnest({both}) AS f FROM d),
+y AS (SELECT unnest({both}) AS f FROM (SELECT {words.format('text')} AS w FROM benchmark WHERE text IS NOT NULL)),
+fs AS (SELECT DISTINCT f FROM (SELECT f FROM x UNION ALL SELECT f FROM y)),
+hx AS (SELECT f, hex(encode(f)) AS h FROM fs),
+cr AS (
+  SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(h) // 2 + 1), lambda j: ('0x' || substr(h, 2 * j - 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM hx, tab),
+s AS (SELECT b, count(*) AS s FROM x JOIN cr USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM y JOIN cr USING (f) GROUP BY b),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t),
+g AS (SELECT s.b, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (tot.s + 10000) / ((s.s + 1)::DOUBLE * (tot.t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (b), tot),
+w AS (SELECT rid, count(*) AS n, sum(gain)::BIGINT AS total FROM x JOIN cr USING (f) JOIN g USING (b) GROUP BY rid),
+o AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, CASE WHEN n > 0 THEN (total - ((total % n + n) % n)) // n ELSE 0 END::BIGINT AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN w USING (rid)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER (PARTITION BY words >= 20) AS all_n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= all_n * 25 // 100 THEN k END::BIGINT AS rank FROM r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, linerules, oracles, packing, quality, revisits, simhash, surrogates
+from . import chat, decontam, fim, langid, licenses, linerules, oracles, packing, quality, resampling, revisits, simhash, surrogates
 from .common import small_batches, table
 
 #: Key of the example queries.  A real run passes its own secret.
@@ -64,6 +64,17 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(extra)))
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sizes = [F.length(name).cast("long").alias(f"{name}_chars") for name in ("prefix", "middle")]
+    restored = F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", *sizes, F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": license_scan,
     "op2_warc_revisits": warc_revisits,
@@ -75,6 +86,8 @@ QUERIES = {
     "op8_line_cleaning": line_cleaning,
     "op9_benchmark_decontamination": benchmark_decontamination,
     "op10_chat_windows": chat_windows,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_importance_resampling": importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +95,6 @@ ORACLES: dict[str, str] = {
     "op2_warc_revisits": oracles.warc_revisits(),
     "op8_line_cleaning": oracles.line_cleaning(),
     "op10_chat_windows": oracles.chat_windows(),
+    "op12_fill_in_middle": oracles.fill_in_middle(),
+    "op13_importance_resampling": oracles.importance_resampling(),
 }
