@@ -188,3 +188,25 @@ o AS (
 z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM o),
 r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER (PARTITION BY words >= 20) AS all_n FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= all_n * 25 // 100 THEN k END::BIGINT AS rank FROM r"""
+
+
+def ngram_join() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3])) END) AS f
+  FROM d),
+n AS (SELECT rid, count(*) AS n, md5(string_agg(f, chr(10) ORDER BY f)) AS h FROM g GROUP BY rid),
+rep AS (SELECT h, min(rid) AS rid, any_value(n) AS n FROM n GROUP BY h),
+gr AS (SELECT rid, f FROM g SEMI JOIN rep USING (rid)),
+lk AS (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM gr x JOIN gr y ON x.f = y.f AND x.rid < y.rid GROUP BY ALL) p
+  JOIN rep u ON u.rid = a JOIN rep v ON v.rid = b WHERE 100 * c >= 85 * (u.n + v.n - c)),
+e AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+reach AS (SELECT rid AS a, rid AS b FROM rep UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+own AS (SELECT rep.rid, min(doc_id) AS least FROM rep JOIN n USING (h) JOIN d ON d.rid = n.rid GROUP BY rep.rid),
+comp AS (SELECT reach.a AS rid, min(least) AS c FROM reach JOIN own ON own.rid = reach.b GROUP BY reach.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE comp.c END AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN rep USING (h) LEFT JOIN comp ON comp.rid = rep.rid"""

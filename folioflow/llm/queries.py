@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, langid, licenses, linerules, oracles, packing, quality, resampling, revisits, simhash, surrogates
+from . import chat, decontam, fim, langid, licenses, linerules, ngramjoin, oracles, packing, quality, resampling, revisits, simhash, surrogates
 from .common import small_batches, table
 
 #: Key of the example queries.  A real run passes its own secret.
@@ -64,6 +64,10 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(turns.unionByName(extra)))
 
 
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     sizes = [F.length(name).cast("long").alias(f"{name}_chars") for name in ("prefix", "middle")]
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_line_cleaning": line_cleaning,
     "op9_benchmark_decontamination": benchmark_decontamination,
     "op10_chat_windows": chat_windows,
+    "op11_ngram_join": ngram_join,
     "op12_fill_in_middle": fill_in_middle,
     "op13_importance_resampling": importance_resampling,
 }
@@ -95,6 +100,7 @@ ORACLES: dict[str, str] = {
     "op2_warc_revisits": oracles.warc_revisits(),
     "op8_line_cleaning": oracles.line_cleaning(),
     "op10_chat_windows": oracles.chat_windows(),
+    "op11_ngram_join": oracles.ngram_join(),
     "op12_fill_in_middle": oracles.fill_in_middle(),
     "op13_importance_resampling": oracles.importance_resampling(),
 }
