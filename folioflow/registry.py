@@ -1,4 +1,4 @@
-"""The library from SQL: functions and table functions registered in a session under names of their own.
+"""The library from SQL: functions, table functions and the source of workbooks registered in a session under names of their own.
 
 Spreadsheet functions are SQL functions, so Catalyst inlines them into the plan.  Word functions of reading aloud are Arrow-batched.
 Package readers are table functions over a file's bytes, to be joined laterally to ``binaryFile`` rows; any store that Spark reads will do.
@@ -12,18 +12,21 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import StringType
 
 from .operators import speech
-from .sources import docx, office, pptx, rtf, xlsx
+from .sources import docx, office, pptx, rtf, workbook_source, xlsx
 
 #: Name, parameters, type and body of the SQL functions.
 SQL_FUNCTIONS = (
     ("xl_mod", "n DOUBLE, d DOUBLE", "DOUBLE", "CASE WHEN d <> 0 THEN n - d * floor(n / d) END"),
     ("xl_round", "x DOUBLE, digits INT", "DOUBLE", "sign(x) * floor(abs(x) * pow(10, digits) + 0.5 + 1e-12) / pow(10, digits)"),
     ("xl_quotient", "n DOUBLE, d DOUBLE", "DOUBLE", "try_divide(n, d)"),
-    ("xl_trim", "s STRING", "STRING", "regexp_replace(trim(s), ' +', ' ')"),
-    ("xl_proper", "s STRING", "STRING", "initcap(lower(s))"),
+    ("xl_trim", "s STRING", "STRING", r"regexp_replace(regexp_replace(s, r'^\s+|\s+$', ''), ' +', ' ')"),
+    (
+        "xl_proper", "s STRING", "STRING",
+        "array_join(transform(split(regexp_replace(lower(s), '([A-Za-zÀ-ɏ]+)', concat(chr(1), '$1', chr(1))), chr(1)), p -> CASE WHEN p RLIKE '^[A-Za-zÀ-ɏ]' THEN concat(upper(left(p, 1)), substring(p, 2)) ELSE p END), '')",
+    ),
     ("xl_left", "s STRING, n INT", "STRING", "left(s, n)"),
     ("xl_mid", "s STRING, start INT, n INT", "STRING", "CASE WHEN start >= 1 AND n >= 0 THEN substring(s, start, n) END"),
-    ("xl_exact", "a STRING, b STRING", "BOOLEAN", "a = b"),
+    ("xl_exact", "a STRING, b STRING", "BOOLEAN", "a <=> b"),
     ("xl_serial", "d DATE", "DOUBLE", "cast(datediff(d, DATE'1899-12-30') AS DOUBLE)"),
     ("xl_date", "n DOUBLE", "DATE", "date_add(DATE'1899-12-30', cast(floor(n) AS INT))"),
     ("tx_html_escape", "s STRING", "STRING", "replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\\'', '&#39;')"),
@@ -61,6 +64,7 @@ def register(spark: SparkSession) -> list[str]:
         spark.udf.register(name, speech.series_function(word, StringType()))
     for name, (read, schema) in READERS.items():
         spark.udtf.register(name, reader(read, schema))
+    workbook_source.register(spark)
     return [f[0] for f in SQL_FUNCTIONS] + [*WORD_FUNCTIONS, *READERS]
 
 
