@@ -18,7 +18,8 @@ To embed the windows of every size at every word would cost hundreds of times as
 all the rest, so an exact filter first leaves out windows that cannot match.  e edits
 spoil at most 2e of the n-1 neighbouring word pairs of an item, so a match holds n-1-2e of
 them, and one of the item's 2e+1 rarest.  Where n-1-2e is not positive nothing is left
-out.  What is held at once grows with the text, not with items times text.  Items come in
+out.  Windows are embedded so many at once that their words are at most ``WINDOW_WORDS``, or one, so what is held grows with
+the text and with one item, not with items times text.  Items come in
 blocks of ``BLOCK``; a worker holds the index of one block at a time, and every block is
 matched against all rows.
 
@@ -54,8 +55,8 @@ MAX_RATE = 0.2
 WALKS, SAMPLES, PLACES = 8, 6, 3
 #: Items matched at once.
 BLOCK = 5000
-#: Windows embedded, and pairs of windows and items compared, at once.
-WINDOWS, PAIRS = 4096, 1 << 20
+#: Words of windows embedded, and pairs of windows and items compared, at once.
+WINDOW_WORDS, PAIRS = 1 << 18, 1 << 20
 
 # Scripts without spaces: Thai, Lao, Burmese, Khmer, kana and ideographs go by character.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
@@ -179,17 +180,19 @@ def build(rows: list[tuple[int, str | None]], max_rate: float = MAX_RATE) -> Ind
     index.rare, index.rare_owner = np.array([c for c, _ in rare], np.int64), np.array([i for _, i in rare], np.int64)
     for n in sorted({len(x) for x in items}):
         own = np.array([i for i, x in enumerate(items) if len(x) == n])
-        code = keys(np.array([items[i] for i in own]))
+        some = max(1, WINDOW_WORDS // n)
+        code = np.concatenate([keys(np.array([items[i] for i in own[k : k + some]])) for k in range(0, len(own), some)])
         flat, owner = code.ravel(), np.repeat(own, code.shape[1])
         order = np.argsort(flat, kind="stable")
         index.tables[n] = flat[order], owner[order]
     return index
 
 
-def _starts(index: Index, code: np.ndarray) -> dict[int, np.ndarray]:
-    """By window size, the places at which a window passes the filter."""
+def _starts(index: Index, code: np.ndarray) -> dict[int, tuple[np.ndarray, list[int]]]:
+    """By window size, the places at which a window passes the filter, and the items that it passes it for."""
     n_words = len(code) + 1
     open_at: dict[int, np.ndarray] = {}
+    passes: dict[int, list[int]] = {}
 
     def marks(n: int) -> np.ndarray:
         """Where runs of open places begin (+) and end (-)."""
@@ -197,6 +200,7 @@ def _starts(index: Index, code: np.ndarray) -> dict[int, np.ndarray]:
 
     for i in index.always:
         marks(len(index.items[i]))[[0, n_words]] += (1, -1)
+        passes.setdefault(len(index.items[i]), []).append(i)
     slot = np.minimum(np.searchsorted(index.every, code), max(0, len(index.every) - 1))
     at = np.flatnonzero(index.every[slot] == code) if len(index.every) else np.zeros(0, np.int64)
     met = code[at]
@@ -217,7 +221,8 @@ def _starts(index: Index, code: np.ndarray) -> dict[int, np.ndarray]:
         if fits.any():
             np.add.at(marks(n), np.maximum(last[fits] - span + 1, 0), 1)
             np.add.at(marks(n), first[fits] + 1, -1)
-    return {n: np.flatnonzero(np.cumsum(m[:-1]) > 0) for n, m in open_at.items()}
+            passes.setdefault(n, []).append(i)
+    return {n: (np.flatnonzero(np.cumsum(m[:-1]) > 0), passes[n]) for n, m in open_at.items()}
 
 
 def _candidates(index: Index, n: int, windows: np.ndarray) -> list[tuple[int, int]]:
@@ -253,10 +258,10 @@ def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
         return []
     padded = np.concatenate([ids, np.zeros(max(open_at), np.int64)])
     best: dict[int, tuple[int, int]] = {}
-    for n, starts in open_at.items():
-        e, read = index.edits(n), {}
-        for k in range(0, len(starts), WINDOWS):
-            part = starts[k : k + WINDOWS]
+    for n, (starts, passes) in open_at.items():
+        e, read, some = index.edits(n), {}, max(1, WINDOW_WORDS // n)
+        while len(starts):
+            part, starts = starts[:some], starts[some:]
             windows = padded[part[:, None] + np.arange(n)]
             if index.always:
                 held = (windows > 0).sum(axis=1) >= n - e  # others share too few words with any item
@@ -270,6 +275,8 @@ def match(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
                 if d <= e:
                     place = (d, max(0, first + end - n + 1))
                     best[o] = min(best.get(o, place), place)
+            # Where every item that is looked for has been read already no window is needed.
+            starts = starts[starts > min(read.get(o, -1) for o in passes)]
     return sorted((i, d, at, len(index.items[o])) for o, (d, at) in best.items() for i in index.ids[o])
 
 

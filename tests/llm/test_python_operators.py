@@ -415,6 +415,25 @@ def test_common_words_take_bounded_memory_and_time():
     tracemalloc.stop()
 
 
+def test_long_items_take_bounded_memory():
+    """An item of 10,000 words, found whole and with edits, takes memory in proportion to its words."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(9)
+    item = [f"w{rng.randrange(3000)}" for _ in range(10_000)]
+    edited = [w if rng.random() > 0.03 else "else" for w in item]
+    text = " ".join(["before"] * 500 + edited + ["between"] * 300 + item[:5000])
+    tracemalloc.start()
+    began = time.perf_counter()
+    index = decontam.build([(1, " ".join(item)), (2, " ".join(reversed(item))), (3, " ".join(item[:40]))])
+    got = {m[0]: m[1:] for m in decontam.match(index, text)}
+    peak, took = tracemalloc.get_traced_memory()[1], time.perf_counter() - began
+    tracemalloc.stop()
+    assert got.keys() == {1, 3} and 200 < got[1][0] <= sum(a != b for a, b in zip(item, edited, strict=True)) and got[1][2] == 10_000
+    assert peak < 300 << 20, (peak, took)
+
+
 def test_decontamination_edges(spark):
     item = "the quick brown fox jumps over the lazy dog near the old river bank today"
     bench = spark.createDataFrame([(1, item), (2, item.upper()), (3, None), (4, ""), (5, "too short"), (None, item)], "item_id long, text string")
