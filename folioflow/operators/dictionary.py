@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shaping import predicted
+from .shaping import guesses
 from .textops import dictionary_key, unify_letters
 
 #: One-letter particles that may stand before a word, and endings that may follow.
@@ -52,7 +52,7 @@ def keys(merged: DataFrame) -> DataFrame:
     return g.select("key", F.when(F.col("n") == 1, F.col("shaped")).alias("shaped"), (F.col("n") > 1).alias("ambiguous"))
 
 
-def cascade(words: DataFrame, learned: DataFrame, merged: DataFrame, word: str = "word", known: dict | None = None) -> DataFrame:
+def cascade(words: DataFrame, learned: DataFrame, merged: DataFrame, word: str = "word", known: DataFrame | None = None) -> DataFrame:
     """Each distinct word's shaped form and how it was found: learned, exact, normalised, without a prefix, without a suffix, predicted.
 
     Distinct words meet the dictionary once a stage, however often they occur.  ``known`` are the contexts of ``shaping``, asked last
@@ -78,8 +78,9 @@ def cascade(words: DataFrame, learned: DataFrame, merged: DataFrame, word: str =
     out = out.select("word", shaped.alias("shaped"), kind.alias("kind"))
     if known is None:
         return out
-    guessed = predicted(out, known)
+    asked = rows.join(merged.select(F.col("plain").alias("word")), "word", "left_anti")
     took = (F.col("kind") == "UNKNOWN") & F.col("guess").isNotNull()
+    guessed = out.join(guesses(asked, known), "word", "left")
     return guessed.select("word", F.when(took, F.col("guess")).otherwise(F.col("shaped")).alias("shaped"), F.when(took, "PREDICTED").otherwise(F.col("kind")).alias("kind"))
 
 

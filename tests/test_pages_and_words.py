@@ -26,33 +26,74 @@ def words(n, seed=1):
     return out
 
 
+def shape(spark, known, plains, sure=shaping.SURE):
+    rows = shaping.predicted(spark.createDataFrame([(w,) for w in plains], "word string"), known, sure=sure).collect()
+    return {r.word: r.guess and (r.guess, r.confidence) for r in rows}
+
+
+def learned_from(spark, marked):
+    return shaping.table(shaping.counts(spark.createDataFrame([(w,) for w in marked], "shaped string")))
+
+
 def test_words_are_shaped_as_the_dictionary_shapes_them(spark):
-    known = shaping.table(shaping.counts(spark.createDataFrame([(w,) for w in words(3000)], "shaped string")))
-    for w in words(40, 2):
-        plain = "".join(c for c in w if c in CONSONANTS)
-        got = shaping.shaped_word(plain, known)
+    known = learned_from(spark, words(3000))
+    plains = ["".join(c for c in w if c in CONSONANTS) for w in words(40, 2)]
+    asked = shape(spark, known, [*plains, *("ال" + p for p in plains), "قفق", "بت", "abc"])
+    for plain in plains:
+        got, article = asked[plain], asked["ال" + plain]
         assert got is not None and got[0] == plain[0] + "َ" + plain[1] + "ِ" + plain[2] and 0.8 <= got[1] <= 1
-        article = shaping.shaped_word("ال" + plain, known)
         sun = plain[0] in "تث"
         head = "ال" + plain[0] + shaping.SHADDA + "َ" if sun else "الْ" + plain[0] + "َ"
         assert article[0] == head + plain[1] + "ِ" + plain[2]
-    assert shaping.shaped_word("قفق", known) is None and shaping.shaped_word("بت", known) is None and shaping.shaped_word("abc", known) is None
-    table = spark.createDataFrame([("بتج",), ("قفق",), (None,)], "word string")
-    assert [r.guess is not None for r in shaping.predicted(table, known).collect()] == [True, False, False]
+    assert asked["قفق"] is None and asked["بت"] is None and asked["abc"] is None
+    table = spark.createDataFrame([("بتج", 1, "x"), ("قفق", 2, "x"), (None, 3, "x"), ("بتج", 4, "x")], "word string, n int, guess string")
+    assert [(r.n, r.guess is not None) for r in shaping.predicted(table, known).orderBy("n").collect()] == [(1, True), (2, False), (3, False), (4, True)]
+    none = spark.createDataFrame([], "word string")
+    assert shaping.predicted(none, known).count() == 0 and shaping.guesses(table, learned_from(spark, [None, "", "abc"])).count() == 0
 
 
 def test_confidence_is_the_product_of_the_marks_shares(spark):
-    mixed = ["بَتِج"] * 30 + ["بُتِج"] * 3
-    known = shaping.table(shaping.counts(spark.createDataFrame([(w,) for w in mixed], "shaped string")))
-    got = shaping.shaped_word("بتج", known)
+    known = learned_from(spark, ["بَتِج"] * 30 + ["بُتِج"] * 3)
+    got = shape(spark, known, ["بتج"])["بتج"]
     assert got[0] == "بَتِج" and got[1] == pytest.approx((30.02 / 33.24) * (30.02 / 30.24))
-    assert shaping.shaped_word("بتج", known, 0.95) is None
+    assert shape(spark, known, ["بتج"], 0.95)["بتج"] is None
+    with pytest.raises(ValueError):
+        shaping.guesses(spark.createDataFrame([], "word string"), known, sure=0.5)
+
+
+def test_the_marks_are_those_of_a_search_through_all_ways(spark):
+    """Every way to mark a word of three letters, with shares counted here by the context seen, against the join."""
+    draw = random.Random(7)
+    marked = ["".join(c + draw.choice(m) for c, m in zip(w, ("َُ", "ِ", ("", "ٌ")), strict=True)) for w in (draw.choice(["بتج", "بتح", "ثتج", "خدج"]) for _ in range(400))]
+    seen: dict[tuple, list] = {}
+    for w in marked:
+        (a, x), (b, y), c = w[0:2], w[2:4], w[4]
+        seen.setdefault((a, b, c), []).append((x, y))
+    known = learned_from(spark, marked)
+    got = shape(spark, known, ["".join(k) for k in seen], 0.51)
+    for k, ways in seen.items():
+        first = {x: sum(v[0] == x for v in ways) for x in shaping.MARKS}
+        both = {(x, y): ways.count((x, y)) for x in shaping.MARKS for y in shaping.MARKS}
+        best = max(((first[x] + 0.02) / (len(ways) + 0.24) * (n + 0.02) / (first[x] + 0.24), x, y) for (x, y), n in both.items() if first[x] >= 3)
+        found = got["".join(k)]
+        if best[0] >= 0.51:
+            assert found == (k[0] + best[1] + k[1] + best[2] + k[2], pytest.approx(best[0]))
+        else:
+            assert found is None
 
 
 @pytest.mark.parametrize(("word", "good"), [("بَتَج", True), ("بْتَج", False), ("بَتْجْد", False), ("بَاج", True), ("بِاجد", False), ("بُوجَد", True), ("بَوجَد", False)])
-def test_what_can_be_said(word, good):
-    parts = shaping.parted(word)
-    assert shaping.sayable([c for c, _ in parts], [m for _, m in parts[:-1]] + [""]) == good
+def test_what_can_be_said(spark, word, good):
+    assert spark.createDataFrame([(word,)], "w string").select(shaping.sayable(F.col("w"))).first()[0] == good
+
+
+@pytest.mark.parametrize(
+    ("word", "parts"),
+    [("كَتَبَ", ["كَ", "تَ", "بَ"]), ("الشَّمْس", ["شَ", "مْ", "س"]), ("الْقَمَر", ["قَ", "مَ", "ر"]), ("أَحَد", ["أَ", "حَ", "د"]), ("مُدَرِّس", ["مُ", "دَ", "رِّ", "س"]), ("بَ", None), ("َبَتَ", None), ("katab", None), (None, None)],
+)
+def test_words_are_parted(spark, word, parts):
+    got = spark.createDataFrame([(word,)], "w string").select(shaping.parted(F.col("w")).alias("u")).first().u
+    assert (got is None) if parts is None else [(u.letter, sorted(u.mark)) for u in got] == [(p[0], sorted(p[1:])) for p in parts]
 
 
 def test_cascade_predicts_last(spark):
