@@ -48,7 +48,8 @@ def image_type(content: Column) -> Column:
 
 
 def data_uri(content: Column) -> Column:
-    return F.concat(F.lit("data:"), image_type(content), F.lit(";base64,"), F.base64(content))
+    """A URI in one line, whether or not the session breaks base64 into lines; null where the bytes are no known image."""
+    return F.concat(F.lit("data:"), image_type(content), F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def typed_input(text: Column) -> Column:

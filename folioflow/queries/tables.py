@@ -113,7 +113,7 @@ _IMAGES = ("image/png", "image/jpeg", "image/gif", "image/bmp", "image/webp", "i
 def images(spark, d):
     head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("p_partkey") % 7 + 1).cast("int"))
     t = read(spark, d, "part").select("p_partkey", F.unhex(F.concat(head, F.hex(F.encode("p_name", "UTF-8")))).alias("b"))
-    return t.select("p_partkey", infer.image_type(F.col("b")).alias("kind"), F.regexp_replace(infer.data_uri(F.col("b")), "[\r\n]", "").alias("uri"))
+    return t.select("p_partkey", infer.image_type(F.col("b")).alias("kind"), infer.data_uri(F.col("b")).alias("uri"))
 
 
 @REGISTER(

@@ -1,5 +1,8 @@
 """Queries on keys and sizes beyond the smallest tables."""
 
+import base64
+
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import colour, infer, speech
@@ -68,3 +71,14 @@ def test_language_runs_over_tokens_in_any_order(spark):
     runs = speech.language_runs(spark.createDataFrame(rows, "doc int, at int, w string"), "doc", "at", "w")
     assert sorted(map(tuple, runs.collect())) == [(1, 0, "ar", 0, 3), (1, 1, "en", 40, 2), (2, 0, "en", 5, 2), (3, 0, "ar", 2, 1)]
     assert runs.dtypes == [("doc", "int"), ("run", "bigint"), ("lang", "string"), ("first", "int"), ("n", "bigint")]
+
+
+@pytest.mark.parametrize("broken", ["true", "false"])
+def test_data_uris_are_one_line(spark, broken):
+    key = "spark.sql.legacy.chunkBase64String.enabled"
+    spark.conf.set(key, broken)
+    try:
+        got = spark.createDataFrame([(b"GIF89a" + bytes(range(200)),), (b"none",), (None,)], "b binary").select(infer.data_uri(F.col("b")).alias("u")).collect()
+    finally:
+        spark.conf.unset(key)
+    assert got[0].u == "data:image/gif;base64," + base64.b64encode(b"GIF89a" + bytes(range(200))).decode() and got[1].u is None and got[2].u is None
