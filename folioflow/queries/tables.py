@@ -481,21 +481,24 @@ _RELS = '<Relationships xmlns="x">{}</Relationships>'
 
 
 def _zipped(files, parts):
-    """Rows of ``path, name, brand, size`` as packages; ``parts`` gives a row's parts by name."""
+    """Rows of ``path, name, brand, size`` as packages, 500 a frame; ``parts`` gives a row's parts by name."""
     import io
     import zipfile
 
-    def made(path: pd.Series, name: pd.Series, brand: pd.Series, size: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(path, name, brand, size, strict=True):
-            held = io.BytesIO()
-            with zipfile.ZipFile(held, "w") as z:
-                for part, text in parts(*row).items():
-                    z.writestr(part, text)
-            out.append(held.getvalue())
-        return pd.Series(out)
-
-    return files.select("path", F.pandas_udf(made, "binary")("path", "name", "brand", "size").alias("content"))
+    def packed(row) -> bytes:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for part, text in parts(*row).items():
+                z.writestr(part, text)
+        return held.getvalue()
+
+    def made(frames):
+        for frame in frames:
+            for i in range(0, len(frame), 500):
+                part = frame.iloc[i : i + 500]
+                yield pd.DataFrame({"path": part["path"], "content": [packed(row) for row in part[["path", "name", "brand", "size"]].itertuples(index=False, name=None)]})
+
+    return files.mapInPandas(made, "path string, content binary")
 
 
 def _files(spark, d):

@@ -16,26 +16,36 @@ def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def parsed(found: DataFrame, schema: str, parse: Callable[[bytes], Iterator[tuple]], batch: int = 5000) -> DataFrame:
-    """Rows that ``parse`` yields from each file, in batches, so a large file is never one frame.  A file that cannot be read has no rows."""
+def parsed(found: DataFrame, schema: str, parse: Callable[[bytes], Iterator[tuple]], batch: int = 5000, most: int = 8 << 20) -> DataFrame:
+    """Rows that ``parse`` yields from each file, in batches, so a large file is never one frame.  A file that cannot be read has no rows.
+
+    Small files share a frame, until ``batch`` rows or ``most`` bytes of files: a frame costs far more than a small file's rows.
+    """
     names = [x.strip().split(" ")[0] for x in _fields(schema)]
+    return found.mapInPandas(_gathered(parse, names, batch, most), schema)
+
 
+def _gathered(parse: Callable[[bytes], Iterator[tuple]], names: list[str], batch: int, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                held = []
                 try:
                     for row in parse(bytes(content)):
                         held.append((path, *row))
                         if len(held) >= batch:
                             yield _frame(held, names)
-                            held = []
+                            held, size = [], 0
                 except (KeyError, ValueError, OSError, EOFError, AttributeError, _bad_zip()):
                     pass
-                if held:
+                size += len(content)
+                if held and size >= most:
                     yield _frame(held, names)
+                    held, size = [], 0
+        if held:
+            yield _frame(held, names)
 
-    return found.mapInPandas(run, schema)
+    return run
 
 
 def _bad_zip() -> type:
