@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,30 +135,55 @@ def merged_chunks(chunks: list[tuple[int, int, str]]) -> list[tuple[int, int, st
     """Chunks ``(start, end, language)`` joined to larger ones: of one language, or with a short piece in another, which takes the longer one's."""
     out: list[tuple[int, int, str]] = []
     held: tuple[int, int, str] | None = None
-    for start, end, lang in chunks:
-        if held is None:
-            held = (start, end, lang)
-            continue
-        most = (FIRST_CHUNK, SECOND_CHUNK, LATER_CHUNK)[min(len(out), 2)]
-        a, b = held[1] - held[0], end - start
-        if end - held[0] <= most and (lang == held[2] or min(a, b) < SHORT_SWITCH):
-            held = (held[0], end, held[2] if lang == held[2] or a >= b else lang)
-        else:
+    for one in chunks:
+        joined = one if held is None else _joined(len(out), held, one)
+        if joined is None:
             out.append(held)
-            held = (start, end, lang)
+        held = joined or one
     return out + [held] if held else out
 
 
-def merge_chunks(chunks: DataFrame, page: str = "page") -> DataFrame:
-    """``page, start, end, lang`` of the joined chunks.  One page is a group."""
-    kind = dict(chunks.dtypes)[page]
+def _joined(n: int, held: tuple[int, int, str], one: tuple[int, int, str]) -> tuple[int, int, str] | None:
+    """The chunk after ``n`` others and the next one as a single chunk, or None if they stay apart."""
+    (_, _, other), (start, end, lang) = held, one
+    most = (FIRST_CHUNK, SECOND_CHUNK, LATER_CHUNK)[min(n, 2)]
+    a, b = held[1] - held[0], end - start
+    if end - held[0] <= most and (lang == other or min(a, b) < SHORT_SWITCH):
+        return held[0], end, other if lang == other or a >= b else lang
+    return None
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("start")
-        out = merged_chunks(list(frame[["start", "end", "lang"]].itertuples(index=False, name=None)))
-        return pd.DataFrame(out, columns=["start", "end", "lang"]).assign(**{page: frame[page].iloc[0]})[[page, "start", "end", "lang"]]
 
-    return chunks.select(page, "start", "end", "lang").groupBy(page).applyInPandas(one, f"{page} {kind}, start long, end long, lang string")
+def merge_chunks(chunks: DataFrame, page: str = "page") -> DataFrame:
+    """``page, start, end, lang`` of the joined chunks.  Pages come one after the other in a task's batches; none is gathered, and many share a batch."""
+    kind = dict(chunks.dtypes)[page]
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.select(page, F.col("start").cast("long"), F.col("end").cast("long"), "lang").repartition(parts, page).sortWithinPartitions(page, "start", "end", "lang")
+    return dealt.mapInArrow(_merging, f"{page} {kind}, start long, end long, lang string")
+
+
+def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``merged_chunks`` of rows sorted by page: a page goes on from batch to batch, and what is joined leaves with the batch."""
+    at, n, held, schema = None, 0, None, None
+    for batch in batches:
+        schema = batch.schema
+        out: list[tuple] = []
+        for page, start, end, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            one = (start, end, lang)
+            joined = _joined(n, held, one) if held is not None and page == at else None
+            if joined is not None:
+                held = joined
+                continue
+            if held is not None:
+                out.append((at, *held))
+            n, at, held = n + 1 if held is not None and page == at else 0, page, one
+        if out:
+            yield _batch(out, schema)
+    if held is not None:
+        yield _batch([(at, *held)], schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def useful_line(text) -> object:
