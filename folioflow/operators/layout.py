@@ -106,25 +106,23 @@ def page_words(words: DataFrame, page: str = "page", order: str = "pos", starts:
 
 
 def page_texts(placed: DataFrame, page: str = "page", order: str = "pos") -> DataFrame:
-    """The text of every page from what ``page_words`` gives."""
+    """The text of every page from what ``page_words`` gives, and where it ends."""
     parts = F.sort_array(F.collect_list(F.struct(order, "said")))
-    return placed.groupBy(page).agg(F.array_join(F.transform(parts, lambda p: p.said), "").alias("text"))
+    return placed.groupBy(page).agg(F.array_join(F.transform(parts, lambda p: p.said), "").alias("text"), F.max("end").alias("end"))
 
 
-def word_at(placed: DataFrame, asked: DataFrame, page: str = "page", offset: str = "offset", block: int = 256) -> DataFrame:
+def word_at(placed: DataFrame, asked: DataFrame, page: str = "page", offset: str = "offset") -> DataFrame:
     """``asked`` with ``word``, ``start`` and ``end`` of the last word that starts at or before each offset of its page; null before the first.
 
-    Words are kept by blocks of the text, and a block also has the last word of the blocks before, so the join is on equal keys.
+    Words and offsets of a page stand in one order, and a running frame, which keeps one row, has the last word.
     """
-    w = Window.partitionBy(page).orderBy("start")
-    own = placed.select(page, "start", "end", F.col("text").alias("word")).withColumn("__next", F.lead("start").over(w))
-    # A word answers for every block from its own to that in which the next word starts; the last one for all to come.
-    last = asked.groupBy(page).agg(F.max(offset).alias("__most"))
-    upto = F.coalesce(F.col("__next") - 1, F.greatest("start", "__most"))
-    dealt = own.join(last, page).withColumn("__block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(upto / block))))
-    rows = asked.withColumn("__block", F.floor(F.col(offset) / block))
-    fits = (F.col(offset) >= F.col("start")) & (F.col("__next").isNull() | (F.col(offset) < F.col("__next")))
-    return rows.alias("a").join(dealt.alias("d"), (F.col(f"a.{page}") == F.col(f"d.{page}")) & (F.col("a.__block") == F.col("d.__block")) & fits, "left").select(*(F.col(f"a.{c}") for c in asked.columns), "word", "start", "end")
+    asks = asked.select(F.col(page).alias("__page"), F.col(offset).cast("long").alias("__at"), F.struct(*asked.columns).alias("__asked"))
+    word = F.struct(F.col("text").alias("word"), "start", "end").alias("__word")
+    words = placed.where(F.col(page).isNotNull()).select(F.col(page).alias("__page"), F.col("start").cast("long").alias("__at"), F.lit(None).cast(asks.schema["__asked"].dataType).alias("__asked"), word)
+    both = words.unionByName(asks.withColumn("__word", F.lit(None).cast(words.schema["__word"].dataType)))
+    upto = Window.partitionBy("__page").orderBy("__at", F.col("__word").isNull(), "__word.end").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__last", F.last("__word", ignorenulls=True).over(upto)).where("__asked is not null")
+    return found.select("__asked.*", "__last.word", "__last.start", "__last.end")
 
 
 #: Characters that the first, the second and any later chunk of a page may have, and how short a piece in another language joins its neighbour.

@@ -390,7 +390,9 @@ _PAGE = f"SELECT doc_id AS page, pos, pos // 9 AS line, CASE WHEN pos % 9 = 8 AN
 
 
 def _page(spark, d):
-    t, p = T.word_rows(read(spark, d, "documents"), [F.col("doc_id").alias("page")], "text"), F.col("pos")
+    # Texts are dealt, not their words: so words of a page are where windows and groups of pages want them.
+    docs = _dealt(spark, read(spark, d, "documents").select(F.col("doc_id").alias("page"), "text"), "page")
+    t, p = T.word_rows(docs, ["page"], "text"), F.col("pos")
     return t.select("page", "pos", F.floor(p / 9).alias("line"), F.when((p % 9 == 8) & (p % 2 == 0), F.concat("word", F.lit("-"))).otherwise(F.col("word")).alias("text"), ((p % 45 == 0) & (p > 0)).alias("starts"))
 
 
@@ -402,9 +404,8 @@ def _page(spark, d):
     SELECT page, md5(string_agg(said, '' ORDER BY pos)) AS h, sum(length(said))::BIGINT AS n FROM k GROUP BY 1""",
 )
 def page_text(spark, d):
-    placed = layout.page_words(_page(spark, d))
-    ends = placed.groupBy("page").agg(F.max("end").cast("long").alias("n"))
-    return layout.page_texts(placed).join(ends, "page").select("page", F.md5("text").alias("h"), "n")
+    texts = layout.page_texts(layout.page_words(_page(spark, d)))
+    return texts.select("page", F.md5("text").alias("h"), F.col("end").cast("long").alias("n"))
 
 
 @REGISTER(
@@ -592,7 +593,7 @@ def table_functions(spark, d):
     SELECT a.page, a.k, text AS word, start FROM a ASOF LEFT JOIN w ON a.page = w.page AND a."offset" >= w.start""",
 )
 def word_at(spark, d):
-    docs = read(spark, d, "documents")
+    docs = _dealt(spark, read(spark, d, "documents").select("doc_id", "text"), "doc_id")
     words = T.word_rows(docs, [F.col("doc_id").alias("page")], "text").select("page", "pos", F.lit(0).alias("line"), F.col("word").alias("text"), F.lit(False).alias("starts"))
     asked = docs.select(F.col("doc_id").alias("page"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("k"))
     asked = asked.withColumn("offset", (F.col("page") * 31 % 1000 * F.col("k")).cast("int"))
