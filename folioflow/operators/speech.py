@@ -131,14 +131,31 @@ def speech_form(token: str) -> str:
     return token
 
 
+#: Characters of texts whose results a task's Python holds at once; a longer text stands alone.
+HELD = 1 << 20
+
+
 def _udf(f, kind):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([None if x is None else f(x) for x in b], dtype=object)
+            for part in _slices(b):
+                yield pd.Series([None if x is None else f(x) for x in part], dtype=object)
 
     return F.pandas_udf(run, kind)
 
 
+def _slices(texts: pd.Series, most: int | None = None) -> Iterator[pd.Series]:
+    """A batch in pieces of at most ``most`` characters or one text: results are many times as large as the texts, and a batch is bounded in rows alone."""
+    first, size, most = 0, 0, most or HELD
+    for i, x in enumerate(texts):
+        n = 0 if x is None else len(x)
+        if i > first and size + n > most:
+            yield texts.iloc[first:i]
+            first, size = i, 0
+        size += n
+    yield texts.iloc[first:]
+
+
 def applied(name: str, column: Column) -> Column:
     """One of the word functions above over a column."""
     return _udf(_WORDS[name], StringType())(column)
