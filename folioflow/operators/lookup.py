@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,15 +116,19 @@ def without_covered(cells: DataFrame, merges: DataFrame, row: str = "r", col: st
 
 
 def closure(parents: DataFrame, child: str, parent: str) -> DataFrame:
-    """Every ancestor of a node with its distance, a cycle walked once: ``node, ancestor, depth``.  Goes on until no chain grows."""
+    """Every ancestor of a node with its distance, a cycle walked once: ``node, ancestor, depth``.  Goes on until no chain grows.
+
+    Each level is made once, from the one before, and parents are never sent through the driver to all tasks: they are as many as nodes.
+    """
     step = parents.select(F.col(child).alias("p_child"), F.col(parent).alias("p_parent")).where(F.col(parent).isNotNull())
     level = parents.select(F.col(child).alias("node"), F.col(child).alias("ancestor"), F.lit(0).alias("depth"), F.array(F.col(child)).alias("path"))
-    out, d = level, 0
-    while not level.isEmpty():
+    step = pinned(step)
+    out, d = [level], 0
+    while True:
         d += 1
-        level = level.join(step, level.ancestor == step.p_child).where(~F.array_contains("path", F.col("p_parent")))
-        level = level.select("node", F.col("p_parent").alias("ancestor"), F.lit(d).alias("depth"), F.concat("path", F.array("p_parent")).alias("path"))
-        if d % 8 == 0:  # long chains do not pile up plans
-            level, out = pinned(level), pinned(out)
-        out = out.unionByName(level)
-    return out.select("node", "ancestor", "depth")
+        level = level.join(step.hint("merge"), level.ancestor == step.p_child).where(~F.array_contains("path", F.col("p_parent")))
+        level = pinned(level.select("node", F.col("p_parent").alias("ancestor"), F.lit(d).alias("depth"), F.concat("path", F.array("p_parent")).alias("path")))
+        if level.isEmpty():
+            break
+        out.append(level)
+    return reduce(DataFrame.unionByName, (x.select("node", "ancestor", "depth") for x in out))
