@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Counters that a task holds before it sends them on; tasks over which the sketches of one context are dealt first.
 HELD, SALTS = 500_000, 32
+#: Rows and bytes that a task counts at once.
+ROWS, BYTES = 500_000, 32 << 20
 _SCHEMA = "context string, items array<string>, counts array<long>, error long, n long"
 
 
@@ -55,21 +57,37 @@ def _rows(sketches: dict[str | None, Sketch], k: int) -> Iterator[pa.RecordBatch
         ], ["context", "items", "counts", "error", "n"])
 
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches gathered to tables of ``ROWS`` rows or ``BYTES``: the more rows are counted at once, the fewer items are left to add one by one."""
+    now: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        now.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= ROWS or size >= BYTES:
+            yield pa.Table.from_batches(now)
+            now, rows, size = [], 0, 0
+    if now:
+        yield pa.Table.from_batches(now)
+
+
 def _sketched(k: int):
     """Sketches of what a task reads: ``context``, ``item``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, Sketch] = {}
-        size = 0
-        for batch in batches:
-            found = pa.Table.from_batches([batch]).group_by(["context", "item"]).aggregate([([], "count_all")]).sort_by("context").to_pydict()
-            for context, item, count in zip(found["context"], found["item"], found["count_all"], strict=True):
-                s = held.setdefault(context, Sketch())
-                s.add([item], [count], 0, count)
-                if len(s.counts) > 8 * k:
-                    s.cut(k)
-            size = sum(len(s.counts) for s in held.values())
-            if size > HELD:
+        for table in _tables(batches):
+            found = table.group_by(["context", "item"]).aggregate([([], "count_all")]).sort_by("context")
+            contexts, items, counts = (found[x].to_pylist() for x in ("context", "item", "count_all"))
+            first = 0
+            for last in range(1, len(contexts) + 1):
+                if last == len(contexts) or contexts[last] != contexts[first]:
+                    s = held.setdefault(contexts[first], Sketch())
+                    s.add(items[first:last], counts[first:last], 0, sum(counts[first:last]))
+                    if len(s.counts) > 8 * k:
+                        s.cut(k)
+                    first = last
+            if sum(len(s.counts) for s in held.values()) > HELD:
                 yield from _rows(held, k)
                 held = {}
         yield from _rows(held, k)

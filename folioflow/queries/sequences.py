@@ -51,6 +51,7 @@ t AS (SELECT context, count(*) AS n FROM w GROUP BY context)
 SELECT c.context, item, count, n, TRUE AS bounded FROM c JOIN t ON c.context IS NOT DISTINCT FROM t.context WHERE count * {_K + 1} > n""",
 )
 def heavy_words(spark, d):
-    t = read(spark, d, "documents")
+    # Texts are dealt over all tasks: they are often read by a few, and long to cut and count.
+    t = read(spark, d, "documents").select("doc_id", "text", "source", "lang").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     words = F.explode(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
     return verified_hitters(t.select(F.concat("source", F.lit("/"), "lang").alias("context"), words.alias("item")), "context", "item", _K)
