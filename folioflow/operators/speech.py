@@ -10,7 +10,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -184,12 +186,58 @@ def foreign_letters(s: Column) -> Column:
 
 
 _TOKEN = re.compile("[^\\s\u00a0\u202f\u2007]+")
+_BLANKS = [i for i in range(0x10000) if not _TOKEN.match(chr(i))]  # there is none beyond
+_OFFSETS = ArrayType(StructType([StructField("token", StringType()), StructField("start", IntegerType())]))
 
 
 def with_offsets(s: Column) -> Column:
     """Tokens and where each starts in the text, blanks of all kinds between them."""
-    kind = ArrayType(StructType([StructField("token", StringType()), StructField("start", IntegerType())]))
-    return F.coalesce(_udf(lambda x: [(m[0], m.start()) for m in _TOKEN.finditer(x)], kind)(s), F.array().cast(kind))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for part in _slices(pd.Series(b.to_pylist(), dtype=object)):
+                yield _tokens(part.tolist())
+
+    return F.arrow_udf(run, _OFFSETS)(s)
+
+
+def _tokens(texts: list[str | None]) -> pa.Array:
+    """Tokens of all the texts at once, as arrays: a token is what is left between blanks, in letters and in bytes."""
+    sizes = np.array([0 if x is None else len(x) for x in texts], dtype=np.int64)
+    ends, whole = np.cumsum(sizes), "".join(x for x in texts if x)
+    begins, code = ends - sizes, np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    blank = np.zeros(0x10001, dtype=bool)
+    blank[_BLANKS] = True
+    word = ~blank[np.minimum(code, 0x10000)]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first[begins[sizes > 0]] = word[begins[sizes > 0]]
+    starts = np.flatnonzero(first)
+    of = np.searchsorted(ends, starts, side="right")
+    width = (1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)).astype(np.int8)
+    letters = np.frombuffer(whole.encode(), np.uint8)[np.repeat(word, width)]
+    upto = np.cumsum(width * word, dtype=np.int64)
+    cuts = np.append(upto[starts] - width[starts], len(letters)).astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(letters))
+    rows = pa.StructArray.from_arrays([tokens, pa.array((starts - begins[of]).astype(np.int32))], ["token", "start"])
+    counts = np.bincount(of, minlength=len(texts)) if len(texts) else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), rows)
+
+
+#: Characters of a block, as a power of two.
+_BLOCK = 8
+
+
+def text_blocks(s: Column) -> Column:
+    """A text in blocks, in which ``text_at`` finds a place without a walk through all before it."""
+    return F.regexp_extract_all(s, F.lit(f"(?s).{{1,{1 << _BLOCK}}}"), F.lit(0))
+
+
+def text_at(blocks: Column, start: Column, length: Column) -> Column:
+    """So many characters from a place on, of at least one."""
+    rest = start.bitwiseAND((1 << _BLOCK) - 1)
+    held = F.slice(blocks, F.shiftright(start, _BLOCK) + 1, F.shiftright(rest + length - 1, _BLOCK) + 1)
+    return F.substring(F.array_join(held, ""), rest + 1, length)
 
 
 def language_runs(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", token: str = "word") -> DataFrame:

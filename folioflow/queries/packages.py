@@ -92,8 +92,11 @@ def forms(spark, d):
 
 @REGISTER("sp_offsets", r"SELECT doc_id, count(*)::BIGINT AS n, sum(length(w))::BIGINT AS chars FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[\s   ]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY 1")
 def offsets(spark, d):
-    t = read(spark, d, "documents").select("doc_id", "text", F.inline(speech.with_offsets(F.col("text"))))
-    t = t.where(F.expr("substring(text, start + 1, length(token)) = token"))
+    # Texts are dealt over all tasks: they are often read by a few, and long to cut.
+    t = read(spark, d, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    t = t.select("doc_id", "text", speech.text_blocks(F.col("text")).alias("blocks"))  # once a text, and not once a token
+    t = t.select("doc_id", "blocks", F.inline(speech.with_offsets(F.col("text"))))
+    t = t.where(speech.text_at(F.col("blocks"), F.col("start"), F.length("token")) == F.col("token"))
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("chars"))
 
 
